@@ -209,13 +209,15 @@ def unique_shares(facts: DataFrame) -> DataFrame:
         share("title").alias("unique_titles"), share("description").alias("unique_descriptions"))
 
 
-def site_rollup(facts: DataFrame, site_aux: DataFrame | None, as_of: datetime) -> DataFrame:
+def site_rollup(
+    facts: DataFrame, site_aux: DataFrame | None, as_of: datetime, only: frozenset[str] | None = None
+) -> DataFrame:
     """One row per report: usable pages, passes of each coverage check, means, detectors, home page."""
     pages = with_page_url(facts, site_aux)
     rules, shares = page_reasons(), page_fractions(as_of)
     aggs = [F.count("*").alias("n")]
-    aggs += [F.count_if(rules[i].isNull()).alias(f"pass_{i}") for i in COV_IDS]
-    aggs += [F.avg(shares[i]).alias(f"mean_{i}") for i in AVG_IDS]
+    aggs += [F.count_if(rules[i].isNull()).alias(f"pass_{i}") for i in COV_IDS if only is None or i in only]
+    aggs += [F.avg(shares[i]).alias(f"mean_{i}") for i in AVG_IDS if only is None or i in only]
     aggs += [F.avg("brand_score").alias("brand"), F.bool_or("declares_hreflang").alias("multilingual")]
     aggs += [F.bool_or(f"det_{d}").alias(d) for d in DETECTORS]
     aggs += [F.min_by("container_id", F.when(F.col("container_id").isNotNull(), F.col("page_ord"))).alias(
@@ -242,8 +244,7 @@ def _served_words(root_html: Column) -> Column:
 
 def ratio_columns() -> dict[str, Column]:
     """The 58 ratios of a report row (roll-up joined with uniqueness, home page and per-site inputs); NULL = N/A."""
-    c = F.col
-    n = c("n")
+    c, n = F.col, F.col("n")
     out = {i: c(f"pass_{i}") / n for i in COV_IDS}
     out |= {i: clamp01(c(f"mean_{i}")) for i in AVG_IDS}
     out["S21"] = F.when(c("multilingual"), out["S21"])
@@ -272,21 +273,27 @@ _AUX_NULLS = {
 }
 
 
-def report_rows(facts: DataFrame, site_aux: DataFrame | None, as_of: datetime) -> DataFrame:
+def report_rows(
+    facts: DataFrame, site_aux: DataFrame | None, as_of: datetime, only: frozenset[str] | None = None
+) -> DataFrame:
     """Roll-up plus everything else the ratios read, one row per report, still partitioned by ``report_id``."""
-    rows = site_rollup(facts, site_aux, as_of).join(unique_shares(facts), "report_id", "left")
+    rows = site_rollup(facts, site_aux, as_of, only)
+    if only is None or only & {"S15", "S16"}:
+        rows = rows.join(unique_shares(facts), "report_id", "left")
     if site_aux is None:
         rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in _AUX_NULLS.items()})
         rows = rows.withColumn("home_words", F.lit(None).cast("int"))
     else:
-        rows = rows.join(site_aux, "report_id", "left").join(home_words(facts, site_aux), "report_id", "left")
+        rows = rows.join(site_aux, "report_id", "left")
+        if only is None or "G3" in only:
+            rows = rows.join(home_words(facts, site_aux), "report_id", "left")
     # The container is only read for sites whose pages carry its id.
     return rows.withColumn("container", F.when(F.col("container_id").isNotNull(), container_facts(F.col("gtm_body"))))
 
 
 def check_ratio(facts: DataFrame, site_aux: DataFrame | None, as_of: datetime, check_id: str) -> DataFrame:
-    """One check for every report. Column pruning drops the aggregates the other 57 need."""
-    return report_rows(facts, site_aux, as_of).select(
+    """One check for every report, without the aggregates and joins the other 57 need."""
+    return report_rows(facts, site_aux, as_of, frozenset([check_id])).select(
         "report_id", F.lit(check_id).alias("check_id"), ratio_columns()[check_id].alias("ratio"))
 
 

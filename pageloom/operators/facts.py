@@ -121,7 +121,7 @@ def _section_share(md: Column) -> Column:
 
     sections = F.split(md, rx(r"(?m)^##[~s]+.+$"))  # the piece before the first heading comes first
     n = F.size(sections) - 1
-    hits = F.size(F.filter(F.slice(sections, 2, 2147483647), good))
+    hits = F.size(F.filter(F.slice(sections, F.lit(2), F.size(sections)), good))
     return F.when(n > 0, hits / n).otherwise(0.0)
 
 
