@@ -26,7 +26,7 @@ from pageloom.operators.signals import (
 )
 from pageloom.plans.rubric import AVG_IDS, CHECK_IDS, COV_IDS, SEMANTIC_CHECKS, SEMANTIC_LABEL, SOURCE_LABELS, rubric
 from pageloom.plans.schema import missing, no_reason, reason
-from pageloom.session import small
+from pageloom.session import salted_join, small
 
 EVIDENCE_LIMIT = 12
 DATE_SHAPES = [
@@ -48,7 +48,8 @@ def with_page_url(facts: DataFrame, site_aux: DataFrame | None) -> DataFrame:
     if site_aux is None:
         lost = lost.withColumn("url", F.lit(""))
     else:
-        lost = lost.join(site_aux.select("report_id", F.col("root_url").alias("url")), "report_id", "left")
+        roots = site_aux.select("report_id", F.col("root_url").alias("url"))
+        lost = salted_join(lost, roots, ["report_id"], "left", "page_ord")
         lost = lost.withColumn("url", F.coalesce("url", F.lit("")))
     return own.unionByName(lost).withColumn("path", path_of(F.col("url")))
 
@@ -180,12 +181,13 @@ def page_failures(facts: DataFrame, site_aux: DataFrame | None = None) -> DataFr
     # hreflang is judged only where at least one page of the site declares alternates.
     multilingual = facts.filter("declares_hreflang").select("report_id").distinct()
     out = out.unionByName(
-        rows(pages.filter(F.col("bad_hreflang").isNotNull()).join(multilingual, "report_id", "left_semi"), "S21"))
+        rows(salted_join(pages.filter(F.col("bad_hreflang").isNotNull()), multilingual, ["report_id"], "left_semi",
+                         "page_ord"), "S21"))
     if site_aux is None:
         return out
     # A root header that forbids snippets fails every page of the report, whatever the page itself says.
     blocked = site_aux.filter(blocks_snippets(F.col("headers"))).select("report_id")
-    silent = pages.filter(~F.col("nosnippet")).join(blocked, "report_id", "left_semi")
+    silent = salted_join(pages.filter(~F.col("nosnippet")), blocked, ["report_id"], "left_semi", "page_ord")
     return out.unionByName(rows(silent.withColumn("nosnippet", F.lit(True)), "G12"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.urls import dedupe_key, host_of, is_sensitive, path_of, path_priority
+from pageloom.session import salted_join
 
 MAX_PAGES = 10
 MAX_FAILED = 20
@@ -28,7 +29,7 @@ def candidates(links: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``links``: ``report_id, link_ord, url``; ``roots``: ``report_id, root_url``.
     """
-    own = links.join(roots, "report_id").filter(host_of(F.col("url")) == host_of(F.col("root_url")))
+    own = salted_join(links, roots, ["report_id"], "inner", "url").filter(host_of(F.col("url")) == host_of(F.col("root_url")))
     keyed = own.withColumn("key", dedupe_key(F.col("url"))).filter(
         (F.col("key") != "") & (F.col("key") != dedupe_key(F.col("root_url"))))
     return keyed.groupBy("report_id", "root_url", "key").agg(
@@ -90,7 +91,7 @@ def failed_pages(
         .filter(F.coalesce("got", F.lit(0)) < F.col("asked")).select("report_id")
     )
     lost = (
-        submitted.join(short, "report_id", "left_semi")
+        salted_join(submitted, short, ["report_id"], "left_semi", "url")
         .groupBy("report_id", path_of(F.col("url")).alias("path")).agg(F.min("url_ord").alias("ord"))
         .join(paths.select("report_id", "path"), ["report_id", "path"], "left_anti")
         .select("report_id", "path", F.lit(1).alias("pass_no"), "ord", F.lit("timeout").alias("reason"))

@@ -53,3 +53,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint, for tables of a fixed size only (the rubric, the guidance table, word lists)."""
     return F.broadcast(df)
+
+
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: str) -> DataFrame:
+    """Join of a big left side that may be skewed on ``keys`` with a right side of few rows per key.
+
+    The right side is repeated once per salt and the left side picks its salt from ``spread_by``, so a key with a third
+    of all rows is split over ``SALTS`` tasks. The salt comes from the row itself, so a recomputed task repeats it.
+    For inner, left, left_semi and left_anti joins.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
