@@ -23,6 +23,10 @@ def period(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def monthly_usage(events: DataFrame) -> DataFrame:
     """Events per user and month."""
     return events.groupBy("user_id", period(F.col("ts")).alias("period")).agg(F.count("*").alias("count"))
@@ -201,7 +205,7 @@ def rate_limit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
     Requests past the limit keep counting. The windows are anchored at each key's first hit, not on the clock.
     """
-    rows = requests.select("key", "request_id", F.unix_micros("ts").alias("at"))
+    rows = requests.select("key", "request_id", micros(F.col("ts")).alias("at"))
     return ordered_fold(rows, "key", ["at", "request_id"], _FixedWindow(limit, window_ms * 1000), RATE_SCHEMA)
 
 
@@ -237,8 +241,8 @@ def daily_cap(started: DataFrame, attempts: DataFrame, cap: int, window_ms: int
     Both streams are one ordered sequence: starts consume, attempts only look. ``started`` and ``attempts`` hold
     ``request_id, ts``; an attempt sees the starts that come before it.
     """
-    rows = started.select(F.lit("global").alias("key"), "request_id", F.unix_micros("ts").alias("at"), F.lit(True).alias(
-        "consumes")).unionByName(attempts.select(F.lit("global").alias("key"), "request_id", F.unix_micros("ts").alias(
+    rows = started.select(F.lit("global").alias("key"), "request_id", micros(F.col("ts")).alias("at"), F.lit(True).alias(
+        "consumes")).unionByName(attempts.select(F.lit("global").alias("key"), "request_id", micros(F.col("ts")).alias(
             "at"), F.lit(False).alias("consumes")))
     # Looks come before starts at the same instant.
     return ordered_fold(rows, "key", ["at", "consumes", "request_id"], _Gate(cap, window_ms * 1000),
