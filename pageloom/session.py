@@ -28,12 +28,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder:
         return folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-ckpt-"))
     return sc.getCheckpointDir()
 
