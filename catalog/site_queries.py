@@ -8,7 +8,7 @@ from catalog.check_sql import PATH, audit_query, comparable, host
 from catalog.registry import facts, register
 from pageloom import workload
 from pageloom.functions import network, urls
-from pageloom.functions.text import word_count
+from pageloom.functions.text import plain_space, word_count
 from pageloom.operators import sampling
 from pageloom.sources.crawl import pages_from_html
 from pageloom.workload import NL, body_table, table
@@ -79,7 +79,7 @@ def url_parts(spark, sf_dir):
 
 @register("document_word_counts", "SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+')) AS words FROM documents")
 def document_word_counts(spark, sf_dir):
-    return body_table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("words"))
+    return body_table(spark, sf_dir, "documents").select("doc_id", word_count(plain_space(F.col("text"))).alias("words"))
 
 
 @register("page_kinds", _with(f"SELECT report_id, link_ord, {_KIND} AS page_type, {_PRIORITY} AS priority, {_SENS} AS sensitive FROM "

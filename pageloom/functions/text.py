@@ -1,8 +1,9 @@
 """Text primitives shared by every rule.
 
-The rules are defined with ECMAScript regular expressions; Java's differ in three ways that matter here, so patterns
-are written with ``~s`` for the ECMAScript white-space class body, ``\\z`` for end of input and ASCII look-arounds
-instead of ``\\b`` (Java 17 treats accented letters as word characters there).
+The rules are defined with ECMAScript regular expressions; Java's differ in ways that matter here. White space: long
+texts go through ``plain_space`` once, after which Java's ``\\s`` means the same (a class with all the Unicode blanks
+is several times slower). End of input is ``\\z``. Word boundaries are ASCII look-arounds, because Java 17 counts
+accented letters as word characters in ``\\b``.
 """
 
 from __future__ import annotations
@@ -10,47 +11,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: white space in ECMAScript, as the body of a Java character class.
-WS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# White space in ECMAScript beyond ASCII; the two line separators end lines there, as \\r does here.
+_BLANKS = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\ufeff"
+_LINES = "\u2028\u2029"
+_ALL_SPACE = "\t\n\x0b\x0c\r " + _BLANKS + _LINES
 
-_WS_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-
-def rx(pattern: str) -> str:
-    return pattern.replace("~s", WS)
+def plain_space(c: Column) -> Column:
+    """Unicode blanks become spaces, line separators carriage returns; texts without any pass untouched."""
+    exotic = r"[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    has = (F.octet_length(c) > F.length(c)) & F.regexp_like(c, F.lit(exotic))
+    return F.when(has, F.translate(c, _BLANKS + _LINES, " " * len(_BLANKS) + "\r\r")).otherwise(c)
 
 
 def matches(c: Column, pattern: str) -> Column:
-    return F.regexp_like(c, F.lit(rx(pattern)))
+    return F.regexp_like(c, F.lit(pattern))
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:
     """First match, NULL when there is none (or when the group is empty)."""
-    return F.nullif(F.regexp_extract(c, rx(pattern), group), F.lit(""))
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def found_all(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(rx(pattern)), F.lit(group))
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
 def occurrences(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(rx(pattern)))
+    return F.regexp_count(c, F.lit(pattern))
 
 
 def replaced(c: Column, pattern: str, by: str) -> Column:
-    return F.regexp_replace(c, rx(pattern), by)
+    return F.regexp_replace(c, pattern, by)
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(_WS_CHARS))
+    return F.btrim(c, F.lit(_ALL_SPACE))
 
 
 def collapsed(c: Column) -> Column:
-    """Every run of white space becomes one blank; no blanks at the ends.
+    """Every run of white space becomes one blank; no blanks at the ends. For text with plain space.
 
     The pattern skips the single blanks that make up most text, so there is something to replace only elsewhere.
     """
-    return trimmed(replaced(c, r"[~s&&[^ ]][~s]*| [~s]+", " "))
+    return trimmed(replaced(c, r"[\t\n\x0b\f\r]\s*| \s+", " "))
 
 
 def without_tags(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import found, matches, replaced, scrubbed
+from pageloom.functions.text import scrubbed
 
 PATH_LIMIT = 200
 
@@ -95,13 +95,3 @@ def redacted(c: Column) -> Column:
     """Every URL in the text keeps scheme and host only; credentials go, path and query become a marker."""
     marked = F.regexp_replace(c, r"(?i)(https?://[^/?#\s\"')]+)[/?#][^\s\"')]*", "$1/[redacted]")
     return F.regexp_replace(marked, r"(?i)(https?://)[^@/\s?#\"')]*@", "$1")
-
-
-def absolute(u: Column) -> Column:
-    return matches(u, r"(?i)^https?://")
-
-
-__all__ = [
-    "PATH_LIMIT", "SENSITIVE_PATH", "absolute", "after_origin", "comparable", "dedupe_key", "found", "host_of",
-    "is_sensitive", "page_kind", "path_of", "path_priority", "redacted", "replaced", "resolved_canonical",
-]

@@ -8,6 +8,7 @@ pages is no hotter than any other. Evidence comes from a second pass over the fa
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,7 @@ def with_page_url(facts: DataFrame, site_aux: DataFrame | None) -> DataFrame:
     return own.unionByName(lost).withColumn("path", path_of(F.col("url")))
 
 
+@lru_cache(maxsize=1)
 def page_reasons() -> dict[str, Column]:
     """Per coverage check: the failure record of a page, NULL if it passes. Reads facts, ``url`` and ``path``."""
     c = F.col
@@ -244,6 +246,7 @@ def _served_words(root_html: Column) -> Column:
     return word_count(without_tags(shown))
 
 
+@lru_cache(maxsize=1)
 def ratio_columns() -> dict[str, Column]:
     """The 58 ratios of a report row (roll-up joined with uniqueness, home page and per-site inputs); NULL = N/A."""
     c, n = F.col, F.col("n")

@@ -116,7 +116,7 @@ def validate_results(df: DataFrame, column: str) -> DataFrame:
 def trigger_violations(report_id: Column, root_url: Column, domain: Column) -> Column:
     return broken({
         "reportId": matches(report_id, UUID),
-        "rootUrl": matches(root_url, r"(?i)^[a-z][a-z0-9+.-]*://[^~s/?#]+"),
+        "rootUrl": matches(root_url, r"(?i)^[a-z][a-z0-9+.-]*://[^\s/?#]+"),
         "domain": F.length(domain) >= 1,
     })
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import collapsed, trimmed, without_tags, WS
+from pageloom.functions.text import collapsed, plain_space, trimmed, without_tags
 from pageloom.functions.urls import page_kind
 from pageloom.operators.folds import ordered_fold
 from pageloom.plans.rubric import SEMANTIC_CHECKS
@@ -30,7 +30,7 @@ MIN_QUOTE = 8
 def document_text() -> Column:
     """Markdown if there is any, else html without tags; blanks before a line end go."""
     text = F.coalesce(F.nullif("markdown", F.lit("")), without_tags(F.coalesce("html", F.lit(""))))
-    return trimmed(F.regexp_replace(text, rf"[{WS}]+\n", "\n"))
+    return trimmed(F.regexp_replace(plain_space(text), r"\s+\n", "\n"))
 
 
 def prepared_documents(pages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def recent_window(messages: DataFrame, size: int = HISTORY_WINDOW) -> DataFrame:
 
 
 def normal_quote(c: Column) -> Column:
-    return collapsed(F.lower(F.coalesce(c, F.lit(""))))
+    return collapsed(plain_space(F.lower(F.coalesce(c, F.lit("")))))
 
 
 class _Boundary:

@@ -6,6 +6,8 @@ after it touches a page body, so every shuffle in the audit moves facts, never h
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from pageloom.functions.text import (
     found_all,
     matches,
     occurrences,
+    plain_space,
     replaced,
-    rx,
     trimmed,
     without_tags,
     word_count,
@@ -65,9 +67,10 @@ def usable(pages: DataFrame) -> DataFrame:
 
 
 def layered(pages: DataFrame) -> DataFrame:
-    """Text layers of a page: raw, html, src (both, for tag presence) and md."""
+    """Text layers of a page: raw, html, src (both, for tag presence) and md, all with plain space."""
+    texts = pages.withColumns({c: plain_space(F.col(c)) for c in ("raw_html", "html", "markdown")})
     raw = F.coalesce(F.col("raw_html"), F.lit(""))
-    return pages.select(
+    return texts.select(
         "report_id", "page_ord", "source_url", "status_code",
         F.coalesce(F.col("title"), F.lit("")).alias("title"),
         F.coalesce(F.col("description"), F.lit("")).alias("description"),
@@ -94,58 +97,74 @@ def _lead_state(md: Column) -> Column:
     def state(line: Column) -> Column:
         fits = F.length(trimmed(F.regexp_replace(line, MARKUP_CHARS, "")))
         return (
-            F.when(F.length(line) < 60, F.when(matches(line, r"^#{1,6}[~s]"), "heading"))
-            .when(matches(line, r"^#{1,6}[~s]"), "heading")
-            .when(matches(line, r"^(?:[-*>|!]|\d+\.[~s])"), F.lit(None).cast("string"))
+            F.when(F.length(line) < 60, F.when(matches(line, r"^#{1,6}\s"), "heading"))
+            .when(matches(line, r"^#{1,6}\s"), "heading")
+            .when(matches(line, r"^(?:[-*>|!]|\d+\.\s)"), F.lit(None).cast("string"))
             .when(fits < 60, F.lit(None).cast("string"))
             .when((fits <= 400) & matches(line, r"[.!?。]\z"), "pass")
             .otherwise("unfit")
         )
 
-    # Two steps, so that each lambda evaluates its line once.
-    states = F.transform(F.transform(F.split(md, "\n"), trimmed), state)
-    return F.coalesce(F.get(F.filter(states, lambda s: s.isNotNull()), F.lit(0)), F.lit("none"))
+    def first_of(lines: Column) -> Column:
+        # Two steps, so that each lambda evaluates its line once.
+        return F.get(F.filter(F.transform(F.transform(lines, trimmed), state), lambda s: s.isNotNull()), F.lit(0))
+
+    # The deciding line is nearly always among the first; the rest is only looked at when it is not.
+    lines = F.split(md, "\n")
+    head, rest = F.slice(lines, 1, 20), F.slice(lines, F.lit(21), F.size(lines))
+    return F.coalesce(first_of(head), first_of(rest), F.lit("none"))
 
 
-def _section_share(md: Column) -> Column:
+def _sections(md: Column) -> Column:
+    """Text pieces between H2 headings, the piece before the first heading included; NULL without headings."""
+    return F.when(F.contains(md, F.lit("##")), F.split(md, r"(?m)^##\s+.+$"))
+
+
+def _section_share(sections: Column) -> Column:
     """Share of H2 sections whose first prose line is a self-contained answer; 0 without sections."""
     opener = "(?iu)^(?:" + "|".join(FILLER_OPENERS) + ")" + WORD_END
+    skipped = r"^(?:[-*>!|]|\d+\.\s)"
+
+    def first_of(lines: Column) -> Column:
+        return F.get(F.filter(F.transform(lines, trimmed), lambda l: (l != "") & ~matches(l, skipped)), F.lit(0))
 
-    def good(section: Column) -> Column:
-        lines = F.transform(F.split(section, "\n"), lambda l: trimmed(l))
-        first = F.get(F.filter(lines, lambda l: (l != "") & ~matches(l, r"^(?:[-*>!|]|\d+\.[~s])")), F.lit(0))
-        clean = trimmed(F.regexp_replace(first, MARKUP_CHARS, ""))
-        n = word_count(clean)
-        ok = ~matches(first, r"^#{1,6}[~s]") & (n >= 30) & (n <= 130) & ~matches(clean, opener)
-        return F.coalesce(ok, F.lit(False))
+    def first_line(lines: Column) -> Column:
+        return F.coalesce(first_of(F.slice(lines, 1, 10)), first_of(F.slice(lines, F.lit(11), F.size(lines))), F.lit("#"))
 
-    sections = F.split(md, rx(r"(?m)^##[~s]+.+$"))  # the piece before the first heading comes first
+    # One step per value that later steps read more than once.
+    lines = F.transform(F.slice(sections, F.lit(2), F.size(sections)), lambda s: F.split(s, "\n"))
+    prose = F.filter(F.transform(lines, first_line), lambda l: ~matches(l, r"^#{1,6}(?:\s|\z)"))
+    clean = F.transform(prose, lambda l: trimmed(F.regexp_replace(l, MARKUP_CHARS, "")))
+    sized = F.transform(clean, lambda c: F.struct(c.alias("text"), word_count(c).alias("n")))
+    hits = F.size(F.filter(sized, lambda c: (c["n"] >= 30) & (c["n"] <= 130) & ~matches(c["text"], opener)))
     n = F.size(sections) - 1
-    hits = F.size(F.filter(F.slice(sections, F.lit(2), F.size(sections)), good))
     return F.when(n > 0, hits / n).otherwise(0.0)
 
 
 def _takeaway_state(md: Column) -> Column:
-    heading = r"(?iu)(?:^|\n)#{1,6}[~s]*(?:" + "|".join(SUMMARY_HEADINGS) + ")" + WORD_END + r"[\s\S]*"
+    heading = r"(?iu)(?:^|\n)#{1,6}\s*(?:" + "|".join(SUMMARY_HEADINGS) + ")" + WORD_END + r"[\s\S]*"
     top = F.substring(md, F.lit(1), F.greatest(F.lit(500), F.floor(F.length(md) * 0.25)).cast("int"))
-    rest = found(top, heading)
+    rest = F.when(F.contains(md, F.lit("#")), found(top, heading))
     return (
         F.when(md == "", "empty")
         .when(rest.isNull(), "none")
-        .when(matches(rest, r"(?:^|\n)[~s]*(?:[-*][~s]+|\d+\.[~s]+)"), "pass")
+        .when(matches(rest, r"(?:^|\n)\s*(?:[-*]\s+|\d+\.\s+)"), "pass")
         .otherwise("bare")
     )
 
 
 def _statistics(md: Column) -> Column:
+    def where(mark: str, pattern: str) -> Column:
+        return F.when(matches(md, mark), occurrences(md, pattern)).otherwise(0)
+
     return (
-        occurrences(md, r"(?i)\d[\d.,]*[~s]*(?:%|‰|percent)(?![a-z])")
-        + occurrences(md, r"[€$£¥][~s]?\d[\d.,]*")
+        where("(?i)[%‰]|percent", r"(?i)\d[\d.,]*\s*(?:%|‰|percent)(?![a-z])")
+        + where("[€$£¥]", r"[€$£¥]\s?\d[\d.,]*")
         + occurrences(
             md,
-            r"(?i)(?<!\w)(?:\d{2,}|\d+[.,]\d+)[\d.,]*[~s]*(?:k|m|bn|million|billion|thousand)(?![a-z])",
+            r"(?i)(?<!\w)(?:\d{2,}|\d+[.,]\d+)[\d.,]*\s*(?:k|m|bn|million|billion|thousand)(?![a-z])",
         )
-        + occurrences(md, r"(?i)(?<!\w)\d+[~s]*(?:in|of|out of)[~s]*\d+(?!\w)")
+        + occurrences(md, r"(?i)(?<!\w)\d+\s*(?:in|of|out of)\s*\d+(?!\w)")
     )
 
 
@@ -166,7 +185,7 @@ def _brand_score(src: Column, low: Column, title: Column) -> Column:
         found(src, r"""(?i)content=["']([^"']+)["'][^>]*property=["']og:site_name["']""", 1),
     ))
     org = F.when(F.contains(low, F.lit("organization")), found(
-        src, r'(?i)"@type"[~s]*:[~s]*"Organization"[\s\S]{0,300}?"name"[~s]*:[~s]*"([^"]+)"', 1))
+        src, r'(?i)"@type"\s*:\s*"Organization"[\s\S]{0,300}?"name"\s*:\s*"([^"]+)"', 1))
     og, org, title = norm(og), norm(org), norm(title)
     both = (og != "") & (org != "")
     one = F.when(og != "", og).otherwise(org)
@@ -178,8 +197,8 @@ def _brand_score(src: Column, low: Column, title: Column) -> Column:
 
 def _typed_schema() -> Column:
     s = F.col("src")
-    is_type = lambda t: matches(s, r'(?i)"@type"[~s]*:[~s]*"(?:' + t + ')"')
-    has = lambda k: matches(s, r'(?i)"(?:' + k + r')"[~s]*:')
+    is_type = lambda t: matches(s, r'(?i)"@type"\s*:\s*"(?:' + t + ')"')
+    has = lambda k: matches(s, r'(?i)"(?:' + k + r')"\s*:')
     return F.contains(F.col("low"), F.lit('"@type"')) & (
         (is_type("Organization") & has("name|sameAs|logo"))
         | (is_type("Article|BlogPosting|NewsArticle") & has("author") & has("datePublished"))
@@ -190,28 +209,36 @@ def _typed_schema() -> Column:
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """One narrow row per usable page. A projection only: no shuffle, page bodies read once."""
-    base = layered(usable(pages))
+    parts, facts = _fact_columns()
+    return layered(usable(pages)).withColumns(parts).select(*facts)
+
+
+@lru_cache(maxsize=1)
+def _fact_columns() -> tuple[dict[str, Column], list[Column]]:
+    """Intermediate pieces that several facts read, and the facts. Built once: expressions hold no data."""
     src, low, html, md, raw = (F.col(c) for c in ("src", "low", "html", "md", "raw"))
     title, desc = trimmed(F.col("title")), trimmed(F.col("description"))
 
-    texts = base.withColumns({
+    parts = {
         "text": visible_text(),
-        "levels": F.array_join(found_all(html, r"(?i)<h([1-6])[~s>]", 1), ""),
+        "levels": F.array_join(found_all(html, r"(?i)<h([1-6])[\s>]", 1), ""),
         "imgs": found_all(html, r"(?i)<img(?!\w)[^>]*>"),
-        "head": found(raw, r"(?i)<head[~s>][\s\S]*?</head>"),
+        "head": found(raw, r"(?i)<head[\s>][\s\S]*?</head>"),
         "hreflangs": F.when(
             F.contains(low, F.lit("hreflang=")), found_all(src, r"""(?i)hreflang=["']([^"']+)["']""", 1)),
-        "first_h1": F.lower(without_tags(F.regexp_extract(html, r"(?i)<h1[^>]*>([\s\S]*?)</h1>", 1))),
-        "same_as": F.when(F.contains(low, F.lit('"sameas"')), found(src, r'(?i)"sameAs"[~s]*:[~s]*\[([\s\S]*?)\]', 1)),
-    })
+        "first_h1": F.when(F.contains(low, F.lit("<h1")), F.lower(without_tags(
+            F.regexp_extract(html, r"(?i)<h1[^>]*>([\s\S]*?)</h1>", 1)))).otherwise(""),
+        "sections": _sections(md),
+        "same_as": F.when(F.contains(low, F.lit('"sameas"')), found(src, r'(?i)"sameAs"\s*:\s*\[([\s\S]*?)\]', 1)),
+    }
     imgs, head = F.col("imgs"), F.col("head")
     n_img = F.size(imgs)
-    img_tags = occurrences(html, r"(?i)<img[~s>]")
+    img_tags = occurrences(html, r"(?i)<img[\s>]")
     sized = F.size(F.filter(imgs, lambda t: (matches(t, r"(?i)(?<!\w)width=") & matches(t, r"(?i)(?<!\w)height="))
                             | matches(t, r"(?i)aspect-ratio")))
     network = "(?i)" + "|".join(n.replace(".", r"\.") for n in IMAGE_NETWORKS)
     modern = F.least(
-        occurrences(html, r"(?i)\.(?:webp|avif)(?!\w)") + occurrences(html, r"(?i)<picture[~s>]")
+        occurrences(html, r"(?i)\.(?:webp|avif)(?!\w)") + occurrences(html, r"(?i)<picture[\s>]")
         + F.size(F.filter(imgs, lambda t: matches(t, network))), n_img)
     lazy = F.size(F.filter(imgs, lambda t: matches(t, r"""(?i)loading=["']lazy["']""")))
     blocking = F.filter(
@@ -223,11 +250,11 @@ def page_facts(pages: DataFrame) -> DataFrame:
     fresh = F.when(
         F.contains(low, F.lit('"date')) | F.contains(low, F.lit("<time")),
         F.coalesce(
-            found(src, r'(?i)"date(?:Modified|Published)"[~s]*:[~s]*"([^"]+)"', 1),
+            found(src, r'(?i)"date(?:Modified|Published)"\s*:\s*"([^"]+)"', 1),
             found(src, r"""(?i)<time[^>]+datetime=["']([^"']+)["']""", 1)))
 
-    return texts.select(
-        "report_id", "page_ord", "source_url", "status_code",
+    facts = [
+        *map(F.col, ("report_id", "page_ord", "source_url", "status_code")),
         F.length(title).alias("title_len"),
         F.lower(title).alias("title_key"),
         F.length(desc).alias("desc_len"),
@@ -242,7 +269,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
             r"""(?i)<meta[^>]+(?:name=["'](?:robots|googlebot)["'][^>]*content=["'][^"']*noindex"""
             r"""|content=["'][^"']*noindex[^>]*name=["'](?:robots|googlebot)["'])""",
         ).alias("noindex"),
-        occurrences(html, r"(?i)<h1[~s>]").alias("h1_tags"),
+        occurrences(html, r"(?i)<h1[\s>]").alias("h1_tags"),
         word_count_of_collapsed(F.col("text")).alias("words"),
         _within("og:", r"""(?i)property=["']og:(?:title|image)["']""").alias("has_og"),
         F.when(img_tags > 0, occurrences(html, r"(?i)<img[^>]+(?<!\w)alt=") / img_tags).otherwise(1.0).alias("alt_share"),
@@ -254,8 +281,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
         bad_hreflang.alias("bad_hreflang"),
         _within("ld+json", r"""(?i)<script[^>]+type=["']application/ld\+json["']""").alias("has_jsonld"),
         _lead_state(md).alias("lead_state"),
-        (_within("@type", r'(?i)"@type"[~s]*:[~s]*"Question"') | F.contains(low, F.lit("faqpage"))
-         | matches(md, r"(^|\n)#+[^\n]*\?")
+        (_within("@type", r'(?i)"@type"\s*:\s*"Question"') | F.contains(low, F.lit("faqpage"))
+         | (F.contains(md, F.lit("#")) & matches(md, r"(^|\n)#+[^\n]*\?"))
          | (F.contains(low, F.lit("<summary")) & matches(html, r"(?i)<summary[^>]*>[^<]*\?"))).alias("has_qa"),
         _statistics(md).alias("statistics"),
         fresh.alias("fresh_date"),
@@ -265,22 +292,22 @@ def page_facts(pages: DataFrame) -> DataFrame:
         _typed_schema().alias("typed_schema"),
         _within(
             "snippet",
-            r"""(?i)<meta[^>]+name=["']robots["'][^>]*content=["'][^"']*(?:nosnippet|max-snippet:[~s]*0)""",
+            r"""(?i)<meta[^>]+name=["']robots["'][^>]*content=["'][^"']*(?:nosnippet|max-snippet:\s*0)""",
         ).alias("nosnippet"),
-        ((occurrences(md, r"(?m)^[~s]*(?:[-*][~s]+|\d+\.[~s]+)") >= 3)
-         | (occurrences(md, r"(?m)^[~s]*\|.*\|[~s]*$") >= 2)
-         | matches(html, r"(?i)<table[~s>]")).alias("extractable"),
+        ((occurrences(md, r"(?m)^\s*(?:[-*]\s+|\d+\.\s+)") >= 3)
+         | (F.contains(md, F.lit("|")) & (occurrences(md, r"(?m)^\s*\|.*\|\s*$") >= 2))
+         | matches(html, r"(?i)<table[\s>]")).alias("extractable"),
         _authority_links(md).alias("authority_hosts"),
         _brand_score(src, low, F.col("title")).alias("brand_score"),
         (F.col("same_as").isNotNull()).alias("has_same_as"),
         F.coalesce(matches(F.col("same_as"), r"(?i)wikipedia\.org|wikidata\.org"), F.lit(False)).alias("same_as_wiki"),
         F.coalesce(occurrences(F.col("same_as"), r"""(?i)https?://[^"']+"""), F.lit(0)).alias("same_as_links"),
-        _section_share(md).alias("section_share"),
+        F.when(F.col("sections").isNull(), 0.0).otherwise(_section_share(F.col("sections"))).alias("section_share"),
         _takeaway_state(md).alias("takeaway_state"),
         F.when(F.contains(F.lower(html), F.lit("http://")),
                occurrences(html, r"""(?i)(?<!\w)(?:src|srcset|poster)=["']http://""")
                + occurrences(html, r"""(?i)<link[^>]+href=["']http://""")
-               + occurrences(html, r"""(?i)url\([~s]*['"]?http://""")).otherwise(0).alias("insecure_refs"),
+               + occurrences(html, r"""(?i)url\(\s*['"]?http://""")).otherwise(0).alias("insecure_refs"),
         _within("viewport", r"""(?i)<meta[^>]+name=["']viewport["']""").alias("has_viewport"),
         _within("charset", r"(?i)<meta[^>]+charset").alias("has_charset"),
         _within("lang=", r"(?i)<html[^>]+lang=").alias("has_lang"),
@@ -288,8 +315,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.when(n_img > 0, sized / n_img).otherwise(1.0).alias("sized_share"),
         F.when(head.isNotNull(), F.when(F.size(blocking) == 0, 1.0).otherwise(0.0)).alias("head_free"),
         F.when(n_img > 0, (modern / n_img + lazy / n_img) / 2).otherwise(1.0).alias("modern_share"),
-        matches(raw, r"(?i)^[~s]*<!doctype html>").alias("html5"),
+        matches(raw, r"(?i)^\s*<!doctype html>").alias("html5"),
         word_count(without_tags(not_shown)).alias("rendered_words"),
         container_id(src).alias("container_id"),
         *[flag.alias(f"det_{name}") for name, flag in page_detectors(src, low).items()],
-    )
+    ]
+    return parts, facts

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import any_of, found, found_all, matches, trimmed
+from pageloom.functions.text import any_of, found, found_all, matches, plain_space, trimmed
 
 # Signatures (lower case) of each detector.
 ANALYTICS = [
@@ -52,18 +52,18 @@ def page_detectors(src: Column, low: Column) -> dict[str, Column]:
     return {
         "ga4": any_of(low, ANALYTICS)
         | gated("id=g-", r"(?i)[?&]id=G-[A-Z0-9]{10}(?!\w)")
-        | gated("gtag(", r"""(?i)gtag\([~s]*['"]config['"][~s]*,[~s]*['"]G-[A-Z0-9]{10}""")
+        | gated("gtag(", r"""(?i)gtag\(\s*['"]config['"]\s*,\s*['"]G-[A-Z0-9]{10}""")
         | gated("matomo.", r"(?i)(?<!\w)matomo\.(?:js|php)(?!\w)"),
         "gtm": F.contains(low, F.lit("googletagmanager.com/gtm.js")) | gated("id=gtm-", r"(?i)[?&/]id=GTM-[A-Z0-9]+"),
-        "consent": gated("consent", r"""(?i)gtag\([~s]*['"]consent['"]"""),
+        "consent": gated("consent", r"""(?i)gtag\(\s*['"]consent['"]"""),
         "consent_v2": F.contains(low, F.lit("ad_user_data")) & F.contains(low, F.lit("ad_personalization")),
         "cmp": any_of(low, BANNERS),
         "pixels": any_of(low, PIXELS) | gated("rdt(", r"(?i)(?<!\w)rdt\(") | gated("twq(", r"(?i)(?<!\w)twq\("),
         "data_layer": F.contains(low, F.lit("datalayer.push("))
-        | gated("datalayer", r"(?i)dataLayer[~s]*=[~s]*(?:\[|window\.dataLayer)"),
+        | gated("datalayer", r"(?i)dataLayer\s*=\s*(?:\[|window\.dataLayer)"),
         "ua": F.contains(low, F.lit("google-analytics.com/analytics.js"))
         | gated("ua-", r"(?i)(?<!\w)UA-\d{4,}-\d+")
-        | gated("ga(", r"""(?i)(?<!\w)ga\([~s]*['"]create['"]"""),
+        | gated("ga(", r"""(?i)(?<!\w)ga\(\s*['"]create['"]"""),
         "recorder": any_of(low, RECORDERS),
     }
 
@@ -91,8 +91,8 @@ def _robots_blocks(txt: Column, agents: list[str]) -> Column:
     start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("blocked"))
 
     def step(state: Column, line: Column) -> Column:
-        agent = F.lower(trimmed(found(line, r"(?i)^user-agent:[~s]*(.+)\z", 1)))
-        bare = matches(line, r"(?i)^disallow:[~s]*/[~s]*\z")
+        agent = F.lower(trimmed(found(line, r"(?i)^user-agent:\s*(.+)\z", 1)))
+        bare = matches(line, r"(?i)^disallow:\s*/\s*\z")
         return F.when(agent.isNotNull(), F.struct(agent.isin(agents).alias("inside"), state["blocked"].alias("blocked"))
         ).otherwise(F.struct(state["inside"].alias("inside"), (state["blocked"] | (state["inside"] & bare)).alias("blocked")))
 
@@ -100,11 +100,11 @@ def _robots_blocks(txt: Column, agents: list[str]) -> Column:
 
 
 def robots_blocks_site(txt: Column) -> Column:
-    return _robots_blocks(F.coalesce(txt, F.lit("")), ["*"])
+    return _robots_blocks(plain_space(F.coalesce(txt, F.lit(""))), ["*"])
 
 
 def robots_blocks_ai(txt: Column) -> Column:
-    return _robots_blocks(F.coalesce(txt, F.lit("")), AI_CRAWLERS)
+    return _robots_blocks(plain_space(F.coalesce(txt, F.lit(""))), AI_CRAWLERS)
 
 
 def robots_flags(site_aux: DataFrame) -> DataFrame:
@@ -194,4 +194,4 @@ def header_ratios(fetched: Column, headers: Column) -> dict[str, Column]:
 
 def blocks_snippets(headers: Column) -> Column:
     value = F.coalesce(F.try_element_at(headers, F.lit("x-robots-tag")), F.lit(""))
-    return matches(value, r"(?i)nosnippet|max-snippet:[~s]*0")
+    return matches(value, r"(?i)nosnippet|max-snippet:\s*0")

@@ -43,7 +43,7 @@ def robots_text(status: Column, body: Column) -> Column:
 
 def sitemap_found(status: Column, robots: Column) -> Column:
     """A 200 for the sitemap, or a Sitemap line in robots; NULL when the fetch was not attempted."""
-    return F.when(status.isNotNull(), (status == 200) | matches(robots, r"(?i)(^|\n)[~s]*sitemap:"))
+    return F.when(status.isNotNull(), (status == 200) | matches(robots, r"(?i)(^|\n)\s*sitemap:"))
 
 
 def llms_found(status: Column) -> Column:
