@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.check_sql import DIMS, FAILURES, OVERALL, PLAN, audit_query
-from catalog.registry import AS_OF, aux, dims, facts, failures, register, results
+from catalog.registry import AS_OF, aux, dims, facts, failures, register, results, results_table
 from pageloom import workload
 from pageloom.operators import audit, matrix, scoring
 from pageloom.operators.signals import DETECTORS, any_tracking, container_facts, merged_detectors, robots_flags
@@ -128,10 +128,11 @@ def site_detectors(spark, sf_dir):
     "SELECT report_id, gtm_id AS container_id, CASE WHEN known THEN len(list_distinct(regexp_extract_all(gtm_body, 'G-[A-Z0-9]{8,}'))) "
     "END AS ga4_ids, CASE WHEN known THEN len(list_distinct(regexp_extract_all(gtm_body, 'AW-[0-9]+'))) END AS ads_ids FROM site"))
 def tag_containers(spark, sf_dir):
-    rows = audit.report_rows(facts(spark, sf_dir), aux(spark, sf_dir), AS_OF)
-    return rows.select("report_id", "container_id", 
-                       F.when(F.col("container").isNotNull(), F.size("container.ga4")).alias("ga4_ids"),
-                       F.when(F.col("container").isNotNull(), F.size("container.adwords")).alias("ads_ids"))
+    rows = audit.report_rows(facts(spark, sf_dir), aux(spark, sf_dir), AS_OF, frozenset())
+    known = F.col("container").isNotNull()
+    return rows.join(audit.container_ids(facts(spark, sf_dir)), "report_id", "left").select(
+        "report_id", "container_id", F.when(known, F.size("container.ga4")).alias("ga4_ids"),
+        F.when(known, F.size("container.adwords")).alias("ads_ids"))
 
 
 @register("robots_rules", audit_query(
@@ -225,7 +226,7 @@ _TXT = "regexp_replace(format('{:.1f}', score), '[.]0$', '')"
     "' [' || severity || ']', chr(10) ORDER BY rank) AS ts FROM plan WHERE rank <= 6 GROUP BY 1) USING (report_id)",
     DIMS, OVERALL, PLAN))
 def scorecards(spark, sf_dir):
-    res = results(spark, sf_dir)
+    res = results_table(spark, sf_dir)
     d = scoring.dimension_scores(res)
     return scoring.scorecards(d, scoring.overall_scores(d), scoring.action_plan(res))
 
@@ -238,7 +239,7 @@ def scorecards(spark, sf_dir):
     "'\",\"impact\":' || impact || ',\"effort\":' || effort || ',\"quickWin\":' || quick_win || '}', ',' ORDER BY rank) || ']' AS ts "
     "FROM plan WHERE rank <= 8 GROUP BY 1) USING (report_id)", DIMS, OVERALL, PLAN))
 def summary_inputs(spark, sf_dir):
-    res = results(spark, sf_dir)
+    res = results_table(spark, sf_dir)
     d = scoring.dimension_scores(res)
     return scoring.summary_inputs(d, scoring.overall_scores(d), scoring.action_plan(res))
 
@@ -312,7 +313,7 @@ def legacy_evidence(spark, sf_dir):
     "plan p ON g.report_id = p.report_id AND p.rank <= 3", DIMS, OVERALL, PLAN))
 def site_scores_with_top_fixes(spark, sf_dir):
     """The flagship: every site scored, with its grade and the three most valuable fixes."""
-    res = results(spark, sf_dir)
+    res = results_table(spark, sf_dir)
     overall = scoring.overall_scores(scoring.dimension_scores(res)).select("report_id", "overall", "grade", "capped")
     top = scoring.action_plan(res).filter(F.col("rank") <= 3).select(
         "report_id", "rank", "check_id", "finding", "severity", "priority")

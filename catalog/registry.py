@@ -30,6 +30,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 _FACTS: dict[tuple[str, str], DataFrame] = {}
+_AUX: dict[tuple[str, str], DataFrame] = {}
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +41,23 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _FACTS[key]
 
 
+def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-site inputs, an ordinary input table of the audit; derived from the crawl here, so written once as well."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AUX:
+        _AUX[key] = materialize(workload.site_aux(spark, sf_dir), "site-aux")
+    return _AUX[key]
+
+
 def forget_facts() -> None:
-    """Makes the next audit query read the page bodies again (the bench does this before each query)."""
+    """Makes the next audit query start from the input tables again (the bench does this before each query)."""
     _FACTS.clear()
+    _AUX.clear()
 
 
-def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload.site_aux(spark, sf_dir)
+def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check results written out, for queries that read them more than once."""
+    return materialize(results(spark, sf_dir), "check-results")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,8 +224,9 @@ def site_rollup(
     aggs += [F.avg(shares[i]).alias(f"mean_{i}") for i in AVG_IDS if only is None or i in only]
     aggs += [F.avg("brand_score").alias("brand"), F.bool_or("declares_hreflang").alias("multilingual")]
     aggs += [F.bool_or(f"det_{d}").alias(d) for d in DETECTORS]
-    aggs += [F.min_by("container_id", F.when(F.col("container_id").isNotNull(), F.col("page_ord"))).alias(
-        "container_id")]
+    # Only flags and numbers: a string buffer would turn the hash aggregate into a sort of all facts.
+    aggs += [F.bool_or(F.col("container_id").isNotNull()).alias("names_container")]
+    # Stands in for the home page where no page is on the root host (see home_words).
     aggs += [F.min_by("rendered_words", "page_ord").alias("first_words")]
     return pages.groupBy("report_id").agg(*aggs)
 
@@ -241,6 +242,12 @@ def home_words(facts: DataFrame, site_aux: DataFrame) -> DataFrame:
     return per_host.join(roots, ["report_id", "host"]).select("report_id", "home_words")
 
 
+def container_ids(facts: DataFrame) -> DataFrame:
+    """The first tag-container id of each report, in page order."""
+    named = facts.filter(F.col("container_id").isNotNull())
+    return named.groupBy("report_id").agg(F.min_by("container_id", "page_ord").alias("container_id"))
+
+
 def _served_words(root_html: Column) -> Column:
     shown = replaced(replaced(root_html, r"(?i)<script[\s\S]*?</script>", " "), r"(?i)<style[\s\S]*?</style>", " ")
     return word_count(without_tags(shown))
@@ -293,7 +300,7 @@ def report_rows(
         if only is None or "G3" in only:
             rows = rows.join(home_words(facts, site_aux), "report_id", "left")
     # The container is only read for sites whose pages carry its id.
-    return rows.withColumn("container", F.when(F.col("container_id").isNotNull(), container_facts(F.col("gtm_body"))))
+    return rows.withColumn("container", F.when(F.col("names_container"), container_facts(F.col("gtm_body"))))
 
 
 def check_ratio(facts: DataFrame, site_aux: DataFrame | None, as_of: datetime, check_id: str) -> DataFrame:
