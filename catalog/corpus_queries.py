@@ -8,6 +8,7 @@ from catalog.check_sql import audit_query
 from catalog.registry import AS_OF, aux, facts, register, results
 from pageloom import workload
 from pageloom.operators import audit, corpus
+from pageloom.session import materialize
 from pageloom.workload import table
 
 _CRAWL = f"crawl AS ({workload.crawl_sql()})"
@@ -115,7 +116,7 @@ _VERIFIED = _VERIFIED.replace("FROM verdicts JOIN", "FROM (SELECT *, trim(regexp
 def _verified(spark, sf_dir):
     from pyspark.sql import Window
 
-    pages = workload.crawl(spark, sf_dir)
+    pages = materialize(workload.crawl(spark, sf_dir).select("report_id", "page_ord", "markdown"), "markdown")
     t = corpus.normal_quote(F.col("markdown"))
     w = Window.partitionBy("report_id").orderBy("page_ord")
     firsts = (

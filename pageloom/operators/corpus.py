@@ -12,10 +12,11 @@ from pageloom.functions.text import collapsed, plain_space, trimmed, without_tag
 from pageloom.functions.urls import page_kind
 from pageloom.operators.folds import ordered_fold
 from pageloom.plans.rubric import SEMANTIC_CHECKS
-from pageloom.session import salted_join
+from pageloom.session import materialize, salted_join
 
 PAGE_CHARS = 12_000
 REPORT_CHARS = 90_000
+BLOCK = 1_000
 CHUNK_CHARS = 1_200
 CHUNK_OVERLAP = 120
 TITLE_CHARS = 200
@@ -36,20 +37,29 @@ def document_text() -> Column:
 def prepared_documents(pages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Documents of each report in page order until its text budget is used up.
 
-    A page is cut to 12,000 characters and to what is left of 90,000. Every kept page uses at least one character, so
-    no page beyond the first 90,000 non-empty ones can be kept: that rank limit runs before the shuffle and bounds the
-    window, however many pages a report has. The budget is worked out on lengths alone; texts join back afterwards.
+    A page is cut to 12,000 characters and to what is left of 90,000. The budget is a running sum per report, worked out
+    on lengths alone and in two steps, so that a report with a third of all pages is not one window: sums per block of
+    page numbers first (a thousandth of the rows), then, only in the blocks where the budget is not yet used up, page
+    by page. Texts join back afterwards.
     """
     texts = pages.select(
         "report_id", "page_ord", "source_url", F.coalesce("title", F.lit("")).alias("title"),
         F.substring(document_text(), 1, PAGE_CHARS).alias("content")).filter(F.col("content") != "")
-    order = Window.partitionBy("report_id").orderBy("page_ord")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Read three times below; written once, so that the page bodies are not.
+    sizes = materialize(texts.select("report_id", "page_ord", F.floor(F.col("page_ord") / BLOCK).alias("block"),
+                                     F.length("content").alias("chars")), "document-sizes")
+
+    def before(order: str) -> Column:
+        rows = Window.partitionBy("report_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("chars").over(rows), F.lit(0))
+
+    open_blocks = (
+        sizes.groupBy("report_id", "block").agg(F.sum("chars").alias("chars"))
+        .withColumn("spent", before("block")).filter(F.col("spent") < REPORT_CHARS).select("report_id", "block")
+    )
     kept = (
-        texts.select("report_id", "page_ord", F.length("content").alias("chars"))
-        .withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= REPORT_CHARS)
-        .withColumn("used", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-        .filter(F.col("used") < REPORT_CHARS)
+        sizes.join(open_blocks, ["report_id", "block"], "left_semi")
+        .withColumn("used", before("page_ord")).filter(F.col("used") < REPORT_CHARS)
         .select("report_id", "page_ord", "used")
     )
     docs = texts.join(kept, ["report_id", "page_ord"])

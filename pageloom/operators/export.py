@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.operators.audit import check_status, reason_text
 from pageloom.operators.sampling import failed_text
 from pageloom.operators.scoring import score_text
-from pageloom.session import small
+from pageloom.session import salted_join, small
 
 MARKS = {"pass": "PASS", "partial": "PARTIAL", "fail": "FAIL", "not_applicable": "N/A"}
 ASSEMBLY_LIMIT = 10_000
@@ -112,7 +112,7 @@ def markdown_parts(
         F.array_join(F.transform("lost", lambda p: _line("\n- Could not crawl ", p["path"], ": ", p["reason"])), ""), "\n")
     part = lambda df, no, text, key=F.lit(""): df.select(
         "report_id", F.lit(no).alias("part"), key.alias("key"), text.alias("text"))
-    comma = pages.join(cov.select("report_id", "last_path"), "report_id").withColumn(
+    comma = salted_join(pages, cov.select("report_id", "last_path"), ["report_id"], "inner", "path").withColumn(
         "sep", F.when(F.col("path") < F.col("last_path"), ", ").otherwise(""))
     none = "No issues found - every applicable check passed.\n"
     return (
@@ -163,7 +163,7 @@ def json_parts(
     part = lambda df, no, text, key=F.lit(""): df.select(
         "report_id", F.lit(no).alias("part"), key.alias("key"), text.alias("text"))
     quoted = F.regexp_replace(F.regexp_replace(F.to_json(F.array("path")), r"^\[", ""), r"\]\z", "")
-    listed = pages.join(cov.select("report_id", "last_path"), "report_id")
+    listed = salted_join(pages, cov.select("report_id", "last_path"), ["report_id"], "inner", "path")
     return (
         part(cov, 0, _line("{", inner(head), ',\n  "coverage" : {\n  "pagesAudited" : ['))
         .unionByName(part(listed, 1, _line("\n    ", quoted, F.when(F.col("path") < F.col("last_path"), ",").otherwise("")), F.col("path")))
@@ -174,5 +174,5 @@ def json_parts(
 def assembled(parts: DataFrame, pages: DataFrame, limit: int = ASSEMBLY_LIMIT) -> DataFrame:
     """One document per report of up to ``limit`` audited pages; bigger ones are written from their parts."""
     fits = pages.groupBy("report_id").agg(F.count("*").alias("n")).filter(F.col("n") <= limit).select("report_id")
-    return parts.join(fits, "report_id", "left_semi").groupBy("report_id").agg(F.array_join(F.transform(
+    return salted_join(parts, fits, ["report_id"], "left_semi", "key").groupBy("report_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "key", "text"))), lambda p: p["text"]), "").alias("document"))
