@@ -28,10 +28,15 @@ MIN_QUOTE = 8
 # --- documents and chunks -----------------------------------------------------------------------------------------
 
 
-def document_text() -> Column:
-    """Markdown if there is any, else html without tags; blanks before a line end go."""
+def with_document_text(pages: DataFrame) -> DataFrame:
+    """Adds ``content``: markdown if there is any, else html without tags; blanks before a line end go; then the cap.
+
+    In steps, because each reads the one before several times.
+    """
     text = F.coalesce(F.nullif("markdown", F.lit("")), without_tags(F.coalesce("html", F.lit(""))))
-    return trimmed(F.regexp_replace(plain_space(text), r"\s+\n", "\n"))
+    plain = pages.withColumn("content", text).withColumn("content", plain_space(F.col("content")))
+    tidy = F.when(F.contains("content", F.lit("\n")), F.regexp_replace("content", r"\s+\n", "\n")).otherwise(F.col("content"))
+    return plain.withColumn("content", F.substring(trimmed(tidy), 1, PAGE_CHARS))
 
 
 def prepared_documents(pages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -42,12 +47,12 @@ def prepared_documents(pages: DataFrame, roots: DataFrame | None = None) -> Data
     page numbers first (a thousandth of the rows), then, only in the blocks where the budget is not yet used up, page
     by page. Texts join back afterwards.
     """
-    texts = pages.select(
-        "report_id", "page_ord", "source_url", F.coalesce("title", F.lit("")).alias("title"),
-        F.substring(document_text(), 1, PAGE_CHARS).alias("content")).filter(F.col("content") != "")
-    # Read three times below; written once, so that the page bodies are not.
+    texts = with_document_text(pages).select(
+        "report_id", "page_ord", "source_url", F.coalesce("title", F.lit("")).alias("title"), "content")
+    # Read three times below; written once, so that the page bodies are not. Filtered only here: a filter on the text
+    # itself would be pushed below it and evaluate it twice.
     sizes = materialize(texts.select("report_id", "page_ord", F.floor(F.col("page_ord") / BLOCK).alias("block"),
-                                     F.length("content").alias("chars")), "document-sizes")
+                                     F.length("content").alias("chars")), "document-sizes").filter("chars > 0")
 
     def before(order: str) -> Column:
         rows = Window.partitionBy("report_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -254,7 +259,10 @@ def verified_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
         "report_id", "check_id", value.alias("verdict"), normal_quote(F.col("quote")).alias("quote"))
     free = known.filter(F.col("verdict") <= 0).select("report_id", "check_id", "verdict")
     claims = known.filter((F.col("verdict") > 0) & (F.length("quote") >= MIN_QUOTE))
-    texts = pages.select("report_id", "page_ord", normal_quote(F.col("markdown")).alias("text")).filter(F.col("text") != "")
+    texts = (
+        pages.filter(trimmed(F.col("markdown")) != "").select("report_id", "page_ord", F.lower("markdown").alias("text"))
+        .withColumn("text", plain_space(F.col("text"))).withColumn("text", collapsed(F.col("text")))
+    )
 
     hit = F.contains(F.col("text"), F.col("quote"))
     inside = salted_join(texts, claims, ["report_id"], "inner", "page_ord").filter(hit).select(
