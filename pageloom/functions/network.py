@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,15 +68,28 @@ def normalize_domains(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _v4_private(ip: Column) -> Column:
-    """Private, loopback, link-local, carrier, protocol, multicast and reserved ranges; malformed counts as private."""
-    part = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).try_cast("int")
-    a, b, c = part(1), part(2), part(3)
-    ranges = (
+def _octets(ip: Column) -> Column:
+    return F.transform(F.split(ip, r"\."), lambda p: p.try_cast("int"))
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value evaluated once, however often ``fn`` reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _v4_ranges(o: Column) -> Column:
+    a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+    return (
         a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0) & (c == 0))
+        | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
     )
-    return F.when(matches(ip, r"^\d{1,3}(?:\.\d{1,3}){3}\z") & (F.greatest(a, b, c, part(4)) <= 255), ranges).otherwise(True)
+
+
+def _v4_private(ip: Column) -> Column:
+    """Private, loopback, link-local, carrier, protocol, multicast and reserved ranges; malformed counts as private."""
+    protocol = lambda o: (F.get(o, F.lit(0)) == 192) & (F.get(o, F.lit(1)) == 0) & (F.get(o, F.lit(2)) == 0)
+    inside = _let(_octets(ip), lambda o: (F.array_max(o) > 255) | _v4_ranges(o) | protocol(o))
+    return F.when(matches(ip, r"^\d{1,3}(?:\.\d{1,3}){3}\z"), inside).otherwise(True)
 
 
 def _v6_valid(ip: Column) -> Column:
@@ -106,14 +121,8 @@ def is_private_host(host: Column) -> Column:
     """Private by name or by literal address, for hosts that are never resolved."""
     h = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(host, F.lit("")), r":\d+\z", ""), r"\.\z", ""))
     h = F.regexp_replace(h, r"^\[|\]\z", "")
-    v4 = h
-    part = lambda i: F.split_part(v4, F.lit("."), F.lit(i)).try_cast("int")
-    a, b, c = part(1), part(2), part(3)
-    blocked4 = (
-        (F.greatest(a, b, c, part(4)) > 255) | a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254))
-        | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-        | ((a == 192) & (b == 0) & (c == 2))
-    )
+    test_net = lambda o: (F.get(o, F.lit(0)) == 192) & (F.get(o, F.lit(1)) == 0) & (F.get(o, F.lit(2)) == 2)
+    blocked4 = _let(_octets(h), lambda o: (F.array_max(o) > 255) | _v4_ranges(o) | test_net(o))
     is_v4 = r"^\d{1,3}(?:\.\d{1,3}){3}\z"
     mapped = F.regexp_extract(h, r"^::ffff:(.*)\z", 1)
     return (
