@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.registry import AS_OF, facts, register, results
+from catalog.registry import facts, register, results
 from pageloom.operators import access, corpus, limits, scoring
 from pageloom.workload import table
 
@@ -306,5 +306,3 @@ def finished_reports(spark, sf_dir):
         table(spark, sf_dir, "customer").selectExpr("'customer-' || CAST(c_custkey AS STRING) AS report_id"))
     return access.finished_reports(asked, scoring.overall_scores(scoring.dimension_scores(results(spark, sf_dir))))
 
-
-__all__ = ["AS_OF"]

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from catalog.check_sql import DIMS, FAILURES, OVERALL, PLAN, audit_query
 from catalog.registry import AS_OF, aux, dims, facts, failures, register, results, results_table
-from pageloom import workload
 from pageloom.operators import audit, matrix, scoring
-from pageloom.operators.signals import DETECTORS, any_tracking, container_facts, merged_detectors, robots_flags
+from pageloom.operators.signals import DETECTORS, any_tracking, merged_detectors, robots_flags
 from pageloom.plans.rubric import CHECK_IDS, dimensions, rubric
 from pageloom.session import small
 
@@ -319,5 +318,3 @@ def site_scores_with_top_fixes(spark, sf_dir):
         "report_id", "rank", "check_id", "finding", "severity", "priority")
     return overall.join(top, "report_id", "left")
 
-
-__all__ = ["workload", "container_facts"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.check_sql import audit_query
-from catalog.registry import AS_OF, aux, facts, register, results
+from catalog.registry import AS_OF, aux, facts, register
 from pageloom import workload
 from pageloom.operators import audit, corpus
 from pageloom.session import materialize
@@ -143,5 +143,3 @@ def results_with_verdicts(spark, sf_dir):
     out = audit.check_results(facts(spark, sf_dir), aux(spark, sf_dir), AS_OF, _verified(spark, sf_dir))
     return out.select("report_id", "check_id", F.round("ratio", 9).alias("ratio"), "semantic")
 
-
-__all__ = ["results"]

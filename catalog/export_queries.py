@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog.check_sql import DIMS, FAILURES, OVERALL, PLAN, audit_query, lit
 from catalog.registry import aux, facts, failures, register, results
 from catalog.site_queries import _submitted, _SUBMITTED
-from pageloom import workload
 from pageloom.functions.urls import is_sensitive
 from pageloom.operators import audit, export, sampling, scoring
 from pageloom.plans.guidance import GUIDANCE, guidance
@@ -103,5 +102,3 @@ def export_json(spark, sf_dir):
     model = _model(spark, sf_dir)
     return export.assembled(export.json_parts(*model, generated_at=GENERATED), model[4])
 
-
-__all__ = ["workload"]

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.check_sql import PATH, audit_query, comparable, host
-from catalog.registry import facts, register
+from catalog.check_sql import PATH, comparable, host
+from catalog.registry import register
 from pageloom import workload
 from pageloom.functions import network, urls
 from pageloom.functions.text import plain_space, word_count
 from pageloom.operators import sampling
 from pageloom.sources.crawl import pages_from_html
-from pageloom.workload import NL, body_table, table
+from pageloom.workload import body_table, table
 
 _PRIORITY = (
     "CASE WHEN regexp_matches(pth, 'pricing|/plans|/price') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(pth, "
@@ -248,5 +248,3 @@ def client_addresses(spark, sf_dir):
         entry("x-real-ip", F.concat(F.lit("3.3.3."), user), k <= 2))
     return table(spark, sf_dir, "events").select("event_id", network.client_address(headers).alias("client"))
 
-
-__all__ = ["NL", "audit_query", "facts"]

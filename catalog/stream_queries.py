@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.account_queries import _DAY_MS, _LOG_SQL, _RATE_SQL, _USER_KEY, _VERDICT, _reports, _REPORT_SQL
+from catalog.account_queries import _DAY_MS, _RATE_SQL, _REPORT_SQL, _USER_KEY, _VERDICT
 from catalog.registry import register
 from pageloom.streaming.runner import file_stream, latest_emitted, run_to_table
 from pageloom.streaming.stateful import rate_limit_stream, watchdog_stream
@@ -69,5 +69,3 @@ def stream_watchdog(spark, sf_dir):
         "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'done' WHEN 'click' THEN 'queued' WHEN 'signup' THEN 'crawling' ELSE 'embedding' END AS status", "ts")
     return run_to_table(watchdog_stream(changes), "watchdog").drop("_batch")
 
-
-__all__ = ["_LOG_SQL", "_reports"]

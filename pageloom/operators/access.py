@@ -11,7 +11,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import trimmed
 from pageloom.operators.scoring import grade
 from pageloom.session import salted_join
 
@@ -134,5 +133,3 @@ def finished_reports(reports: DataFrame, scores: DataFrame) -> DataFrame:
         "report_id", F.when(done, "done").otherwise("error").alias("status"), F.col("overall").alias("score_overall"),
         F.when(~done, F.lit(NO_CONTENT_TEXT)).alias("error"))
 
-
-__all__ = ["trimmed"]
