@@ -41,4 +41,21 @@ SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN rank
 FROM summed
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": DECONTAMINATION, "op4_mixture": MIXTURE}
+CHAT = r"""
+WITH clean AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS said FROM conversations),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY speaker, said) AS part FROM clean),
+speakers AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM clean WHERE speaker <> 'system'),
+seen AS (SELECT *, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+         FROM numbered JOIN speakers ON conv_id IS NOT DISTINCT FROM c),
+headed AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '[^\p{L}\p{N}_.-]', '_', 'g') ELSE '' END || chr(10) AS head FROM seen),
+pieces AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS piece FROM headed),
+placed AS (SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, part
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pieces)
+SELECT conv_id, perspective, turn, part, speaker, role, piece, start, start + length(piece) AS "end",
+  CASE WHEN role = 'assistant' THEN start + length(head) END AS mask_start,
+  CASE WHEN role = 'assistant' THEN start + length(piece) END AS mask_end
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": DECONTAMINATION, "op4_mixture": MIXTURE, "op8_chat": CHAT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import contamination, mixture, secrets, simhash, toxicity
+from pageloom.llm import chat, contamination, extraction, lattice, mixture, personal, secrets, separators, simhash, toxicity
 from pageloom.llm.columns import table
 from pageloom.llm.oracles import ORACLES
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,11 +32,27 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -40,11 +60,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op3_decontamination": op3_decontamination,
-    "op4_mixture": op4_mixture,
-    "op5_secrets": op5_secrets,
-    "op9_simhash": op9_simhash,
-    "pipeline": pipeline,
-}
+    f.__name__: f for f in (op1_toxicity, op2_extraction, op3_decontamination, op4_mixture, op5_secrets, op6_lattice, op7_personal, op8_chat,
+                            op9_simhash, op10_token_counts, pipeline)}
 SQL: dict[str, str] = ORACLES
