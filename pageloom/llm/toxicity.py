@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.columns import PIECE, flat, pieces, word_bounds
 
-WINDOW = 128  # bytes of a window
+WINDOW = 64  # bytes of a window
 TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 6000, 6000  # labelled rows that training reads at most
 TRAINING_CHARS = 200_000  # longer labelled texts are not trained on; every text is scored whole
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096  # of the dictionaries
+TAIL = 48  # bytes of shared text after a window
 RATIO = 8.0  # how much more often than in ordinary text a word of the toxic sample has to occur
-EDGES = (2, 3, 4)  # bytes saved from which a window counts, one feature each
-PARAMETERS = dict(window_log=16, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=32,
-                  strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False)
+EDGES = (2, 3, 4, 6)  # bytes saved from which a window counts, one feature each
+PARAMETERS = dict(window_log=16, hash_log=16, chain_log=16, search_log=6, min_match=4, target_length=32,
+                  strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False)
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # fixed value: what ends the header of a dictionary in the format's own layout
 
 
@@ -58,17 +59,28 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def saved(raw: np.ndarray, begin: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window against the ordinary one."""
+    """Bytes that the toxic dictionary saves on each window against the ordinary one.
+
+    The last bytes of the part that both dictionaries share follow each window: the compressor looks for no match that begins in
+    the last 16 bytes of its input, and stores short inputs raw. They cost both a single match.
+    """
     if not len(begin):
         return np.zeros(0, np.int64)
-    buffer = zstandard.BufferWithSegments(raw.tobytes(), np.stack([begin, length], 1).astype(np.uint64).tobytes())
+    tail = np.frombuffer(model.ordinary[-TAIL:], np.uint8)
+    whole = length + len(tail)
+    at = np.cumsum(whole) - whole
+    joined = np.empty(int(whole.sum()), np.uint8)
+    joined[((at + length)[:, None] + np.arange(len(tail))).ravel()] = np.tile(tail, len(at))
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    joined[inside + np.repeat(at, length)] = raw[inside + np.repeat(begin, length)]
+    buffer = zstandard.BufferWithSegments(joined.tobytes(), np.stack([at, whole], 1).astype(np.uint64).tobytes())
     sizes = [np.fromiter(map(len, compressor(d).multi_compress_to_buffer(buffer, threads=1)), np.int64, len(begin))
              for d in (model.ordinary, model.toxic)]
     return sizes[0] - sizes[1]
 
 
 def features(column: pa.Array, model: Model) -> np.ndarray:
-    """Per row: the saving per window, shares of windows that save enough, and the log of the windows' number."""
+    """Per row: logs of the shares of windows that save enough, the mean saving, and the log of the windows' number."""
     raw_all, offsets_all = flat(tidy(column))
     out = np.zeros((len(column), len(EDGES) + 2))
     for first, last in pieces(offsets_all, PIECE):
@@ -77,10 +89,10 @@ def features(column: pa.Array, model: Model) -> np.ndarray:
         begin, length, row = windows(raw, offsets)
         won = saved(raw, begin, length, model)
         n = last - first
-        count = np.bincount(row, minlength=n) + 3.0
-        out[first:last, 0] = np.bincount(row, np.clip(won - 1, 0, 6), minlength=n) / count
+        count = np.bincount(row, minlength=n) + 1.0
         for k, edge in enumerate(EDGES):
-            out[first:last, k + 1] = np.bincount(row, won >= edge, minlength=n) / count
+            out[first:last, k] = np.log((np.bincount(row, won >= edge, minlength=n) + 0.1) / count)
+        out[first:last, -2] = np.bincount(row, np.clip(won - 1, 0, 8), minlength=n) / count
         out[first:last, -1] = np.log(count)
     return out
 
