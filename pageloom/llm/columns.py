@@ -51,3 +51,24 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     before = np.concatenate(([False], inside[:-1]))
     after = np.concatenate((inside[1:], [False]))
     return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+LETTERS = np.random.default_rng(20240201).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # multiplier of a byte by its place
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word, A-Z as a-z, all words of the array at once."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    size = end - begin
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    value = (LOWER[raw[place + np.repeat(begin, size)]] + np.uint64(1)) * LETTERS[place & 1023]
+    return mixed_bits(np.add.reduceat(value, at) + size.astype(np.uint64))

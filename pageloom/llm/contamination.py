@@ -11,33 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.columns import flat, pieces, word_bounds
+from pageloom.llm.columns import flat, mixed_bits, pieces, word_bounds, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCK_CHARS = 4_000_000  # characters of test items that one pass over the documents looks for
 
-_RNG = np.random.default_rng(20240201)
-LETTERS = _RNG.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # multiplier of a byte by its place in a word
-PLACES = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # multiplier of a word by its place in a shingle
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[ord("A") : ord("Z") + 1] += 32
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z as a-z, all words of the array at once."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    size = end - begin
-    at = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(at, size)
-    value = (LOWER[raw[place + np.repeat(begin, size)]] + np.uint64(1)) * LETTERS[place & 1023]
-    return _mixed(np.add.reduceat(value, at) + size.astype(np.uint64))
+PLACES = np.random.default_rng(20240202).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # multiplier of a word by its place in a shingle
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +29,7 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.n
     for k in range(width):
         total += words[k : k + n] * PLACES[k]
     whole = row[:n] == row[width - 1 :]
-    return _mixed(total[whole]), row[:n][whole]
+    return mixed_bits(total[whole]), row[:n][whole]
 
 
 def shingles(words: list[bytes], width: int) -> set[bytes]:

@@ -20,6 +20,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, since a match takes all it can
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20  # characters that one entropy is taken over
+LABEL = 40  # characters before a candidate that the allow list may go by, such as sha256:
 #: class: its characters, and the bits per character from which a window counts. A window of 20 characters drawn evenly from
 #: 16, 32 or 64 signs has about 3.3, 3.7 and 4.0 bits; letters of prose alone stay below 3.6 and never make a candidate.
 CLASSES = (
@@ -47,14 +48,13 @@ def window_entropies(text: str, size: int = WINDOW) -> Iterator[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for k, sign in enumerate(text):
+        if k >= size:
+            n = counts[text[k - size]]
+            total += log[n - 1] - log[n]
+            counts[text[k - size]] = n - 1
         n = counts.get(sign, 0)
         total += log[n + 1] - log[n]
         counts[sign] = n + 1
-        if k >= size:
-            old = text[k - size]
-            n = counts[old]
-            total += log[n - 1] - log[n]
-            counts[old] = n - 1
         if k >= size - 1:
             yield np.log2(size) - total / size
 
@@ -96,6 +96,9 @@ def spans(text: str, allowed: Callable[[str], bool]) -> list[tuple[int, int, int
     base = base_spans(text)
     more = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW, text):
+        label = re.search(r"[^\s\"'=]*\Z", text[max(0, m.start() - LABEL) : m.start()])[0]
+        if label and allowed(label + m[0]):
+            continue
         for s, e in random_spans(m[0], allowed):
             s, e = s + m.start(), e + m.start()
             if not any(s < be and bs < e for bs, be, _ in base):

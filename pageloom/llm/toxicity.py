@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,10 +12,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.columns import PIECE, flat, pieces, word_bounds
+from pageloom.llm.columns import PIECE, flat, mixed_bits, pieces, word_bounds, word_hashes
 
 WINDOW = 64  # bytes of a window
 TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 6000, 6000  # labelled rows that training reads at most
+WORDS_AT_ONCE = 1 << 19
+SAMPLES = 60_000  # pieces of ordinary text that the dictionary is trained on
 TRAINING_CHARS = 200_000  # longer labelled texts are not trained on; every text is scored whole
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096  # of the dictionaries
 TAIL = 48  # bytes of shared text after a window
@@ -111,9 +112,29 @@ def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _contexts(texts: list[list[bytes]]) -> Counter:
-    """In how many different places, told apart by the word before, each word stands: copies count once."""
-    return Counter(word for _, word in {pair for words in texts for pair in zip([b"", *words], words, strict=False)})
+class _Words:
+    """All words of some texts as arrays: a few numbers a word, where lists of strings would fill the driver."""
+
+    def __init__(self, texts: list[str]):
+        self.raw, offsets = flat(tidy(pa.array(texts, pa.large_string())))
+        self.begin, self.end = word_bounds(self.raw, offsets)
+        steps = [slice(k, k + WORDS_AT_ONCE) for k in range(0, len(self.begin), WORDS_AT_ONCE)]
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(self.raw, self.begin[k], self.end[k]) for k in steps)])
+        row = np.searchsorted(offsets, self.begin, "right")
+        before = np.where(row == np.concatenate(([-1], row[:-1])), np.concatenate((self.hashes[:1], self.hashes[:-1])), np.uint64(0))
+        _, one = np.unique(mixed_bits(before) + self.hashes, return_index=True)
+        self.known, at, self.counts = np.unique(self.hashes[one], return_index=True, return_counts=True)
+        self.sample = one[at]  # a place where each known word stands
+
+    def contexts(self, words: np.ndarray) -> np.ndarray:
+        """In how many different places, told apart by the word before, each word stands: copies count once."""
+        if not len(self.known):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, self.counts[at], 0)
+
+    def spelled(self, places: np.ndarray) -> list[bytes]:
+        return [self.raw[s:e].tobytes() for s, e in zip(self.begin[places], self.end[places], strict=True)]
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -121,13 +142,15 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
 
     Sharing the ordinary part makes both compress ordinary windows alike, so that a difference comes from toxic words.
     """
-    bad, good = ([t.lower().encode().split() for t in texts] for texts in (toxic, ordinary))
-    in_bad, in_good = _contexts(bad), _contexts(good)
-    n_bad, n_good = max(1, sum(in_bad.values())), max(1, sum(in_good.values()))
+    bad, good = _Words(toxic), _Words(ordinary)
+    n_bad, n_good = max(1, int(bad.counts.sum())), max(1, int(good.counts.sum()))
     least = max(3, round(3.5e-5 * n_bad))
-    telling = {w for w, n in in_bad.items() if n >= least and len(w) >= 4 and n / n_bad >= RATIO * (in_good[w] + 1) / n_good}
-    found = [b" " + w + b" " for words in bad for w in words if w in telling]
-    common = _content([b" ".join(words[k : k + 30]) for words in good for k in range(0, len(words), 30)][:60_000], ORDINARY_BYTES, 64, 8)
+    rare = bad.counts / n_bad >= RATIO * (good.contexts(bad.known) + 1) / n_good
+    telling = bad.known[(bad.counts >= least) & rare & (bad.end[bad.sample] - bad.begin[bad.sample] >= 4)]
+    found = [b" " + w + b" " for w in bad.spelled(np.flatnonzero(np.isin(bad.hashes, telling)))]
+    chunks = np.arange(0, len(good.begin), 30)[:SAMPLES]
+    runs = [good.raw[good.begin[k] : good.end[min(k + 29, len(good.end) - 1)]].tobytes() for k in chunks]
+    common = _content([b" ".join(r.split()) for r in runs], ORDINARY_BYTES, 64, 8)
     return common, _content([b"".join(found[k : k + 6]) for k in range(0, len(found), 6)], TOXIC_BYTES, 16, 6) + common
 
 
