@@ -23,6 +23,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096  # of the dictionaries
 TAIL = 48  # bytes of shared text after a window
 RATIO = 8.0  # how much more often than in ordinary text a word of the toxic sample has to occur
 EDGES = (2, 3, 4, 6)  # bytes saved from which a window counts, one feature each
+MISS_COST = 3.0  # of a toxic row scored low, against an ordinary row scored high
 PARAMETERS = dict(window_log=16, hash_log=16, chain_log=16, search_log=6, min_match=4, target_length=32,
                   strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False)
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # fixed value: what ends the header of a dictionary in the format's own layout
@@ -154,13 +155,14 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     return common, _content([b"".join(found[k : k + 6]) for k in range(0, len(found), 6)], TOXIC_BYTES, 16, 6) + common
 
 
-def logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps."""
+def logistic(rows: np.ndarray, labels: np.ndarray, cost: float = MISS_COST, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Newton steps; a row of label 1 counts ``cost`` times."""
+    weight = np.where(labels == 1, cost, 1.0)
     x = np.c_[rows, np.ones(len(rows))]
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - labels) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - labels)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
