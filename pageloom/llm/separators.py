@@ -118,7 +118,7 @@ def document_lengths(files: DataFrame, folder: str, separator: int = SEPARATOR,
     scanned = materialize(spread.mapInArrow(_scanned(folder, separator, width), "file string, block long, stop long, found array<long>"), "separators")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    summary = scanned.select("file", "block", "stop", F.size("found").alias("n"), F.element_at("found", -1).alias("last"))
+    summary = scanned.select("file", "block", "stop", F.size("found").alias("n"), F.try_element_at("found", F.lit(-1)).alias("last"))
     carried = summary.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"),
                              (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("begin"))
     ends = scanned.where(F.size("found") > 0).join(carried, ["file", "block"])
