@@ -93,7 +93,7 @@ def _messages(spark, sf_dir):
 
 @register("chat_cap", f"WITH {_CHAT_SQL}, m AS (SELECT *, report_id = user_id AS mine, count(*) FILTER (report_id = user_id) OVER (PARTITION BY "
           "report_id ORDER BY message_id) AS pos FROM msgs WHERE role = 'user') SELECT report_id, message_id, CASE WHEN NOT mine THEN 0 WHEN pos <= 2 "
-          "THEN message_id ELSE -1 END AS returned, CASE WHEN mine AND pos <= 2 THEN left(content, 4000) END AS stored FROM m")
+          "THEN message_id ELSE -1 END AS returned, CASE WHEN mine AND pos <= 2 THEN content END AS stored FROM m")
 def chat_cap(spark, sf_dir):
     owners = _messages(spark, sf_dir).select("report_id").distinct().withColumn("user_id", F.col("report_id"))
     return limits.chat_cap(_messages(spark, sf_dir), owners, cap=2)
@@ -107,7 +107,7 @@ def conversation_history(spark, sf_dir):
 @register("conversation_window", f"WITH {_CHAT_SQL} SELECT report_id, message_id, role, age FROM (SELECT *, row_number() OVER (PARTITION BY report_id "
           "ORDER BY message_id DESC) AS age FROM msgs) WHERE age <= 12")
 def conversation_window(spark, sf_dir):
-    return corpus.recent_window(_messages(spark, sf_dir)).select("report_id", "message_id", "role", "age")
+    return corpus.recent_window(_messages(spark, sf_dir), size=12).select("report_id", "message_id", "role", "age")
 
 
 # --- rate limits ---
@@ -281,12 +281,12 @@ def owner_scope_one_user(spark, sf_dir):
           "score_overall >= 70 THEN 'C' WHEN score_overall >= 60 THEN 'D' ELSE 'F' END AS grade FROM reports WHERE created_at >= TIMESTAMP '2024-02-01 00:00:00' - "
           "INTERVAL 7 DAY) WHERE pos <= 100")
 def history_list(spark, sf_dir):
-    return access.history_list(_reports(spark, sf_dir), LATE).select("user_id", "report_id", "pos", "score_overall", "grade")
+    return access.history_list(_reports(spark, sf_dir), LATE, days=7, first=100).select("user_id", "report_id", "pos", "score_overall", "grade")
 
 
 @register("newest_leads", "SELECT o_orderkey AS lead_id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
 def newest_leads(spark, sf_dir):
-    return access.newest_leads(_leads(spark, sf_dir))
+    return access.newest_leads(_leads(spark, sf_dir), first=200)
 
 
 @register("latest_rows", f"WITH {_LOG_SQL} SELECT report_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM log GROUP BY report_id")

@@ -76,11 +76,17 @@ def page_failures_report_wording(spark, sf_dir):
     "SELECT report_id, check_id, string_agg(path || ' (' || reason || ')', '; ' ORDER BY pos) FILTER (pos <= 12) AS failing, "
     "CASE WHEN max(total) > 12 THEN CAST(max(total) - 12 AS INT) END AS more FROM franked GROUP BY ALL", FAILURES))
 def evidence_lists(spark, sf_dir):
-    ev = audit.evidence(failures(spark, sf_dir))
+    ev = audit.evidence(failures(spark, sf_dir), limit=12)
     text = F.transform("failing", lambda f: F.concat(f["path"], F.lit(" ("), audit.reason_text(f["reason"]), F.lit(")")))
     return ev.select("report_id", "check_id", F.array_join(text, "; ").alias("failing"), "more")
 
 
+@register("failing_paths", audit_query("SELECT report_id, check_id, path, first_ord, reason FROM fpaths", FAILURES))
+def failing_paths(spark, sf_dir):
+    rows = audit.failing_paths(failures(spark, sf_dir))
+    return rows.select("report_id", "check_id", "path", "first_ord", audit.reason_text(F.col("reason")).alias("reason"))
+
+
 @register("pages_with_issues", audit_query(
     "SELECT report_id, count(DISTINCT path) AS pages_with_issues FROM fails GROUP BY report_id", FAILURES))
 def pages_with_issues(spark, sf_dir):
@@ -184,7 +190,7 @@ def action_plan(spark, sf_dir):
     "QUALIFY shown <= 20", PLAN))
 def action_plan_high(spark, sf_dir):
     plan = scoring.action_plan(results(spark, sf_dir))
-    return scoring.plan_view(plan, "high").select("report_id", "check_id", "shown")
+    return scoring.plan_view(plan, "high", first=20).select("report_id", "check_id", "shown")
 
 
 @register("severity_counts", audit_query("SELECT report_id, severity, count(*) AS findings FROM plan GROUP BY ALL", PLAN))
@@ -227,7 +233,7 @@ _TXT = "regexp_replace(format('{:.1f}', score), '[.]0$', '')"
 def scorecards(spark, sf_dir):
     res = results_table(spark, sf_dir)
     d = scoring.dimension_scores(res)
-    return scoring.scorecards(d, scoring.overall_scores(d), scoring.action_plan(res))
+    return scoring.scorecards(d, scoring.overall_scores(d), scoring.action_plan(res), top=6)
 
 
 @register("summary_inputs", audit_query(
@@ -240,13 +246,13 @@ def scorecards(spark, sf_dir):
 def summary_inputs(spark, sf_dir):
     res = results_table(spark, sf_dir)
     d = scoring.dimension_scores(res)
-    return scoring.summary_inputs(d, scoring.overall_scores(d), scoring.action_plan(res))
+    return scoring.summary_inputs(d, scoring.overall_scores(d), scoring.action_plan(res), top=8)
 
 
 # --- per page ---
 
 _LISTED = ("listed AS (SELECT r.report_id, r.check_id, r.severity, r.impact, r.ordinal, r.ratio, q.path, q.reason, q.pos, q.total FROM "
-           "franked q JOIN results r USING (report_id, check_id) WHERE q.pos <= 12 AND r.ratio IS NOT NULL)")
+           "franked q JOIN results r USING (report_id, check_id) WHERE r.ratio IS NOT NULL)")
 _MATRIX = ("pm AS (SELECT a.report_id, a.path, count(l.check_id) AS n_failures, max(l.impact) AS worst, "
            "coalesce(string_agg(l.check_id, ',' ORDER BY l.ordinal), '') AS failing FROM (SELECT DISTINCT report_id, path FROM f) a "
            "LEFT JOIN listed l USING (report_id, path) GROUP BY ALL)")
@@ -254,32 +260,31 @@ _SEV = ("CASE worst WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'mediu
         "END")
 
 
-def _with_evidence(spark, sf_dir):
-    return audit.results_with_evidence(results(spark, sf_dir), failures(spark, sf_dir))
+def _pages(spark, sf_dir):
+    return audit.audited_pages(facts(spark, sf_dir), aux(spark, sf_dir))
 
 
-def _matrix(spark, sf_dir):
-    pages = audit.audited_pages(facts(spark, sf_dir), aux(spark, sf_dir))
-    return matrix.page_matrix(pages, _with_evidence(spark, sf_dir))
+def _rows(spark, sf_dir):
+    return matrix.failure_rows(results(spark, sf_dir), failures(spark, sf_dir))
 
 
 @register("page_matrix", audit_query("SELECT report_id, path, failing FROM pm", FAILURES, _LISTED, _MATRIX))
 def page_matrix(spark, sf_dir):
-    return _matrix(spark, sf_dir).select(
+    return matrix.page_matrix(_pages(spark, sf_dir), _rows(spark, sf_dir)).select(
         "report_id", "path", F.array_join(F.transform("failures", lambda f: f["check_id"]), ",").alias("failing"))
 
 
 @register("page_severity", audit_query(
     f"SELECT report_id, path, n_failures, {_SEV} AS severity FROM pm", FAILURES, _LISTED, _MATRIX))
 def page_severity(spark, sf_dir):
-    return matrix.page_severity(_matrix(spark, sf_dir))
+    return matrix.page_severity(_pages(spark, sf_dir), _rows(spark, sf_dir))
 
 
 @register("severity_histogram", audit_query(
     "SELECT report_id, " + ", ".join(f"CAST(count(*) FILTER ({_SEV} = '{b}') AS INT) AS {b}" for b in matrix.BUCKETS)
     + " FROM pm GROUP BY report_id", FAILURES, _LISTED, _MATRIX))
 def severity_histogram(spark, sf_dir):
-    return matrix.severity_histogram(matrix.page_severity(_matrix(spark, sf_dir)))
+    return matrix.severity_histogram(matrix.page_severity(_pages(spark, sf_dir), _rows(spark, sf_dir)))
 
 
 @register("total_issues", audit_query(
@@ -287,24 +292,22 @@ def severity_histogram(spark, sf_dir):
     "LEFT JOIN (SELECT report_id, count(DISTINCT path) AS k FROM fails GROUP BY 1) USING (report_id)",
     FAILURES, _LISTED, _MATRIX))
 def total_issues(spark, sf_dir):
-    hist = matrix.severity_histogram(matrix.page_severity(_matrix(spark, sf_dir)))
+    hist = matrix.severity_histogram(matrix.page_severity(_pages(spark, sf_dir), _rows(spark, sf_dir)))
     return matrix.total_issues(hist, audit.pages_with_issues(failures(spark, sf_dir)))
 
 
 @register("affected_pages", audit_query(
     "SELECT report_id, check_id, CAST(max(total) AS INT) AS affected FROM listed WHERE ratio < 1 GROUP BY ALL", FAILURES, _LISTED))
 def affected_pages(spark, sf_dir):
-    return matrix.affected_pages(_with_evidence(spark, sf_dir))
+    return matrix.affected_pages(_rows(spark, sf_dir))
 
 
 @register("legacy_evidence", audit_query(
     "SELECT report_id, check_id, path, CAST(NULL AS VARCHAR) AS reason FROM listed", FAILURES, _LISTED))
 def legacy_evidence(spark, sf_dir):
-    """Evidence stored in the old shape (bare paths) read back as records."""
-    old = _with_evidence(spark, sf_dir).filter(F.col("failing").isNotNull()).withColumn(
-        "failing", F.transform("failing", lambda f: f["path"]))
-    item = F.explode(matrix.normalized_failing(F.col("failing"), legacy=True)).alias("f")
-    return old.select("report_id", "check_id", item).select("report_id", "check_id", "f.path", "f.reason")
+    """Failing paths in the old shape (bare paths) read back as records, row by row."""
+    item = F.explode(matrix.normalized_failing(F.array("path"), legacy=True)).alias("f")
+    return _rows(spark, sf_dir).select("report_id", "check_id", item).select("report_id", "check_id", "f.path", "f.reason")
 
 
 @register("site_scores_with_top_fixes", audit_query(

@@ -29,8 +29,8 @@ def ext(col: str, pattern: str, group: int = 1) -> str:
 
 Q = "[\"']"
 PATH = (
-    "CASE WHEN regexp_matches(url, '(?i)^https?://[^/]+') THEN coalesce(nullif(left(regexp_replace(regexp_extract(url, "
-    "'(?i)^https?://[^/]+(/[^?#]*)?', 1), '/+$', ''), 200), ''), '/') ELSE coalesce(nullif(left(url, 200), ''), '/') END"
+    "CASE WHEN regexp_matches(url, '(?i)^https?://[^/]+') THEN coalesce(nullif(regexp_replace(regexp_extract(url, "
+    "'(?i)^https?://[^/]+(/[^?#]*)?', 1), '/+$', ''), ''), '/') ELSE coalesce(nullif(url, ''), '/') END"
 )
 
 

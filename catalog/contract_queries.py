@@ -8,7 +8,7 @@ from catalog.registry import register
 from pageloom.functions.urls import redacted
 from pageloom.operators import contract
 from pageloom.sources.crawl import read_results
-from pageloom.workload import body_table, table
+from pageloom.workload import table
 
 # Result documents, one per customer: the key decides which defect (if any) the document has.
 _K = "c_custkey % 22"
@@ -88,7 +88,7 @@ _PATHS = ("CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/a\u200e' WHEN 2 THEN '/'
 
 @register("safe_paths", f"SELECT doc_id, {_SAFE.format(p='p')} AS safe FROM (SELECT doc_id, {_PATHS} AS p FROM documents)")
 def safe_paths(spark, sf_dir):
-    df = body_table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATHS} AS p")
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATHS} AS p")
     return df.select("doc_id", contract.safe_path(F.col("p")).alias("safe"))
 
 
@@ -126,7 +126,7 @@ _when = lambda pairs: "concat_ws(',', " + ", ".join(f"CASE WHEN NOT ({c}) THEN '
 
 
 def _leads(spark, sf_dir):
-    return body_table(spark, sf_dir, "conversations").selectExpr(*[f"{e} AS {n}" for n, e in _LEAD.items()])
+    return table(spark, sf_dir, "conversations").selectExpr(*[f"{e} AS {n}" for n, e in _LEAD.items()])
 
 
 @register("lead_rules", f"WITH {_LEADS} SELECT id, " + _when([

@@ -8,7 +8,7 @@ from catalog.check_sql import audit_query
 from catalog.registry import AS_OF, aux, facts, register
 from pageloom import workload
 from pageloom.operators import audit, corpus
-from pageloom.session import materialize
+from pageloom.session import materialize, salted_join
 from pageloom.workload import table
 
 _CRAWL = f"crawl AS ({workload.crawl_sql()})"
@@ -17,13 +17,11 @@ _KIND = ("CASE WHEN pth IN ('', '/') THEN 'homepage' WHEN regexp_matches(pth, 'p
          "regexp_matches(pth, '/(blog|news|article|post|guide)|/20\\d\\d/') THEN 'blog' WHEN regexp_matches(pth, '/(contact|support|help|docs?)') "
          "THEN 'contact' ELSE 'other' END")
 # Here pages enter with their html as rendered html, so that both tables give documents.
-_DOCS = (f"""{_CRAWL}, texts AS (SELECT report_id, page_ord, source_url AS url, left(coalesce(title, ''), 200) AS title, left(trim(regexp_replace(
-  coalesce(nullif(markdown, ''), regexp_replace(coalesce(html, raw_html, ''), '<[^>]+>', ' ', 'g')), '\\s+\\n', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)),
-  12000) AS content FROM crawl),
-budget AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY report_id ORDER BY page_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
-  FROM texts WHERE content <> ''),
-docs AS (SELECT report_id, page_ord, url, title, {_KIND} AS page_type, left(content, 90000 - CAST(used AS INT)) AS content FROM (SELECT *,
-  lower(regexp_replace(coalesce(url, ''), '(?i)^https?://[^/]+', '')) AS pth FROM budget WHERE used < 90000))""")
+_DOCS = (f"""{_CRAWL}, texts AS (SELECT report_id, page_ord, source_url AS url, coalesce(title, '') AS title, trim(regexp_replace(
+  coalesce(nullif(markdown, ''), regexp_replace(coalesce(html, raw_html, ''), '<[^>]+>', ' ', 'g')), '\\s+\\n', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))
+  AS content FROM crawl),
+docs AS (SELECT report_id, page_ord, url, title, {_KIND} AS page_type, content FROM (SELECT *,
+  lower(regexp_replace(coalesce(url, ''), '(?i)^https?://[^/]+', '')) AS pth FROM texts WHERE content <> ''))""")
 
 
 def _docs(spark, sf_dir):
@@ -70,7 +68,7 @@ def _query_vector(spark, sf_dir) -> list[float]:
 
 
 @register("vector_search", f"WITH {_VEC} SELECT id, report_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)), 8) AS similarity FROM "
-          "vecs ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)) DESC, id LIMIT 50")
+          "vecs ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)) DESC, id LIMIT 500")
 def vector_search(spark, sf_dir):
     out = corpus.match_documents(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), k=500)
     return out.withColumn("similarity", F.round("similarity", 8))
@@ -79,7 +77,7 @@ def vector_search(spark, sf_dir):
 @register("vector_search_filtered", f"WITH {_VEC} SELECT id, report_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)), 8) AS "
           "similarity FROM vecs WHERE report_id = 'label-3' ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)) DESC, id LIMIT 10")
 def vector_search_filtered(spark, sf_dir):
-    out = corpus.match_documents(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), where={"report_id": "label-3"})
+    out = corpus.match_documents(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), k=10, where={"report_id": "label-3"})
     return out.withColumn("similarity", F.round("similarity", 8))
 
 
@@ -89,7 +87,7 @@ def vector_search_filtered(spark, sf_dir):
 def vector_search_batch(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     queries = vectors.groupBy("report_id").agg(F.min("id").alias("query_id"), F.min_by("embedding", "id").alias("query"))
-    return corpus.match_batch(vectors, queries).withColumn("similarity", F.round("similarity", 8))
+    return corpus.match_batch(vectors, queries, k=10).withColumn("similarity", F.round("similarity", 8))
 
 
 @register("metadata_containment", "SELECT event_id, json_extract(props, '$.k') = '7' AND event_type = 'view' AS contained FROM events")
@@ -114,19 +112,18 @@ _VERIFIED = _VERIFIED.replace("FROM verdicts JOIN", "FROM (SELECT *, trim(regexp
 
 
 def _verified(spark, sf_dir):
-    from pyspark.sql import Window
-
     pages = materialize(workload.crawl(spark, sf_dir).select("report_id", "page_ord", "markdown"), "markdown")
     t = corpus.normal_quote(F.col("markdown"))
-    w = Window.partitionBy("report_id").orderBy("page_ord")
-    firsts = (
-        pages.select("report_id", "page_ord", t.alias("t")).filter("t <> ''")
-        .withColumns({"nxt": F.lead("t").over(w), "i": F.row_number().over(w)}).filter("i = 1")
-    )
+    ends = pages.select("report_id", "page_ord", t.alias("t")).filter("t <> ''").select(
+        "report_id", F.struct("page_ord", F.left("t", F.lit(60)).alias("t"), F.right("t", F.lit(12)).alias("tail")).alias("page"))
+    first = ends.groupBy("report_id").agg(F.min("page").alias("first"))
+    second = salted_join(ends, first, ["report_id"], "inner", "page").filter("page.page_ord > first.page_ord").groupBy("report_id").agg(
+        F.min("page").alias("second"))
+    firsts = first.join(second, "report_id", "left").select("report_id", "first.t", "first.tail", F.col("second.t").alias("nxt"))
     verdicts = firsts.select("report_id", F.explode(F.array(*[F.struct(
         F.lit(c).alias("check_id"), F.lit(v).alias("verdict"), q.alias("quote")) for c, v, q in (
             ("G4", 1.0, F.upper(F.substring("t", 3, 40))), ("G6", 0.5, F.lit("words that no page holds")), ("G8", 0.0, F.lit("")),
-            ("G19", 1.7, F.concat(F.right("t", F.lit(12)), F.lit("  "), F.left("nxt", F.lit(12)))),
+            ("G19", 1.7, F.concat("tail", F.lit("  "), F.left("nxt", F.lit(12)))),
             ("S1", 1.0, F.substring("t", 3, 40)))])).alias("v")).select("report_id", "v.*")
     return corpus.verified_verdicts(verdicts, pages)
 

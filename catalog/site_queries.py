@@ -11,7 +11,7 @@ from pageloom.functions import network, urls
 from pageloom.functions.text import plain_space, word_count
 from pageloom.operators import sampling
 from pageloom.sources.crawl import pages_from_html
-from pageloom.workload import body_table, table
+from pageloom.workload import table
 
 _PRIORITY = (
     "CASE WHEN regexp_matches(pth, 'pricing|/plans|/price') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(pth, "
@@ -64,7 +64,7 @@ def _with(select: str, *parts: str) -> str:
           "'(?is)<title[^>]*>(.*?)</title>', 1) AS title, length(html) AS chars, len(regexp_extract_all(html, "
           "'(?i)<a[^>]+href=[\"'']([^\"'']+)[\"'']', 1)) AS n_links FROM pages")
 def page_table_adapter(spark, sf_dir):
-    return pages_from_html(body_table(spark, sf_dir, "pages")).select(
+    return pages_from_html(table(spark, sf_dir, "pages")).select(
         "report_id", "page_ord", "source_url", "title", F.length("raw_html").alias("chars"), F.size("links").alias("n_links"))
 
 
@@ -79,7 +79,7 @@ def url_parts(spark, sf_dir):
 
 @register("document_word_counts", "SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+')) AS words FROM documents")
 def document_word_counts(spark, sf_dir):
-    return body_table(spark, sf_dir, "documents").select("doc_id", word_count(plain_space(F.col("text"))).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", word_count(plain_space(F.col("text"))).alias("words"))
 
 
 @register("page_kinds", _with(f"SELECT report_id, link_ord, {_KIND} AS page_type, {_PRIORITY} AS priority, {_SENS} AS sensitive FROM "
@@ -98,7 +98,7 @@ def link_candidates(spark, sf_dir):
 
 @register("page_picks", _with("SELECT report_id, pos, url FROM picked", _LINKS_SQL, _ROOTS_SQL, _CANDS_SQL, _PICK_SQL))
 def page_picks(spark, sf_dir):
-    return sampling.pick_pages(_links(spark, sf_dir), _roots(spark, sf_dir))
+    return sampling.pick_pages(_links(spark, sf_dir), _roots(spark, sf_dir), size=10)
 
 
 @register("excluded_counts", _with(f"SELECT report_id, count(*) FILTER ({_SENS}) AS pages_excluded FROM cands GROUP BY report_id",
@@ -112,7 +112,7 @@ def excluded_counts(spark, sf_dir):
           "1) AS l FROM pages)) WHERE u <> '' GROUP BY ALL")
 def exploded_links(spark, sf_dir):
     """Links of every page; every other entry arrives as a record instead of a bare URL."""
-    pages = pages_from_html(body_table(spark, sf_dir, "pages")).select("report_id", F.transform(
+    pages = pages_from_html(table(spark, sf_dir, "pages")).select("report_id", F.transform(
         "links", lambda l, i: F.when(i % 3 == 0, F.to_json(F.struct(l.alias("url")))).when(
             i % 3 == 1, F.to_json(F.struct(l.alias("href")))).otherwise(l)).alias("links"))
     return sampling.exploded_links(pages).groupBy("report_id", "link_ord").agg(F.count("*").alias("n"))
@@ -140,14 +140,13 @@ def _returned(spark, sf_dir):
 
 
 @register("failed_pages", _with(
-    "SELECT report_id, pos, path, reason, CASE reason WHEN '4xx' THEN 'returned a 4xx error' WHEN '5xx' THEN 'returned a 5xx server error' "
-    "WHEN 'no-content' THEN 'returned no usable content' ELSE 'timed out / never returned' END AS text FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY report_id ORDER BY pass_no, ord, path) AS pos FROM (SELECT report_id, path, 0 AS pass_no, min(page_ord) AS ord, CASE WHEN "
+    "SELECT report_id, pass_no, ord, path, reason, CASE reason WHEN '4xx' THEN 'returned a 4xx error' WHEN '5xx' THEN 'returned a 5xx server error' "
+    "WHEN 'no-content' THEN 'returned no usable content' ELSE 'timed out / never returned' END AS text FROM (SELECT report_id, path, 0 AS pass_no, min(page_ord) AS ord, CASE WHEN "
     "arg_min(coalesce(status_code, 0), page_ord) >= 500 THEN '5xx' WHEN arg_min(coalesce(status_code, 0), page_ord) >= 400 THEN '4xx' ELSE "
     f"'no-content' END AS reason FROM ret GROUP BY report_id, path HAVING NOT bool_or(good) UNION ALL SELECT report_id, {PATH} AS path, 1, "
     "min(url_ord), 'timeout' FROM submitted WHERE report_id IN (SELECT report_id FROM (SELECT report_id, count(*) AS asked FROM submitted GROUP "
     "BY 1) LEFT JOIN (SELECT report_id, count(*) AS got FROM crawl GROUP BY 1) USING (report_id) WHERE coalesce(got, 0) < asked) GROUP BY "
-    "report_id, path HAVING (report_id, path) NOT IN (SELECT (report_id, path) FROM ret))) WHERE pos <= 20",
+    "report_id, path HAVING (report_id, path) NOT IN (SELECT (report_id, path) FROM ret))",
     f"crawl AS ({workload.crawl_sql()})", _SUBMITTED,
     f"ret AS (SELECT report_id, page_ord, status_code, {_RETURNED_PATH} AS path, coalesce(status_code NOT IN (404, 503), true) AND "
     "(coalesce(html, '') <> '' OR coalesce(raw_html, '') <> '' OR coalesce(markdown, '') <> '') AS good FROM crawl WHERE source_url IS NOT "

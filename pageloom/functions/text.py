@@ -70,9 +70,9 @@ def word_count(c: Column) -> Column:
     return word_count_of_collapsed(collapsed(c))
 
 
-def scrubbed(c: Column, limit: int = 200) -> Column:
-    """Control characters out, then a length cap; for free text taken from pages."""
-    return F.substring(F.regexp_replace(c, r"[\x00-\x1f\x7f]", ""), 1, limit)
+def scrubbed(c: Column) -> Column:
+    """Text taken from pages without its control characters."""
+    return F.regexp_replace(c, r"[\x00-\x1f\x7f]", "")
 
 
 def clamp01(c: Column) -> Column:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import scrubbed
 
-PATH_LIMIT = 200
-
 # Path rules, first match wins, then the priority of a path among the candidates of a site.
 PAGE_KINDS = [
     ("homepage", r"^/?\z"),
@@ -41,8 +39,8 @@ def host_of(u: Column) -> Column:
 
 def path_of(u: Column) -> Column:
     """Path without query, fragment and trailing slashes; '/' for the root; other text is kept as it is."""
-    inner = scrubbed(F.regexp_replace(F.regexp_extract(u, r"(?i)^https?://[^/]+(/[^?#]*)?", 1), r"/+\z", ""), PATH_LIMIT)
-    plain = F.when(F.regexp_like(u, F.lit(r"(?i)^https?://[^/]+")), inner).otherwise(scrubbed(u, PATH_LIMIT))
+    inner = scrubbed(F.regexp_replace(F.regexp_extract(u, r"(?i)^https?://[^/]+(/[^?#]*)?", 1), r"/+\z", ""))
+    plain = F.when(F.regexp_like(u, F.lit(r"(?i)^https?://[^/]+")), inner).otherwise(scrubbed(u))
     return F.when((plain == "") | plain.isNull(), F.lit("/")).otherwise(plain)
 
 

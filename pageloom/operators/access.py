@@ -103,8 +103,8 @@ def score_pill(score: Column) -> Column:
     return F.when(score.isNull(), "?").otherwise(grade(score))
 
 
-def history_list(reports: DataFrame, as_of: datetime, days: int = 7, first: int = 100) -> DataFrame:
-    """The newest reports of the window per user, with the grade of the score."""
+def history_list(reports: DataFrame, as_of: datetime, days: int, first: int) -> DataFrame:
+    """The ``first`` newest reports of the last ``days`` per user, with the grade of the score."""
     order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "report_id")
     return (
         reports.filter(F.col("created_at") >= F.lit(as_of - timedelta(days=days)))
@@ -114,7 +114,7 @@ def history_list(reports: DataFrame, as_of: datetime, days: int = 7, first: int
     )
 
 
-def newest_leads(leads: DataFrame, first: int = 200) -> DataFrame:
+def newest_leads(leads: DataFrame, first: int) -> DataFrame:
     return leads.orderBy(F.desc("created_at"), "lead_id").limit(first)
 
 

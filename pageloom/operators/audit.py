@@ -29,7 +29,6 @@ from pageloom.plans.rubric import AVG_IDS, CHECK_IDS, COV_IDS, SEMANTIC_CHECKS,
 from pageloom.plans.schema import missing, no_reason, reason
 from pageloom.session import salted_join, small
 
-EVIDENCE_LIMIT = 12
 DATE_SHAPES = [
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy/M/d", "d MMM yyyy HH:mm:ss z",
 ]
@@ -350,8 +349,10 @@ def failing_paths(failures: DataFrame) -> DataFrame:
         F.min("page_ord").alias("first_ord"), F.min_by("reason", "page_ord").alias("reason"))
 
 
-def evidence(failures: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
-    """Up to ``limit`` failing paths per report and check, in page order, and how many more there are.
+def evidence(failures: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` failing paths per report and check, in page order, and how many more there are.
+
+    A list for display: whatever counts or judges pages reads ``failing_paths``, which is whole.
 
     The rank filter becomes a per-partition limit before the shuffle, so a hot report sends ``limit`` rows per task;
     the overflow is a plain count. Both read the same exchange.
@@ -388,19 +389,22 @@ def where_label() -> Column:
     return F.when(F.col("ratio").isNotNull(), label)
 
 
-def results_with_evidence(results: DataFrame, failures: DataFrame) -> DataFrame:
-    """Check results with ``where``, ``checked``, ``failing`` and ``more``; N/A and overridden checks list no pages."""
+def results_with_evidence(results: DataFrame, failures: DataFrame, limit: int) -> DataFrame:
+    """Check results with ``where``, ``checked``, and the first ``limit`` failing paths; N/A and overridden checks list none."""
     listed = F.col("ratio").isNotNull() & ~F.col("semantic")
-    per_page = F.col("kind").isin("cov", "avg") & (F.col("ratio").isNotNull()) & ~F.col("semantic")
     return (
-        results.join(evidence(failures), ["report_id", "check_id"], "left")
-        .withColumn("where", where_label())
-        .withColumn("checked", F.when(per_page, F.col("n")))
+        results_with_source(results).join(evidence(failures, limit), ["report_id", "check_id"], "left")
         .withColumn("failing", F.when(listed, F.col("failing")))
         .withColumn("more", F.when(listed, F.col("more")))
     )
 
 
+def results_with_source(results: DataFrame) -> DataFrame:
+    """Check results with where the check looked and, for checks of single pages, how many it saw."""
+    per_page = F.col("kind").isin("cov", "avg") & F.col("ratio").isNotNull() & ~F.col("semantic")
+    return results.withColumn("where", where_label()).withColumn("checked", F.when(per_page, F.col("n")))
+
+
 def audited_pages(facts: DataFrame, site_aux: DataFrame | None = None) -> DataFrame:
     """Distinct paths of the usable pages, as rows; ordered by whoever writes them."""
     return with_page_url(facts, site_aux).select("report_id", "path").distinct()

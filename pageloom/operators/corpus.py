@@ -1,7 +1,8 @@
-"""The searchable corpus: documents under a text budget, chunks, vector search, conversations, quote checks."""
+"""The searchable corpus: documents, chunks, vector search, conversations, quote checks."""
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 import pandas as pd
@@ -14,14 +15,9 @@ from pageloom.operators.folds import ordered_fold
 from pageloom.plans.rubric import SEMANTIC_CHECKS
 from pageloom.session import materialize, salted_join
 
-PAGE_CHARS = 12_000
-REPORT_CHARS = 90_000
 BLOCK = 1_000
 CHUNK_CHARS = 1_200
 CHUNK_OVERLAP = 120
-TITLE_CHARS = 200
-TOP_K, TOP_K_CEILING = 10, 50
-HISTORY_WINDOW = 12
 MIN_QUOTE = 8
 
 
@@ -29,30 +25,39 @@ MIN_QUOTE = 8
 
 
 def with_document_text(pages: DataFrame) -> DataFrame:
-    """Adds ``content``: markdown if there is any, else html without tags; blanks before a line end go; then the cap.
+    """Adds ``content``: markdown if there is any, else html without tags; blanks before a line end go.
 
     In steps, because each reads the one before several times.
     """
     text = F.coalesce(F.nullif("markdown", F.lit("")), without_tags(F.coalesce("html", F.lit(""))))
     plain = pages.withColumn("content", text).withColumn("content", plain_space(F.col("content")))
     tidy = F.when(F.contains("content", F.lit("\n")), F.regexp_replace("content", r"\s+\n", "\n")).otherwise(F.col("content"))
-    return plain.withColumn("content", F.substring(trimmed(tidy), 1, PAGE_CHARS))
+    return plain.withColumn("content", trimmed(tidy))
 
 
-def prepared_documents(pages: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Documents of each report in page order until its text budget is used up.
+def prepared_documents(pages: DataFrame, roots: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """One document per page with text, whole; with a ``budget``, those of each report in page order until it is used up."""
+    texts = with_document_text(pages).select("report_id", "page_ord", "source_url", F.coalesce("title", F.lit("")).alias("title"), "content")
+    # A filter on the text would be pushed below it and evaluate it twice; a generator is not.
+    docs = texts.withColumn("content", F.explode(F.filter(F.array("content"), lambda c: c != "")))
+    if budget is not None:
+        docs = within_budget(materialize(docs, "documents"), budget)
+    if roots is not None:
+        docs = salted_join(docs, roots.select("report_id", "root_url"), ["report_id"], "left", "page_ord")
+        url = F.coalesce("source_url", "root_url")
+    else:
+        url = F.col("source_url")
+    return docs.select("report_id", "page_ord", url.alias("url"), "title", page_kind(url).alias("page_type"), "content")
 
-    A page is cut to 12,000 characters and to what is left of 90,000. The budget is a running sum per report, worked out
-    on lengths alone and in two steps, so that a report with a third of all pages is not one window: sums per block of
-    page numbers first (a thousandth of the rows), then, only in the blocks where the budget is not yet used up, page
-    by page. Texts join back afterwards.
+
+def within_budget(docs: DataFrame, budget: int) -> DataFrame:
+    """Documents of each report in page order until ``budget`` characters are used up, the last one cut.
+
+    A running sum per report, worked out on lengths alone and in two steps, so that a report with a third of all pages is
+    not one window: sums per block of page numbers first (a thousandth of the rows), then, only in the blocks where the
+    budget is not yet used up, page by page. Texts join back afterwards.
     """
-    texts = with_document_text(pages).select(
-        "report_id", "page_ord", "source_url", F.coalesce("title", F.lit("")).alias("title"), "content")
-    # Read three times below; written once, so that the page bodies are not. Filtered only here: a filter on the text
-    # itself would be pushed below it and evaluate it twice.
-    sizes = materialize(texts.select("report_id", "page_ord", F.floor(F.col("page_ord") / BLOCK).alias("block"),
-                                     F.length("content").alias("chars")), "document-sizes").filter("chars > 0")
+    sizes = docs.select("report_id", "page_ord", F.floor(F.col("page_ord") / BLOCK).alias("block"), F.length("content").alias("chars"))
 
     def before(order: str) -> Column:
         rows = Window.partitionBy("report_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,32 +65,24 @@ def prepared_documents(pages: DataFrame, roots: DataFrame | None = None) -> Data
 
     open_blocks = (
         sizes.groupBy("report_id", "block").agg(F.sum("chars").alias("chars"))
-        .withColumn("spent", before("block")).filter(F.col("spent") < REPORT_CHARS).select("report_id", "block")
+        .withColumn("spent", before("block")).filter(F.col("spent") < budget).select("report_id", "block")
     )
     kept = (
         sizes.join(open_blocks, ["report_id", "block"], "left_semi")
-        .withColumn("used", before("page_ord")).filter(F.col("used") < REPORT_CHARS)
+        .withColumn("used", before("page_ord")).filter(F.col("used") < budget)
         .select("report_id", "page_ord", "used")
     )
-    docs = texts.join(kept, ["report_id", "page_ord"])
-    if roots is not None:
-        docs = docs.join(roots.select("report_id", "root_url"), "report_id", "left")
-        url = F.coalesce("source_url", "root_url")
-    else:
-        url = F.col("source_url")
-    return docs.select(
-        "report_id", "page_ord", url.alias("url"), F.substring("title", 1, TITLE_CHARS).alias("title"),
-        page_kind(url).alias("page_type"),
-        F.expr(f"substring(content, 1, cast({REPORT_CHARS} - used as int))").alias("content"))
+    return docs.join(kept, ["report_id", "page_ord"]).withColumn(
+        "content", F.expr(f"substring(content, 1, cast({budget} - used as int))")).drop("used")
 
 
 def fixed_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Windows of ``size`` characters, each repeating the last ``overlap`` of the one before."""
+    """Windows of ``size`` characters, each repeating the last ``overlap`` of the one before; only windows leave the row."""
     step = size - overlap
     n = F.length("content")
     last = F.greatest(F.ceil((n - overlap) / F.lit(step)).cast("int"), F.lit(1)) - 1
-    return docs.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last))).withColumn(
-        "content", F.expr(f"substring(content, chunk_no * {step} + 1, {size})"))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("content"), i * step + 1, F.lit(size)))
+    return docs.select(*[c for c in docs.columns if c != "content"], F.posexplode(cut).alias("chunk_no", "content"))
 
 
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
@@ -122,7 +119,7 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
 
 
 def separator_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks that prefer paragraph, line and word ends; a document is at most 12,000 characters, so a row is small."""
+    """Chunks that prefer paragraph, line and word ends, of whole documents; texts pass in Arrow batches."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -147,14 +144,8 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; NULL when a vector is all zeros."""
-    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when(norms > 0, _dot(a, b) / norms)
-
-
-def top_limit(k: int | None) -> int:
-    return min(TOP_K if k is None else k, TOP_K_CEILING)
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
 
 
 def contains_filter(metadata: Column, wanted: Column) -> Column:
@@ -162,31 +153,35 @@ def contains_filter(metadata: Column, wanted: Column) -> Column:
     return F.forall(F.map_entries(wanted), lambda e: F.try_element_at(metadata, e["key"]).eqNullSafe(e["value"]))
 
 
-def match_documents(
-    corpus: DataFrame, query: list[float], k: int | None = None, where: dict[str, Any] | None = None
-) -> DataFrame:
-    """Most similar rows for one query vector, filtered on promoted metadata columns.
+def match_documents(corpus: DataFrame, query: list[float], k: int, where: dict[str, Any] | None = None) -> DataFrame:
+    """The ``k`` most similar rows for one query vector, filtered on promoted metadata columns.
 
-    The filter reaches the scan and the ordering is a per-task top-k followed by a merge of k rows per task.
+    The filter reaches the scan and the ordering is a per-task top-k followed by a merge of k rows per task. The query's
+    norm is worked out here, once; a row of zeros has no similarity.
     """
     rows = corpus
     for column, value in (where or {}).items():
         rows = rows.filter(F.col(column) == F.lit(value))
+    length = math.sqrt(sum(float(v) ** 2 for v in query))
     vector = F.array(*[F.lit(float(v)) for v in query])
-    scored = rows.withColumn("similarity", cosine(F.col("embedding"), vector))
-    return scored.orderBy(F.col("similarity").desc_nulls_last(), "id").limit(top_limit(k)).drop("embedding")
+    both = norm(F.col("embedding")) * F.lit(length)
+    scored = rows.withColumn("both", both).withColumn("similarity", F.when(F.col("both") > 0, _dot(F.col("embedding"), vector) / F.col("both")))
+    return scored.orderBy(F.col("similarity").desc_nulls_last(), "id").limit(k).drop("embedding", "both")
 
 
-def match_batch(corpus: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+def match_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The same for many queries, each within its own report: an equi-join on ``report_id``, salted by document.
 
-    ``corpus``: ``id, report_id, embedding``; ``queries``: ``query_id, report_id, query``. The rank filter keeps k rows
-    per query and task before anything is shuffled.
+    ``corpus``: ``id, report_id, embedding``; ``queries``: ``query_id, report_id, query``. Norms are worked out once per
+    vector, before the join; the rank filter keeps k rows per query and task before anything is shuffled.
     """
-    pairs = salted_join(corpus, queries, ["report_id"], "inner", "id")
-    scored = pairs.select("query_id", "report_id", "id", cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    left = corpus.withColumn("length", norm(F.col("embedding")))
+    right = queries.withColumn("query_length", norm(F.col("query")))
+    pairs = salted_join(left, right, ["report_id"], "inner", "id").withColumn("both", F.col("length") * F.col("query_length"))
+    similarity = F.when(F.col("both") > 0, _dot(F.col("embedding"), F.col("query")) / F.col("both"))
+    scored = pairs.select("query_id", "report_id", "id", similarity.alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id")
-    return scored.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= top_limit(k))
+    return scored.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
 
 
 # --- conversations ------------------------------------------------------------------------------------------------
@@ -198,7 +193,7 @@ def history(messages: DataFrame) -> DataFrame:
         "report_id", "message_id").sortWithinPartitions("report_id", "message_id")
 
 
-def recent_window(messages: DataFrame, size: int = HISTORY_WINDOW) -> DataFrame:
+def recent_window(messages: DataFrame, size: int) -> DataFrame:
     """The last ``size`` messages of each conversation."""
     order = Window.partitionBy("report_id").orderBy(F.desc("message_id"))
     return messages.withColumn("age", F.row_number().over(order)).filter(F.col("age") <= size)

@@ -1,12 +1,14 @@
 """Reports as documents: the export model, Markdown and JSON.
 
-Everything in a document is bounded by the rubric and the evidence limit except the list of audited pages. That list
-stays in rows: a document is a table of parts ``(report_id, part, key, text)`` whose texts, in order, are the document.
-Writers sort the parts; ``assembled`` joins them for reports of ordinary size.
+A document is a table of parts ``(report_id, part, key, text)`` whose texts, in order of part and key, are the document.
+Lists without a bound (audited pages, failing pages of a check, pages that could not be crawled) are a part per element, so
+nothing is cut and no report is ever gathered into one value.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,164 +17,199 @@ from pageloom.operators.sampling import failed_text
 from pageloom.operators.scoring import score_text
 from pageloom.session import salted_join, small
 
+# Marks, headings and sentences of the documents.
 MARKS = {"pass": "PASS", "partial": "PARTIAL", "fail": "FAIL", "not_applicable": "N/A"}
-ASSEMBLY_LIMIT = 10_000
-
-
-def _failing_text(failing: Column) -> Column:
-    return F.transform(failing, lambda f: F.struct(f["path"].alias("path"), reason_text(f["reason"]).alias("reason")))
+PLAN_HEADING = "## Prioritized action plan\n\n"
+CHECKS_HEADING = "## Full check results\n\n"
+COVERAGE_HEADING = "\n## Crawl coverage\n\n"
+NO_ISSUES = "No issues found - every applicable check passed.\n"
 
 
 def export_checks(results: DataFrame, guidance: DataFrame) -> DataFrame:
-    """Checks with status, guidance and failing pages as text records."""
-    return results.join(small(guidance.select("check_id", "why", "fix", "example")), "check_id", "left").select(
+    """Checks with status and guidance; their failing pages are the rows of ``export_pages``."""
+    return results.join(small(guidance.select("check_id", "why", "fix", "example", "when_na")), "check_id", "left").select(
         "report_id", "check_id", "ordinal", "label", "dimension", "severity", "ratio", "where", "why", "fix", "example",
-        check_status(F.col("ratio")).alias("status"), _failing_text(F.col("failing")).alias("failing"), "more")
+        F.when(F.col("ratio").isNull(), F.col("when_na")).alias("when_na"), check_status(F.col("ratio")).alias("status"))
+
+
+def export_pages(rows: DataFrame) -> DataFrame:
+    """Failing pages of findings, each with its reason as text and whether it is the first of its check."""
+    pages = rows.filter(F.col("ratio") < 1).select(
+        "report_id", "check_id", "first_ord", "path", reason_text(F.col("reason")).alias("reason"))
+    first = pages.groupBy("report_id", "check_id").agg(F.min(F.struct("first_ord", "path")).alias("first"))
+    return salted_join(pages, first, ["report_id", "check_id"], "inner", "path").withColumn(
+        "leads", F.struct("first_ord", "path") == F.col("first")).drop("first")
 
 
 def export_actions(plan: DataFrame, checks: DataFrame) -> DataFrame:
-    """Ranked actions with guidance and the pages they concern; NULL pages mean site-wide."""
-    info = checks.select("report_id", "check_id", "why", "fix", "example", F.col("failing").alias("affected"),
-                         F.col("more").alias("affected_more"))
+    """Ranked actions with guidance."""
+    info = checks.select("report_id", "check_id", "why", "fix", "example")
     return plan.join(info, ["report_id", "check_id"], "left")
 
 
-def _pages_text(failing: Column, more: Column) -> Column:
-    listed = F.array_join(F.transform(failing, lambda f: F.concat(f["path"], F.when(
-        f["reason"].isNotNull(), F.concat(F.lit(" ("), f["reason"], F.lit(")"))).otherwise(""))), ", ")
-    return F.concat(listed, F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+def page_text() -> Column:
+    return F.concat("path", F.when(F.col("reason").isNotNull(), F.concat(F.lit(" ("), F.col("reason"), F.lit(")"))).otherwise(""))
 
 
 def _line(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _ordered(df: DataFrame, *order: str) -> DataFrame:
-    """Texts of a report joined in order (bounded: at most 58 blocks)."""
-    return df.groupBy("report_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda r: r["text"]), "\n").alias("text"))
+def _part(df: DataFrame, number: int, text: Column, *key: Column | str) -> DataFrame:
+    """Rows as parts; numbers in a key are padded, so that keys sort as their elements do."""
+    pieces = [F.lpad(F.col(k).cast("string"), 12, "0") if isinstance(k, str) and dict(df.dtypes)[k] in ("int", "bigint") else
+              F.col(k) if isinstance(k, str) else k for k in key]
+    return df.select("report_id", F.lit(number).alias("part"), F.concat_ws("|", F.lit(""), *pieces).alias("key"), text.alias("text"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _coverage(reports: DataFrame, pages: DataFrame, issues: DataFrame, failed: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Reports with the counts of the coverage section, and the last of their audited and lost pages."""
     n_pages = pages.groupBy("report_id").agg(F.count("*").alias("n_pages"), F.max("path").alias("last_path"))
-    lost = failed.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", "path", failed_text(F.col("reason")).alias("reason")))).alias("lost"))
+    lost = failed.groupBy("report_id").agg(F.count("*").alias("n_lost"), F.max(F.struct("pass_no", "ord", "path")).alias("last_lost"))
     return (
         reports.join(n_pages, "report_id", "left").join(issues, "report_id", "left").join(lost, "report_id", "left")
         .join(excluded, "report_id", "left")
-        .withColumns({"n_pages": F.coalesce("n_pages", F.lit(0)), "pages_with_issues": F.coalesce(
-            "pages_with_issues", F.lit(0)), "lost": F.coalesce("lost", F.array())})
+        .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_pages", "pages_with_issues", "n_lost")})
     )
 
 
+def _listed(pages: DataFrame, failed: DataFrame, cov: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Audited and lost pages with whether another follows."""
+    audited = salted_join(pages, cov.select("report_id", "last_path"), ["report_id"], "inner", "path").withColumn(
+        "more", F.col("path") < F.col("last_path"))
+    lost = salted_join(failed, cov.select("report_id", "last_lost"), ["report_id"], "inner", "path").withColumn(
+        "more", F.struct("pass_no", "ord", "path") < F.col("last_lost")).withColumn("reason", failed_text(F.col("reason")))
+    return audited, lost
+
+
 def markdown_parts(
-    overall: DataFrame, dims: DataFrame, actions: DataFrame, checks: DataFrame, pages: DataFrame, issues: DataFrame,
+    overall: DataFrame, dims: DataFrame, actions: DataFrame, checks: DataFrame, failing: DataFrame, pages: DataFrame, issues: DataFrame,
     failed: DataFrame, excluded: DataFrame, generated_at: str, tool: str = "Site",
 ) -> DataFrame:
-    """Markdown documents in parts. ``overall`` carries ``report_id, domain, overall, grade, capped``."""
+    """Markdown documents in parts. ``overall`` carries ``report_id, domain, overall, grade, capped``; ``failing`` is ``export_pages``."""
     cov = _coverage(overall, pages, issues, failed, excluded)
-    n_lost = F.size("lost")
     bits = _line(
         F.col("n_pages").cast("string"), " pages audited, ", F.col("pages_with_issues").cast("string"), " with issues",
         F.when(F.col("pages_excluded") > 0, _line(", ", F.col("pages_excluded").cast("string"),
                                                   " excluded (sensitive-path filter)")).otherwise(""),
-        F.when(n_lost > 0, _line(", ", n_lost.cast("string"), " could not be crawled")).otherwise(""))
+        F.when(F.col("n_lost") > 0, _line(", ", F.col("n_lost").cast("string"), " could not be crawled")).otherwise(""))
     head = _line(
         f"# {tool} audit - ", F.col("domain"), "\n\n- Overall score: ", F.col("overall").cast("string"), "/100 (grade ",
         F.col("grade"), ")", F.when(F.col("capped"), " - capped by a critical failure").otherwise(""),
         f"\n- Generated: {generated_at}\n- Coverage: ", bits, "\n\n## Scores by dimension\n\n| Dimension | Score |\n| --- | --- |\n")
     scored = F.when(F.col("not_applicable"), "Not assessed").otherwise(_line(score_text(F.col("score")), "/100"))
-    rows = _ordered(dims.select("report_id", "dim_ord", _line(
-        "| ", F.col("dim_label"), " | ", scored, F.when(F.col("capped"), " (capped)").otherwise(""), " |").alias("text")), "dim_ord")
+    row = _line("| ", F.col("dim_label"), " | ", scored, F.when(F.col("capped"), " (capped)").otherwise(""), " |\n")
     tags = _line(F.col("severity"), ", impact ", F.col("impact").cast("string"), "/5, effort ", F.col("effort").cast("string"), "/5",
                  F.when(F.col("quick_win"), ", quick win").otherwise(""),
                  F.when(F.col("requires_approval"), ", needs sign-off").otherwise(""))
     opt = lambda c, before, after="": F.when(F.col(c).isNotNull(), _line(before, F.col(c), after, "\n")).otherwise("")
+    has_pages = failing.filter("leads").select("report_id", "check_id", F.lit(True).alias("has_pages"))
+    acts = actions.join(has_pages, ["report_id", "check_id"], "left")
     block = _line(
-        "### ", F.col("rank").cast("string"), ". ", F.col("finding"), "  [", F.col("check_id"), ": ", tags, "]\n",
+        F.when(F.col("rank") > 1, "\n").otherwise(""), "### ", F.col("rank").cast("string"), ". ", F.col("finding"), "  [", F.col("check_id"), ": ", tags, "]\n",
         opt("why", "- Why it matters: "), opt("fix", "- How to fix: "), opt("example", "- Example: `", "`"),
-        "- Affected pages: ", F.coalesce(_pages_text(F.col("affected"), F.col("affected_more")), F.lit("site-wide")), "\n")
-    plan = _ordered(actions.select("report_id", "rank", block.alias("text")), "rank")
+        "- Affected pages: ", F.when(F.col("has_pages"), "").otherwise("site-wide"))
+    affected = salted_join(failing, actions.select("report_id", "check_id", "rank"), ["report_id", "check_id"], "inner", "path")
     mark = None
     for status, text in MARKS.items():
         mark = F.when(F.col("status") == status, text) if mark is None else mark.when(F.col("status") == status, text)
-    failing = F.coalesce(_line(" - failing: ", _pages_text(F.col("failing"), F.col("more"))),
-                         _line(" - ", F.col("where")), F.lit(""))
-    check_line = _line("- [", mark, "] ", F.col("check_id"), " ", F.col("label"),
-                       F.when(F.col("status").isin("fail", "partial"), failing).otherwise(""))
-    lists = checks.select("report_id", "dimension", "ordinal", check_line.alias("line")).groupBy("report_id", "dimension").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda r: r["line"]), "\n").alias("lines"))
-    sections = _ordered(dims.join(lists, ["report_id", "dimension"]).select("report_id", "dim_ord", _line(
-        "### ", F.col("dim_label"), F.when(F.col("not_applicable"), " - Not assessed").otherwise(
-            _line(" - ", score_text(F.col("score")), "/100")), "\n", F.col("lines"), "\n").alias("text")), "dim_ord")
-    any_cov = (F.col("n_pages") > 0) | (n_lost > 0)
-    tail = _line(
-        F.when(F.col("pages_excluded") > 0, _line("\n- Excluded (sensitive-path filter): ", F.col("pages_excluded").cast(
-            "string"))).otherwise(""),
-        F.array_join(F.transform("lost", lambda p: _line("\n- Could not crawl ", p["path"], ": ", p["reason"])), ""), "\n")
-    part = lambda df, no, text, key=F.lit(""): df.select(
-        "report_id", F.lit(no).alias("part"), key.alias("key"), text.alias("text"))
-    comma = salted_join(pages, cov.select("report_id", "last_path"), ["report_id"], "inner", "path").withColumn(
-        "sep", F.when(F.col("path") < F.col("last_path"), ", ").otherwise(""))
-    none = "No issues found - every applicable check passed.\n"
-    return (
-        part(cov, 0, head)
-        .unionByName(part(rows, 1, _line(F.col("text"), "\n\n## Prioritized action plan\n\n")))
-        .unionByName(part(overall.join(plan, "report_id", "left"), 2, _line(F.coalesce("text", F.lit(none)),
-                                                                           "\n## Full check results\n\n")))
-        .unionByName(part(sections, 3, F.col("text")))
-        .unionByName(part(cov.filter(any_cov), 4, _line("\n## Crawl coverage\n\n", F.when(F.col("n_pages") > 0, "- Audited: ").otherwise(""))))
-        .unionByName(part(comma, 5, F.concat("path", "sep"), F.col("path")))
-        .unionByName(part(cov.filter(any_cov), 6, F.when(F.col("n_pages") > 0, tail).otherwise(F.ltrim(tail))))
-    )
+    found = F.col("status").isin("fail", "partial")
+    lines = checks.join(has_pages, ["report_id", "check_id"], "left").join(dims.select("report_id", "dimension", "dim_ord"), ["report_id", "dimension"])
+    check_line = _line("- [", mark, "] ", F.col("check_id"), " ", F.col("label"), F.when(found, F.when(F.col("has_pages"), " - failing: ").otherwise(
+        F.coalesce(_line(" - ", F.col("where")), F.lit("")))).otherwise(""))
+    listed = salted_join(failing, lines.select("report_id", "check_id", "dim_ord", "ordinal"), ["report_id", "check_id"], "inner", "path")
+    section = _line(F.when(F.col("dim_ord") > 0, "\n").otherwise(""), "### ", F.col("dim_label"), F.when(
+        F.col("not_applicable"), " - Not assessed").otherwise(_line(" - ", score_text(F.col("score")), "/100")), "\n")
+    covered = cov.filter((F.col("n_pages") > 0) | (F.col("n_lost") > 0))
+    audited, lost = _listed(pages, failed, cov)
+    comma = F.when(F.col("leads"), "").otherwise(", ")
+    first, middle, last = F.lit("0"), F.lit("1"), F.lit("2")
+    end = F.lit("\n")
+    excluded_line = _line(F.when(F.col("n_pages") > 0, "\n").otherwise(""), "- Excluded (sensitive-path filter): ", F.col("pages_excluded").cast("string"))
+    return _union([
+        _part(cov, 0, head),
+        _part(dims, 1, row, "dim_ord"),
+        _part(overall, 2, F.lit("\n" + PLAN_HEADING)),
+        _part(overall.join(actions.filter("rank = 1").select("report_id"), "report_id", "left_anti"), 3, F.lit(NO_ISSUES)),
+        _part(acts, 3, block, "rank", first),
+        _part(affected, 3, _line(comma, page_text()), "rank", middle, "first_ord", "path"),
+        _part(acts, 3, end, "rank", last),
+        _part(overall, 4, F.lit("\n" + CHECKS_HEADING)),
+        _part(dims, 5, section, "dim_ord"),
+        _part(lines, 5, check_line, "dim_ord", "ordinal", first),
+        _part(listed, 5, _line(comma, page_text()), "dim_ord", "ordinal", middle, "first_ord", "path"),
+        _part(lines, 5, end, "dim_ord", "ordinal", last),
+        _part(covered, 6, _line(COVERAGE_HEADING, F.when(F.col("n_pages") > 0, "- Audited: ").otherwise(""))),
+        _part(audited, 7, F.concat("path", F.when(F.col("more"), ", ").otherwise("")), "path"),
+        _part(covered.filter(F.col("pages_excluded") > 0), 8, excluded_line),
+        _part(lost, 9, _line("\n- Could not crawl ", F.col("path"), ": ", F.col("reason")), "pass_no", "ord", "path"),
+        _part(covered, 10, end),
+    ])
+
+
+def quoted(c: Column) -> Column:
+    """A value as JSON text, null as null."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[", ""), r"\]\z", ""), F.lit("null"))
+
+
+def json_number(c: Column, digits: int) -> Column:
+    return F.coalesce(F.round(c, digits).cast(f"decimal(12,{digits})").cast("string"), F.lit("null"))
+
+
+def _object(**fields: Column) -> Column:
+    """Fields as the inside of a JSON object."""
+    return F.concat_ws(",", *[_line(f'"{name}":', value) for name, value in fields.items()])
 
 
 def json_parts(
-    overall: DataFrame, dims: DataFrame, actions: DataFrame, checks: DataFrame, pages: DataFrame, issues: DataFrame,
+    overall: DataFrame, dims: DataFrame, actions: DataFrame, checks: DataFrame, failing: DataFrame, pages: DataFrame, issues: DataFrame,
     failed: DataFrame, excluded: DataFrame, generated_at: str, tool: str = "Site",
 ) -> DataFrame:
-    """The export model as JSON in parts: what precedes the audited pages, one part per page, what follows."""
+    """The export model as JSON in parts; ratios have six digits, scores one."""
     cov = _coverage(overall, pages, issues, failed, excluded)
-    check = F.struct(
-        "ordinal", F.col("check_id").alias("id"), "label", "status", "ratio", "severity", "where", "why", "fix", "example",
-        F.col("failing").alias("failingPages"), F.col("more").alias("moreFailing"))
-    per_dim = checks.groupBy("report_id", "dimension").agg(F.transform(
-        F.array_sort(F.collect_list(check)), lambda c: c.dropFields("ordinal")).alias("checks"))
-    dim = F.struct(
-        "dim_ord", F.col("dimension").alias("id"), F.col("dim_label").alias("label"),
-        F.when(~F.col("not_applicable"), F.col("score")).alias("score"),
-        F.when(~F.col("not_applicable"), F.col("raw_score")).alias("rawScore"), "capped",
-        F.col("not_applicable").alias("notApplicable"), "checks")
-    dim_lists = dims.join(per_dim, ["report_id", "dimension"]).groupBy("report_id").agg(F.transform(
-        F.array_sort(F.collect_list(dim)), lambda d: d.dropFields("dim_ord")).alias("dimensions"))
-    action = F.struct(
-        "rank", F.col("check_id").alias("checkId"), "finding", "severity", "impact", "effort", F.col("quick_win").alias("quickWin"),
-        F.col("requires_approval").alias("requiresApproval"), "why", "fix", "example", F.col("affected").alias("affectedPages"),
-        F.col("affected_more").alias("affectedMore"))
-    plans = actions.groupBy("report_id").agg(F.array_sort(F.collect_list(action)).alias("actionPlan"))
-    rest = cov.join(dim_lists, "report_id").join(plans, "report_id", "left")
-    head = F.to_json(F.struct(F.lit(tool).alias("tool"), "domain", F.lit(generated_at).alias("generatedAt"), "overall", "grade", "capped"),
-                     {"pretty": "true"})
-    tail = F.to_json(F.struct(
-        F.col("pages_with_issues").alias("pagesWithIssues"), F.col("pages_excluded").alias("pagesExcluded"),
-        F.transform("lost", lambda p: F.struct(p["path"].alias("path"), p["reason"].alias("reason"))).alias("pagesFailed")),
-        {"pretty": "true", "ignoreNullFields": "false"})
-    lists = F.to_json(F.struct("dimensions", F.coalesce("actionPlan", F.array().cast(plans.schema["actionPlan"].dataType)).alias(
-        "actionPlan")), {"pretty": "true"})
-    inner = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\{", ""), r"\s*\}\z", "")
-    part = lambda df, no, text, key=F.lit(""): df.select(
-        "report_id", F.lit(no).alias("part"), key.alias("key"), text.alias("text"))
-    quoted = F.regexp_replace(F.regexp_replace(F.to_json(F.array("path")), r"^\[", ""), r"\]\z", "")
-    listed = salted_join(pages, cov.select("report_id", "last_path"), ["report_id"], "inner", "path")
-    return (
-        part(cov, 0, _line("{", inner(head), ',\n  "coverage" : {\n  "pagesAudited" : ['))
-        .unionByName(part(listed, 1, _line("\n    ", quoted, F.when(F.col("path") < F.col("last_path"), ",").otherwise("")), F.col("path")))
-        .unionByName(part(rest, 2, _line("\n  ],", inner(tail), "\n  },", inner(lists), "\n}\n")))
-    )
-
-
-def assembled(parts: DataFrame, pages: DataFrame, limit: int = ASSEMBLY_LIMIT) -> DataFrame:
-    """One document per report of up to ``limit`` audited pages; bigger ones are written from their parts."""
-    fits = pages.groupBy("report_id").agg(F.count("*").alias("n")).filter(F.col("n") <= limit).select("report_id")
-    return salted_join(parts, fits, ["report_id"], "left_semi", "key").groupBy("report_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("part", "key", "text"))), lambda p: p["text"]), "").alias("document"))
+    audited, lost = _listed(pages, failed, cov)
+    whole, flag = (lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))), (lambda c: F.col(c).cast("string"))
+    head = _line("{", _object(tool=quoted(F.lit(tool)), domain=quoted(F.col("domain")), generatedAt=quoted(F.lit(generated_at)), overall=whole("overall"),
+                              grade=quoted(F.col("grade")), capped=flag("capped")), ',"coverage":{"pagesAudited":[')
+    counts = _line("],", _object(pagesWithIssues=whole("pages_with_issues"), pagesExcluded=whole("pages_excluded")), ',"pagesFailed":[')
+    assessed = ~F.col("not_applicable")
+    dim = _line(F.when(F.col("dim_ord") > 0, ",").otherwise(""), "{", _object(
+        id=quoted(F.col("dimension")), label=quoted(F.col("dim_label")), score=json_number(F.when(assessed, F.col("score")), 1),
+        rawScore=json_number(F.when(assessed, F.col("raw_score")), 1), capped=flag("capped"), notApplicable=flag("not_applicable")), ',"checks":[')
+    lead = checks.groupBy("report_id", "dimension").agg(F.min("ordinal").alias("lead"))
+    lines = checks.join(lead, ["report_id", "dimension"]).join(dims.select("report_id", "dimension", "dim_ord"), ["report_id", "dimension"])
+    check = _line(F.when(F.col("ordinal") > F.col("lead"), ",").otherwise(""), "{", _object(
+        id=quoted(F.col("check_id")), label=quoted(F.col("label")), status=quoted(F.col("status")), ratio=json_number(F.col("ratio"), 6),
+        severity=quoted(F.col("severity")), where=quoted(F.col("where")), why=quoted(F.col("why")), fix=quoted(F.col("fix")),
+        example=quoted(F.col("example")), whenNotApplicable=quoted(F.col("when_na"))), ',"failingPages":[')
+    action = _line(F.when(F.col("rank") > 1, ",").otherwise(""), "{", _object(
+        rank=whole("rank"), checkId=quoted(F.col("check_id")), finding=quoted(F.col("finding")), severity=quoted(F.col("severity")),
+        impact=whole("impact"), effort=whole("effort"), quickWin=flag("quick_win"), requiresApproval=flag("requires_approval"),
+        why=quoted(F.col("why")), fix=quoted(F.col("fix")), example=quoted(F.col("example"))), ',"affectedPages":[')
+    page = _line(F.when(F.col("leads"), "").otherwise(","), "{", _object(path=quoted(F.col("path")), reason=quoted(F.col("reason"))), "}")
+    listed = salted_join(failing, lines.select("report_id", "check_id", "dim_ord", "ordinal"), ["report_id", "check_id"], "inner", "path")
+    affected = salted_join(failing, actions.select("report_id", "check_id", "rank"), ["report_id", "check_id"], "inner", "path")
+    first, middle, last, after = F.lit("0"), F.lit("1"), F.lit("2"), F.lit("~")
+    close = F.lit("]}")
+    comma = F.when(F.col("more"), ",").otherwise("")
+    return _union([
+        _part(cov, 0, head),
+        _part(audited, 1, F.concat(quoted(F.col("path")), comma), "path"),
+        _part(cov, 2, counts),
+        _part(lost, 3, _line("{", _object(path=quoted(F.col("path")), reason=quoted(F.col("reason"))), "}", comma), "pass_no", "ord", "path"),
+        _part(cov, 4, F.lit(']},"dimensions":[')),
+        _part(dims, 5, dim, "dim_ord"),
+        _part(lines, 5, check, "dim_ord", "ordinal", first),
+        _part(listed, 5, page, "dim_ord", "ordinal", middle, "first_ord", "path"),
+        _part(lines, 5, close, "dim_ord", "ordinal", last),
+        _part(dims, 5, close, "dim_ord", after),
+        _part(cov, 6, F.lit('],"actionPlan":[')),
+        _part(actions, 7, action, "rank", first),
+        _part(affected, 7, page, "rank", middle, "first_ord", "path"),
+        _part(actions, 7, close, "rank", last),
+        _part(cov, 8, F.lit("]}\n")),
+    ])

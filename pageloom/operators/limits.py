@@ -15,7 +15,6 @@ from pageloom.session import salted_join
 MONTHLY_AUDITS = 3
 CHAT_MESSAGES = 5
 CHAT_CEILING = 20
-MESSAGE_LIMIT = 4000
 
 
 def period(ts: Column) -> Column:
@@ -128,7 +127,7 @@ def chat_cap(messages: DataFrame, owners: DataFrame, cap: int | None = None) ->
         "report_id", "message_id",
         F.when(~F.col("mine"), F.lit(0)).when(accepted, F.col("message_id")).otherwise(F.lit(-1)).cast("bigint").alias(
             "returned"),
-        F.when(F.col("mine") & accepted, F.substring("content", 1, MESSAGE_LIMIT)).alias("stored"),
+        F.when(F.col("mine") & accepted, F.col("content")).alias("stored"),
     )
 
 

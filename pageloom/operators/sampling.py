@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from pageloom.functions.urls import dedupe_key, host_of, is_sensitive, path_of, path_priority
 from pageloom.session import salted_join
 
-MAX_PAGES = 10
-MAX_FAILED = 20
-
 
 def link_urls(links: Column) -> Column:
     """Map results may be bare URLs or records with ``url`` or ``href``; records are given as JSON text."""
@@ -36,7 +33,7 @@ def candidates(links: DataFrame, roots: DataFrame) -> DataFrame:
         F.min_by("url", "link_ord").alias("url"), F.min("link_ord").alias("link_ord"))
 
 
-def pick_pages(links: DataFrame, roots: DataFrame, size: int = MAX_PAGES) -> DataFrame:
+def pick_pages(links: DataFrame, roots: DataFrame, size: int) -> DataFrame:
     """Home page first, then the best ``size - 1`` candidates by priority (stable), never a sensitive path."""
     clean = candidates(links, roots).filter(~is_sensitive(F.col("url")))
     order = Window.partitionBy("report_id").orderBy(F.desc("priority"), "link_ord")
@@ -63,9 +60,9 @@ def crawl_counts(submitted: DataFrame, usable_pages: DataFrame) -> DataFrame:
 
 
 def failed_pages(
-    submitted: DataFrame, returned: DataFrame, content_only: bool = False, limit: int = MAX_FAILED
+    submitted: DataFrame, returned: DataFrame, content_only: bool = False
 ) -> DataFrame:
-    """Pages tried but not audited: ``report_id, path, reason``.
+    """Pages tried but not audited, all of them: ``report_id, pass_no, ord, path, reason``, in order by the middle three.
 
     ``submitted``: ``report_id, url_ord, url``; ``returned``: ``report_id, page_ord, source_url, status_code, html,
     raw_html, markdown``. Any returned row with a URL counts as audited (its metadata is enough), so only timeouts can
@@ -96,11 +93,7 @@ def failed_pages(
         .join(paths.select("report_id", "path"), ["report_id", "path"], "left_anti")
         .select("report_id", "path", F.lit(1).alias("pass_no"), "ord", F.lit("timeout").alias("reason"))
     )
-    order = Window.partitionBy("report_id").orderBy("pass_no", "ord", "path")
-    return (
-        bad.unionByName(lost).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
-        .select("report_id", "pos", "path", "reason")
-    )
+    return bad.unionByName(lost).select("report_id", "pass_no", "ord", "path", "reason")
 
 
 # Sentences of the four reasons.

@@ -114,12 +114,13 @@ def action_plan(results: DataFrame) -> DataFrame:
     return action_items(results).withColumn("rank", F.row_number().over(order))
 
 
-def plan_view(plan: DataFrame, severity: str | None = None, first: int = 20) -> DataFrame:
-    """The first items of a plan, of one severity or of all."""
+def plan_view(plan: DataFrame, severity: str | None = None, first: int | None = None) -> DataFrame:
+    """Items of a plan, of one severity or of all; the ``first`` of them where a number is given."""
     if severity is not None:
         plan = plan.filter(F.col("severity") == severity)
     order = Window.partitionBy("report_id").orderBy("rank")
-    return plan.withColumn("shown", F.row_number().over(order)).filter(F.col("shown") <= first)
+    shown = plan.withColumn("shown", F.row_number().over(order))
+    return shown if first is None else shown.filter(F.col("shown") <= first)
 
 
 def severity_counts(plan: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def score_text(score: Column) -> Column:
     return F.regexp_replace(F.format_string("%.1f", score), r"\.0\z", "")
 
 
-def scorecards(dims: DataFrame, overall: DataFrame, plan: DataFrame, top: int = 6) -> DataFrame:
+def scorecards(dims: DataFrame, overall: DataFrame, plan: DataFrame, top: int) -> DataFrame:
     """Plain-text scorecard per report: overall, dimensions, first findings. Three bounded lists per report."""
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct("dim_ord", "dim_label", "score", "capped"))),
@@ -161,7 +162,7 @@ def scorecards(dims: DataFrame, overall: DataFrame, plan: DataFrame, top: int =
     )
 
 
-def summary_inputs(dims: DataFrame, overall: DataFrame, plan: DataFrame, top: int = 8) -> DataFrame:
+def summary_inputs(dims: DataFrame, overall: DataFrame, plan: DataFrame, top: int) -> DataFrame:
     """What the summary writer gets: grade, dimensions and the first findings as JSON."""
     dim_json = dims.groupBy("report_id").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("dim_ord", "dimension", "dim_label", "score", "capped"))),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_reports(reports: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -11,18 +12,18 @@ def write_reports(reports: DataFrame, path: str, partition_by: str | None = None
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One text file tree per report."""
-    documents.select("report_id", "document").write.mode("overwrite").partitionBy("report_id").text(path)
+BUCKETS = 64
 
 
-def write_parts(parts: DataFrame, path: str) -> None:
-    """Documents of any size from their parts, in order: ranges of (report, part, key), sorted inside each file.
+def write_parts(parts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Documents of any size from their parts, in order: ranges of (bucket, report, part, key), sorted inside each file.
 
-    A report that spans several tasks has several files, whose names sort in document order.
+    Reports are dealt to a fixed number of folders by hash. A report that spans several tasks has several files, whose names
+    sort in document order.
     """
-    parts.repartitionByRange("report_id", "part", "key").sortWithinPartitions("report_id", "part", "key").write.mode(
-        "overwrite").partitionBy("report_id").parquet(path)
+    order = ["bucket", "report_id", "part", "key"]
+    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("report_id"), F.lit(buckets)).cast("int"))
+    dealt.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_steps(steps: DataFrame, path: str, checkpoint: str):

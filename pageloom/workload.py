@@ -164,21 +164,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def body_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts. One file with one row group is one task, so input of fewer splits than cores is spread."""
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _projection(columns: dict[str, str]) -> list[str]:
     return [f"{expr} AS {name}" for name, expr in columns.items()]
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived crawl: one row per page and one per document."""
-    pages = body_table(spark, sf_dir, "pages").selectExpr(*_projection(PAGE_COLUMNS))
-    documents = body_table(spark, sf_dir, "documents").selectExpr(*_projection(DOCUMENT_COLUMNS))
+    pages = table(spark, sf_dir, "pages").selectExpr(*_projection(PAGE_COLUMNS))
+    documents = table(spark, sf_dir, "documents").selectExpr(*_projection(DOCUMENT_COLUMNS))
     return pages.unionByName(documents).withColumn("status_code", F.col("status_code").cast("int"))
 
 

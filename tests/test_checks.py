@@ -185,7 +185,7 @@ def test_evidence_is_capped_and_deduplicated(spark):
     rows = [("r", i, f"https://a.example/p{i:02d}", 200, "Home", None, None, "x", None, None, None) for i in range(14)]
     rows += [("r", 20, "https://a.example/p00/", 200, None, None, None, "x", None, None, None)]
     fails = audit.page_failures(page_facts(spark.createDataFrame(rows, PAGES)))
-    ev = {r.check_id: r for r in audit.evidence(fails).collect()}
+    ev = {r.check_id: r for r in audit.evidence(fails, limit=12).collect()}
     assert [f.path for f in ev["S1"].failing] == [f"/p{i:02d}" for i in range(12)]
     assert ev["S1"].more == 2
     assert ev["S1"].failing[0].reason.kind == "too_short"  # the first page of a path decides

@@ -8,17 +8,28 @@ from pageloom.operators import corpus
 PAGE_COLS = "report_id string, page_ord bigint, source_url string, title string, markdown string, html string"
 
 
-def test_text_budget(spark):
-    sizes = [12_500, 0, 11_000, 50, 12_000, 12_000, 12_000, 12_000, 12_000, 9_000, 4_000]
-    rows = [("r", i, f"https://a.example/p{i}", "t" * 300, "x" * n, None) for i, n in enumerate(sizes)]
-    docs = corpus.prepared_documents(spark.createDataFrame(rows, PAGE_COLS)).orderBy("page_ord").collect()
+SIZES = [12_500, 0, 11_000, 50, 12_000, 12_000, 12_000, 12_000, 12_000, 9_000, 4_000]
+
+
+def sized_pages(spark):
+    rows = [("r", i, f"https://a.example/p{i}", "t" * 300, "x" * n, None) for i, n in enumerate(SIZES)]
+    return spark.createDataFrame(rows, PAGE_COLS)
+
+
+def test_documents_are_whole(spark):
+    docs = corpus.prepared_documents(sized_pages(spark)).collect()
+    assert {d.page_ord: len(d.content) for d in docs} == {i: n for i, n in enumerate(SIZES) if n}
+    assert all(len(d.title) == 300 for d in docs)
+
+
+def test_a_budget_is_used_in_page_order(spark):
+    docs = corpus.prepared_documents(sized_pages(spark), budget=60_000).collect()
     used, want = 0, {}
-    for i, n in enumerate(sizes):
-        take = min(n, 12_000, 90_000 - used)
+    for i, n in enumerate(SIZES):
+        take = min(n, 60_000 - used)
         if take > 0:
             want[i], used = take, used + take
-    assert {d.page_ord: len(d.content) for d in docs} == want
-    assert sum(want.values()) == 90_000 and len(docs[0].title) == 200
+    assert {d.page_ord: len(d.content) for d in docs} == want and sum(want.values()) == 60_000
 
 
 def test_document_text(spark):
@@ -64,11 +75,10 @@ def test_recursive_split_prefers_paragraphs():
 def test_vector_search(spark):
     rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 1.0]), (3, "b", [0.0, 2.0]), (4, "a", [0.0, 0.0]), (5, "a", [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, report_id string, embedding array<float>")
-    out = corpus.match_documents(df, [2.0, 0.0], where={"report_id": "a"}).collect()
+    out = corpus.match_documents(df, [2.0, 0.0], k=10, where={"report_id": "a"}).collect()
     assert [r.id for r in out] == [1, 2, 5, 4]
     assert out[0].similarity == pytest.approx(1.0) and out[3].similarity is None
     assert len(corpus.match_documents(df, [1.0, 0.0], k=2).collect()) == 2
-    assert corpus.top_limit(None) == 10 and corpus.top_limit(99) == 50
 
 
 def test_batch_search_equals_single_searches(spark):

@@ -12,35 +12,51 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return export_queries._model(spark, SF)
+    return [df.cache() for df in export_queries._model(spark, SF)]
 
 
-def test_json_documents(spark, model):
-    parts = export.json_parts(*model, generated_at="now").cache()
-    docs = {r.report_id: json.loads(r.document) for r in export.assembled(parts, model[4]).collect()}
+def documents(parts):
+    """Texts of each report in order of part and key."""
+    rows = {}
+    for r in parts.collect():
+        rows.setdefault(r.report_id, []).append((r.part, r.key, r.text))
+    return {report: "".join(text for _, _, text in sorted(own)) for report, own in rows.items()}
+
+
+def test_json_documents(model):
+    docs = {report: json.loads(text) for report, text in documents(export.json_parts(*model, generated_at="now")).items()}
     assert len(docs) == model[0].count()
-    paths = {}
-    for r in model[4].collect():
+    paths, failing = {}, {}
+    for r in model[5].collect():
         paths.setdefault(r.report_id, []).append(r.path)
+    for r in model[4].collect():
+        failing.setdefault((r.report_id, r.check_id), []).append((r.first_ord, r.path, r.reason))
     for report, d in docs.items():
         assert d["coverage"]["pagesAudited"] == sorted(paths[report])
         assert [x["id"] for x in d["dimensions"]] == ["seo", "tracking", "geo", "tech"]
         assert sum(len(x["checks"]) for x in d["dimensions"]) == 58
         assert [a["rank"] for a in d["actionPlan"]] == list(range(1, len(d["actionPlan"]) + 1))
         assert set(d["coverage"]) == {"pagesAudited", "pagesWithIssues", "pagesExcluded", "pagesFailed"}
+        listed = [(c["id"], c["failingPages"]) for x in d["dimensions"] for c in x["checks"]] + [(a["checkId"], a["affectedPages"]) for a in d["actionPlan"]]
+        for check, pages in listed:  # every failing page, in page order
+            assert [(p["path"], p["reason"]) for p in pages] == [f[1:] for f in sorted(failing.get((report, check), []))]
 
 
-def test_written_parts_are_the_assembled_document(spark, model, tmp_path):
+def test_written_parts_are_the_document(spark, model, tmp_path):
     parts = export.markdown_parts(*model, generated_at="now").cache()
-    docs = {r.report_id: r.document for r in export.assembled(parts, model[4]).collect()}
+    docs = documents(parts)
     sinks.write_parts(parts, str(tmp_path / "parts"))
-    back = spark.read.parquet(str(tmp_path / "parts")).withColumn("file", F.input_file_name()).collect()
-    for report, doc in list(docs.items())[:10]:
-        rows = [r for r in back if r.report_id == report]
-        assert "".join(r.text for r in sorted(rows, key=lambda r: (r.part, r.key))) == doc
+    back = documents(spark.read.parquet(str(tmp_path / "parts")))
+    assert back == docs and len(docs) == model[0].count()
+    for report, doc in docs.items():
         assert doc.startswith(f"# Site audit - {report}\n\n- Overall score: ") and doc.endswith("\n") and "\n\n\n" not in doc
 
 
-def test_large_reports_stay_in_parts(spark, model):
-    parts = export.json_parts(*model, generated_at="now")
-    assert export.assembled(parts, model[4], limit=0).count() == 0
+def test_large_reports_lose_nothing(spark, model):
+    """A report with very many failing pages: as many parts as pages, none dropped."""
+    one = model[0].select("report_id").first().report_id
+    many = model[4].filter(F.col("report_id") == one).limit(1).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(30_000)))).withColumns(
+        {"path": F.concat(F.lit("/p"), F.col("i")), "first_ord": F.col("i") + 1_000_000, "leads": F.lit(False)}).drop("i")
+    parts = export.json_parts(*model[:4], model[4].unionByName(many), *model[5:], generated_at="now")
+    doc = json.loads(documents(parts.filter(F.col("report_id") == one))[one])
+    assert sum(len(c["failingPages"]) for x in doc["dimensions"] for c in x["checks"]) >= 30_000

@@ -21,10 +21,7 @@ def test_report_sink_partitions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("status = 'error'").first().report_id == "b"
 
 
-def test_document_and_step_sinks(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "line 1\nline 2")], "report_id string, document string")
-    sinks.write_documents(docs, str(tmp_path / "docs"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "docs")).collect()] == ["line 1", "line 2"]
+def test_step_sink(spark, tmp_path):
     steps = spark.createDataFrame([("r", 1)], "report_id string, id int")
     steps.write.parquet(str(tmp_path / "in"))
     query = sinks.write_steps(file_stream(spark, str(tmp_path / "in"), steps.schema), str(tmp_path / "steps"), str(tmp_path / "state"))

@@ -91,7 +91,7 @@ def test_chat_cap(spark):
     owners = spark.createDataFrame([("r", 1)], "report_id string, user_id long")
     out = {r.message_id: r for r in limits.chat_cap(df, owners).collect()}
     assert [out[i].returned for i in range(1, 9)] == [1, 2, 3, 4, 5, -1, -1, 0]
-    assert len(out[1].stored) == 4000 and out[6].stored is None
+    assert len(out[1].stored) == 5000 and out[6].stored is None
 
 
 def test_step_function_summary_matches_replay():

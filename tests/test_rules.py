@@ -104,7 +104,7 @@ def test_page_pick(spark):
              "https://b.example/pricing", "https://a.example/admin/x", "https://a.example/deep/er/path"] + [f"https://a.example/p{i}" for i in range(12)]
     links = spark.createDataFrame([("r", i, u) for i, u in enumerate(urls_)], "report_id string, link_ord int, url string")
     roots = spark.createDataFrame([("r", "https://a.example/")], "report_id string, root_url string")
-    picks = [r.url for r in sampling.pick_pages(links, roots).orderBy("pos").collect()]
+    picks = [r.url for r in sampling.pick_pages(links, roots, size=10).orderBy("pos").collect()]
     assert len(picks) == 10
     assert picks[:3] == ["https://a.example/", "https://www.a.example/pricing", "https://a.example/about#team"]
     assert picks[3:] == [f"https://a.example/p{i}" for i in range(7)]
