@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -198,15 +199,21 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS + CA
 
     Labels are rows (doc_id, toxic); an id with a label of 1 is toxic, ids or labels that are null are left out. The
     sample's size does not depend on the input: ``toxic_rows`` and ``ordinary_rows`` texts of up to TRAINING_CHARS characters
-    come to the driver.
+    meet in one task, and the driver gets the model alone.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order).limit(toxic_rows).union(known.where("toxic = 0").orderBy(order).limit(ordinary_rows))
     texts = docs.select(F.col("doc_id"), F.col("text")).where(F.length("text") <= TRAINING_CHARS).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("text", "toxic", order.alias("at"), "doc_id").collect()
-    rows.sort(key=lambda r: (r["at"], r["doc_id"], r["text"]))
-    return train([(r["text"], r["toxic"]) for r in rows], TOXIC_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = train([(text, toxic) for _, _, text, toxic in rows], TOXIC_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(astuple(model))], pa.binary())], names=["model"])
+
+    sample = texts.select(order.alias("at"), F.col("doc_id").cast("string"), "text", F.col("toxic").cast("int")).repartition(1)
+    found = sample.mapInArrow(run, "model binary").collect()
+    return Model(*pickle.loads(found[0][0])) if found else train([], 0)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
