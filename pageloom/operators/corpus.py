@@ -227,6 +227,12 @@ class _Boundary:
             tail = tail[-self.reach:]
         return tail, full
 
+    def merge(self, first: tuple[str, bool], second: tuple[str, bool]) -> tuple[str, bool]:
+        if second[1]:
+            return second
+        joined = self._join(first[0], second[0])
+        return joined[-self.reach:], first[1] or len(joined) > self.reach
+
     def advance(self, state: str, summary: tuple[str, bool]) -> str:
         tail, full = summary
         return (tail if full else self._join(state, tail))[-self.reach:]

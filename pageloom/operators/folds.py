@@ -27,12 +27,14 @@ from pageloom.session import shared_dir
 
 
 class Fold(Protocol):
-    """The four small pieces of a fold; rows arrive as lists of column values in order."""
+    """The small pieces of a fold; rows arrive as lists of column values in order."""
 
     def start(self, key: Any) -> Any: ...  # state before the first row
 
     def summarize(self, rows: pd.DataFrame) -> Any: ...  # what a run of rows does to any incoming state
 
+    def merge(self, first: Any, second: Any) -> Any: ...  # summary of a run from those of its two parts, never None
+
     def advance(self, state: Any, summary: Any) -> Any: ...  # incoming state + summary -> outgoing state
 
     def emit(self, state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]: ...  # outgoing state, output rows
@@ -47,25 +49,30 @@ def _runs(pdf: pd.DataFrame, key: str) -> Iterator[tuple[Any, pd.DataFrame]]:
 
 
 def _summaries(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """First and last key of the segment with their summaries."""
+    """First and last key of the segment with their summaries; a run that spans batches is summarised batch by batch."""
+
+    def one(seg: int, k: Any, summary: Any, pending: pd.DataFrame | None) -> pd.DataFrame:
+        return pd.DataFrame({"_seg": [seg], key: [k], "_summary": [pickle.dumps(merged(summary, pending))]})
 
-    def one(seg: int, k: Any, parts: list[pd.DataFrame]) -> pd.DataFrame:
-        blob = pickle.dumps(fold.summarize(pd.concat(parts, ignore_index=True)))
-        return pd.DataFrame({"_seg": [seg], key: [k], "_summary": [blob]})
+    def merged(summary: Any, pending: pd.DataFrame | None) -> Any:
+        if pending is None:
+            return summary
+        own = fold.summarize(pending)
+        return own if summary is None else fold.merge(summary, own)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seg, current, parts, seen = 0, None, [], 0
+        seg, current, summary, pending, keys = 0, None, None, None, 0
         for pdf in batches:
             for k, rows in _runs(pdf, key):
                 seg = int(rows["_seg"].iloc[0])
-                if parts and k != current:
-                    if seen == 0:
-                        yield one(seg, current, parts)
-                    seen, parts = seen + 1, []
-                current = k
-                parts.append(rows)
-        if parts:
-            yield one(seg, current, parts)
+                if keys and k == current:
+                    summary, pending = merged(summary, pending), rows
+                    continue
+                if keys == 1:
+                    yield one(seg, current, summary, pending)
+                keys, current, summary, pending = keys + 1, k, None, rows
+        if keys:
+            yield one(seg, current, summary, pending)
 
     return run
 

@@ -34,7 +34,8 @@ def monthly_usage(events: DataFrame) -> DataFrame:
 class _Credits:
     """Counter 0..cap: a consume adds one below the cap (returns the count, else -1), a refund takes one off, not below 0.
 
-    A run of events is summarised by where it takes each of the cap + 1 possible counts.
+    Each event is a map ``x -> min(high, max(low, x + step))``; maps of this form stay of this form when one follows the
+    other, so any run of events is three numbers, and the maps up to each event come from a doubling scan over arrays.
     """
 
     def __init__(self, cap: int) -> None:
@@ -43,27 +44,39 @@ class _Credits:
     def start(self, key: Any) -> int:
         return 0
 
-    def _step(self, count: int, kind: str) -> int:
-        return min(count + 1, self.cap) if kind == "consume" else max(count - 1, 0)
+    @staticmethod
+    def _then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Rows (step, low, high) of the first maps followed by the second."""
+        low, high = (np.clip(first[:, c] + second[:, 0], second[:, 1], second[:, 2]) for c in (1, 2))
+        return np.stack([first[:, 0] + second[:, 0], low, high], axis=1)
 
-    def summarize(self, rows: pd.DataFrame) -> list[int]:
-        ends = list(range(self.cap + 1))
-        for kind in rows["kind"]:
-            ends = [self._step(c, kind) for c in ends]
-        return ends
+    def _upto(self, rows: pd.DataFrame) -> np.ndarray:
+        """The map of all events up to and with each one."""
+        step = np.where(rows["kind"].to_numpy() == "consume", 1, -1)
+        maps = np.stack([step, np.zeros(len(step), np.int64), np.full(len(step), self.cap)], axis=1)
+        reach = 1
+        while reach < len(maps):
+            maps[reach:] = self._then(maps[:-reach].copy(), maps[reach:])
+            reach *= 2
+        return maps
 
-    def advance(self, state: int, summary: list[int]) -> int:
-        return summary[state]
+    def summarize(self, rows: pd.DataFrame) -> tuple[int, int, int]:
+        return tuple(map(int, self._upto(rows)[-1]))
+
+    def merge(self, first: tuple[int, int, int], second: tuple[int, int, int]) -> tuple[int, int, int]:
+        return tuple(map(int, self._then(np.array([first]), np.array([second]))[0]))
+
+    def advance(self, state: int, summary: tuple[int, int, int]) -> int:
+        step, low, high = summary
+        return min(high, max(low, state + step))
 
     def emit(self, state: int, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
-        returned = []
-        for kind in rows["kind"]:
-            after = self._step(state, kind)
-            returned.append(-1 if kind == "consume" and after == state else after)
-            state = after
+        maps = self._upto(rows)
+        after = np.clip(state + maps[:, 0], maps[:, 1], maps[:, 2])
+        before = np.concatenate(([state], after[:-1]))
         out = rows[["event_id", "user_id", "period", "kind"]].copy()
-        out["returned"] = returned
-        return state, out
+        out["returned"] = np.where((rows["kind"].to_numpy() == "consume") & (after == before), -1, after)
+        return int(after[-1]), out
 
 
 def credit_ledger(events: DataFrame, cap: int | None = None) -> DataFrame:
@@ -136,7 +149,8 @@ class _FixedWindow:
 
     State: (window start, hits so far), times in microseconds. Where a run of hits takes a state depends only on which
     of its hits is the first to open a new window, so the summary is a step function: the latest incoming window end for
-    each distinct outcome.
+    each distinct outcome. A window that is open when the run begins ends within one length of the run's first hit, so
+    the function has at most as many steps as there are hits in that one length of time, however long the run is.
     """
 
     def __init__(self, limit: int, window_us: int) -> None:
@@ -145,7 +159,14 @@ class _FixedWindow:
     def start(self, key: Any) -> None:
         return None
 
-    def summarize(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def _steps(self, until: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int, last: int) -> tuple:
+        """Steps that differ from the next one, up to the first that no incoming window can outlast."""
+        keep = np.append((starts[1:] != starts[:-1]) | (counts[1:] != counts[:-1]), True)
+        until, starts, counts = until[keep], starts[keep], counts[keep]
+        used = int(np.searchsorted(until, last, side="right")) + 1
+        return until[:used], starts[:used], counts[:used], n, last
+
+    def summarize(self, rows: pd.DataFrame) -> tuple:
         t = rows["at"].to_numpy(dtype=np.int64)
         n = len(t)
         nxt = np.append(np.searchsorted(t, t + self.window, side="right"), n)  # first hit that replaces hit i's window
@@ -158,12 +179,19 @@ class _FixedWindow:
             last = np.where(live, last[np.minimum(jump, n)], last)
             jump = np.where(live, jump[np.minimum(jump, n)], jump)
         final = last[:n]
-        edge = np.append(final[1:] != final[:-1], True)
-        keep = np.flatnonzero(edge)
-        return t[keep], t[final[keep]], n - final[keep], n
-
-    def advance(self, state: tuple[int, int] | None, summary: Any) -> tuple[int, int]:
-        until, starts, counts, n = summary
+        return self._steps(t, t[final], n - final, n, int(t[0]) + self.window)
+
+    def merge(self, first: tuple, second: tuple) -> tuple:
+        until, starts, counts, n, last = first
+        until2, starts2, counts2, n2, _ = second
+        i = np.searchsorted(until2, starts + self.window, side="right")
+        moved, at = i < len(until2), np.minimum(i, len(until2) - 1)
+        later = until2 > until[-1]
+        return self._steps(np.append(until, until2[later]), np.append(np.where(moved, starts2[at], starts), starts2[later]),
+                           np.append(np.where(moved, counts2[at], counts + n2), counts2[later]), n + n2, last)
+
+    def advance(self, state: tuple[int, int] | None, summary: tuple) -> tuple[int, int]:
+        until, starts, counts, n, _ = summary
         if state is None:
             return int(starts[0]), int(counts[0])
         end = state[0] + self.window
@@ -173,12 +201,12 @@ class _FixedWindow:
             return state[0], state[1] + n
         return int(starts[i]), int(counts[i])
 
-    def emit(self, state: tuple[int, int] | None, rows: pd.DataFrame) -> tuple[tuple[int, int], pd.DataFrame]:
-        t = rows["at"].to_numpy(dtype=np.int64)
+    def walk(self, state: tuple[int, int] | None, t: np.ndarray) -> tuple[tuple[int, int] | None, np.ndarray, np.ndarray]:
+        """Window start and hits so far at each hit: one step per window, not per hit."""
         n = len(t)
         starts, counts = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
         i = 0
-        while i < n:  # one step per window, not per hit
+        while i < n:
             if state is None or t[i] > state[0] + self.window:
                 state = (int(t[i]), 0)
             j = int(np.searchsorted(t, state[0] + self.window, side="right"))
@@ -186,6 +214,11 @@ class _FixedWindow:
             counts[i:j] = state[1] + np.arange(1, j - i + 1)
             state = (state[0], state[1] + j - i)
             i = j
+        return state, starts, counts
+
+    def emit(self, state: tuple[int, int] | None, rows: pd.DataFrame) -> tuple[tuple[int, int], pd.DataFrame]:
+        t = rows["at"].to_numpy(dtype=np.int64)
+        state, starts, counts = self.walk(state, t)
         out = rows[["key", "request_id"]].copy()
         out["hits"] = counts
         out["window_start_us"] = starts
@@ -249,25 +282,27 @@ def daily_cap(started: DataFrame, attempts: DataFrame, cap: int, window_ms: int
 
 
 class _Gate(_FixedWindow):
-    """The same window, with rows that look at the counter without touching it."""
+    """The same window, with rows that look at the counter without touching it. A summary is empty for a run of looks."""
 
-    def summarize(self, rows: pd.DataFrame) -> Any:
+    def summarize(self, rows: pd.DataFrame) -> tuple:
         starts = rows[rows["consumes"].astype(bool)]
-        return super().summarize(starts) if len(starts) else None
+        return super().summarize(starts) if len(starts) else ()
+
+    def merge(self, first: tuple, second: tuple) -> tuple:
+        return super().merge(first, second) if first and second else first or second
 
-    def advance(self, state: Any, summary: Any) -> Any:
-        return state if summary is None else super().advance(state, summary)
+    def advance(self, state: Any, summary: tuple) -> Any:
+        return super().advance(state, summary) if summary else state
 
     def emit(self, state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
-        used: list[int | None] = []
-        for at, consumes in zip(rows["at"], rows["consumes"]):
-            at = int(at)
-            if consumes:
-                fresh = state is None or state[0] < at - self.window
-                state = (at, 1) if fresh else (state[0], state[1] + 1)
-                used.append(None)
-            else:
-                used.append(state[1] if state is not None and state[0] >= at - self.window else 0)
-        out = pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "used": pd.array(used, dtype="Int64")})
+        t, consumes = rows["at"].to_numpy(dtype=np.int64), rows["consumes"].to_numpy(dtype=bool)
+        after, starts, counts = self.walk(state, t[consumes])
+        none = -self.window - 1 if state is None else state[0]
+        starts, counts = np.append(none, starts), np.append(0 if state is None else state[1], counts)  # before the first start
+        seen = np.cumsum(consumes)
+        open_now = (starts[seen] >= t - self.window) & (counts[seen] > 0)
+        used = pd.array(np.where(open_now, counts[seen], 0), dtype="Int64")
+        used[consumes] = pd.NA
+        out = pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "used": used})
         out["allowed"] = (out["used"] < self.limit).fillna(False).astype(bool)
-        return state, out
+        return after, out

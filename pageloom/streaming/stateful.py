@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,45 +19,73 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pageloom.operators.access import OPEN_STATES, TIMEOUT_TEXT
 from pageloom.operators.limits import RATE_SCHEMA, _FixedWindow, micros
 
+ROWS_AT_ONCE = 100_000
 
-def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """The fixed-window limiter on a stream of ``(key, request_id, ts)``; requests of a batch count in time order."""
+
+def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int, lateness: str = "0 seconds") -> DataFrame:
+    """The fixed-window limiter on a stream of ``(key, request_id, ts)``; requests of a batch count in time order.
+
+    A key's state goes when the watermark has passed the end of its window: whatever comes later opens a new one.
+    A key's rows of a micro-batch are taken as arrays of times, one Arrow batch after the other, never as one table.
+    """
     fold = _FixedWindow(limit, window_ms * 1000)
 
     def step(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        held, out = fold.emit(held, rows)
+        waiting = [(b["at"].to_numpy(dtype=np.int64), b["request_id"].to_numpy(dtype=np.int64)) for b in batches]
+        at, ids = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.lexsort((ids, at))
+        for k in range(0, len(order), ROWS_AT_ONCE):
+            part = order[k : k + ROWS_AT_ONCE]
+            held, out = fold.emit(held, pd.DataFrame({"key": key[0], "request_id": ids[part], "at": at[part]}))
+            yield out
         state.update(held)
-        yield out
+        state.setTimeoutTimestamp(max(held[0] // 1000 + window_ms, state.getCurrentWatermarkMs()) + 1)
 
-    rows = requests.select("key", "request_id", micros(F.col("ts")).alias("at"))
+    rows = requests.select("key", "request_id", F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("at")).withWatermark("ts", lateness)
     return rows.groupBy("key").applyInPandasWithState(
-        step, RATE_SCHEMA, "window_start_us bigint, hits bigint", "append", GroupStateTimeout.NoTimeout)
+        step, RATE_SCHEMA, "window_start_us bigint, hits bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def watchdog_stream(reports: DataFrame, minutes: int = 10, lateness: str = "0 seconds") -> DataFrame:
+def watchdog_stream(reports: DataFrame, minutes: int = 10, lateness: str = "0 seconds", keep_minutes: int = 1440) -> DataFrame:
     """Flips reports to 'error' that are still open ``minutes`` of event time after their first row.
 
-    ``reports``: changes ``report_id, status, ts``. State is the deadline of each open report; a terminal status drops it.
+    ``reports``: changes ``report_id, status, ts``. State is the deadline of each open report. A terminal status that comes in
+    time ends it; one that comes later finds the report flagged. What is left then is a mark, so that late rows
+    flag nothing twice, and the mark goes ``keep_minutes`` later. The outcome follows from event times, whatever the batches.
     """
     wait_ms = minutes * 60_000
+    flag = lambda report: pd.DataFrame({"report_id": [report], "status": ["error"], "error": [TIMEOUT_TEXT]})
 
     def step(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else None
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"report_id": [key[0]], "status": ["error"], "error": [TIMEOUT_TEXT]})
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        if (~rows["status"].isin(OPEN_STATES)).any():
-            state.update((-1,))
-        elif not state.exists:
-            state.update((int(rows["ts"].iloc[0].timestamp() * 1000) + wait_ms,))
-        if state.exists and state.get[0] > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(state.get[0])
-        elif state.exists and state.get[0] >= 0:
-            state.update((-1,))
-            yield pd.DataFrame({"report_id": [key[0]], "status": ["error"], "error": [TIMEOUT_TEXT]})
+            if held < 0:
+                state.remove()
+                return
+            yield flag(key[0])
+            ended = True
+        else:
+            if held is not None and held < 0:
+                return
+            first = closed = None
+            for rows in batches:
+                at = rows["ts"].map(lambda t: int(t.timestamp() * 1000))
+                first = min([at.min(), *([] if first is None else [first])])
+                done = at[~rows["status"].isin(OPEN_STATES)]
+                if len(done):
+                    closed = min([done.min(), *([] if closed is None else [closed])])
+            deadline = int(first) + wait_ms if held is None else held
+            ended = closed is not None
+            if ended and closed > deadline:
+                yield flag(key[0])
+            held = deadline
+        floor = state.getCurrentWatermarkMs()
+        state.update((-1,) if ended else (held,))
+        state.setTimeoutTimestamp(max(floor + 1, floor + keep_minutes * 60_000 if ended else held))
 
     return (
         reports.select("report_id", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)

@@ -102,3 +102,34 @@ def test_step_function_summary_matches_replay():
         rows = pd.DataFrame({"key": "k", "request_id": range(len(t)), "at": t})
         state = None if rnd.random() < 0.2 else (t[0] - rnd.randrange(0, 1500), rnd.randrange(1, 9))
         assert tuple(fold.advance(state, fold.summarize(rows))) == tuple(fold.emit(state, rows)[0])
+
+
+def test_summaries_of_parts_make_that_of_the_whole():
+    rnd = random.Random(11)
+    window = limits._FixedWindow(5, 50)
+    credits = limits._Credits(3)
+    for _ in range(200):
+        t = sorted(rnd.randrange(0, 400) for _ in range(rnd.randrange(2, 40)))
+        kinds = [rnd.choice(["consume", "refund"]) for _ in t]
+        rows = pd.DataFrame({"key": "k", "request_id": range(len(t)), "at": t, "kind": kinds})
+        cut = rnd.randrange(1, len(t))
+        parts = rows.iloc[:cut], rows.iloc[cut:]
+        for start in [None, *[(t[0] - k, 2) for k in range(0, 60, 7)]]:
+            whole, joined = window.summarize(rows), window.merge(*map(window.summarize, parts))
+            want = window.walk(start, rows["at"].to_numpy())[0]
+            assert window.advance(start, whole) == window.advance(start, joined) == want
+        for count in range(4):
+            by_row = count
+            for kind in kinds:
+                by_row = min(by_row + 1, 3) if kind == "consume" else max(by_row - 1, 0)
+            assert credits.advance(count, credits.merge(*map(credits.summarize, parts))) == credits.advance(count, credits.summarize(rows)) == by_row
+
+
+def test_a_summary_does_not_grow_with_the_length_of_a_run():
+    """Ten times the hits after the first window: no longer summary; a credit run is three numbers whatever its length."""
+    sizes = []
+    for n in (2_000, 20_000):
+        rows = pd.DataFrame({"at": range(0, n * 10, 10), "kind": ["consume"] * n})
+        sizes.append(len(limits._FixedWindow(5, 1_000).summarize(rows)[0]))
+        assert len(limits._Credits(3).summarize(rows)) == 3
+    assert sizes[0] == sizes[1] <= 102

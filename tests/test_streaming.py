@@ -42,3 +42,28 @@ def test_watchdog(spark, tmp_path):
     src = spark.read.parquet(str(tmp_path / "in")).schema
     out = run_to_table(watchdog_stream(file_stream(spark, str(tmp_path / "in"), src, files_per_batch=1)), "w").collect()
     assert [(r.report_id, r.status) for r in out] == [("slow", "error")]
+
+
+def test_watchdog_outcome_follows_event_times(spark, tmp_path):
+    """A terminal status after the deadline comes too late even in the same batch; nothing is flagged twice; marks go."""
+    schema = "report_id string, status string, ts timestamp"
+    at = lambda m: T0 + timedelta(minutes=m)
+    write(spark, tmp_path / "in", [[("a", "queued", at(0)), ("a", "done", at(11)), ("b", "queued", at(0)), ("b", "done", at(10))],
+                                   [("a", "queued", at(12)), ("b", "crawling", at(13)), ("c", "crawling", at(13))],
+                                   [("a", "crawling", at(40)), ("d", "done", at(41))], [("a", "queued", at(3000)), ("e", "done", at(3100))]], schema)
+    src = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = file_stream(spark, str(tmp_path / "in"), src, files_per_batch=1)
+    out = run_to_table(watchdog_stream(stream, keep_minutes=60), "w").collect()
+    assert sorted(r.report_id for r in out) == ["a", "a", "c"]  # a second time only long after its mark has gone
+
+
+def test_limiter_forgets_keys_whose_window_is_over(spark, tmp_path):
+    schema = "key string, request_id long, ts timestamp"
+    batches = [[(f"k{b}", 10 * b + i, T0 + timedelta(minutes=b, seconds=i)) for i in range(3)] for b in range(5)]
+    write(spark, tmp_path / "in", batches, schema)
+    stream = file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_batch=1)
+    query = rate_limit_stream(stream, 2, 20_000).writeStream.format("memory").queryName("limits").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    assert spark.table("limits").count() == 15
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
