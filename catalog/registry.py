@@ -6,11 +6,12 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom import workload
 from pageloom.operators import audit, scoring
 from pageloom.operators.facts import page_facts
-from pageloom.session import materialize
+from pageloom.session import drop_tables, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = datetime(2024, 2, 1)
@@ -29,30 +30,38 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_FACTS: dict[tuple[str, str], DataFrame] = {}
-_AUX: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when a file of the crawl's tables changes: one number from their paths, sizes and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        [f"{sf_dir}/{t}.parquet" for t in ("pages", "documents")]).select("path", "length", "modificationTime")
+    return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read, written once per application and state of its input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = materialize(build(), name)
+    return _TABLES[key]
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts table of a folder, written once per application: every audit query after the first reads it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FACTS:
-        _FACTS[key] = materialize(page_facts(workload.crawl(spark, sf_dir)), "page-facts")
-    return _FACTS[key]
+    """The facts table of a folder: every audit query after the first reads it."""
+    return _once(spark, sf_dir, "page-facts", lambda: page_facts(workload.crawl(spark, sf_dir)))
 
 
 def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-site inputs, an ordinary input table of the audit; derived from the crawl here, so written once as well."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _AUX:
-        _AUX[key] = materialize(workload.site_aux(spark, sf_dir), "site-aux")
-    return _AUX[key]
+    return _once(spark, sf_dir, "site-aux", lambda: workload.site_aux(spark, sf_dir))
 
 
-def forget_facts() -> None:
-    """Makes the next audit query start from the input tables again (the bench does this before each query)."""
-    _FACTS.clear()
-    _AUX.clear()
+def forget_facts(spark: SparkSession) -> None:
+    """Removes the tables, so that the next audit query starts from the input again (the bench does this before each query)."""
+    _TABLES.clear()
+    drop_tables(spark)
 
 
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ PATH_PRIORITY = [
     (4, r"/(contact|services?)"),
     (-6, r"/(blog|news|article|post|tag|category)|/20\d\d/"),
 ]
+# Path segments that are never audited.
 SENSITIVE_SEGMENTS = [
     "wp-admin", "wp-login", "wp-json", "administrator", "admin", "login", "signin", "sign-in", "signup", "sign-up",
     "register", "accounts?", "dashboard", "customers?", "users?", "profile", "settings", "preferences", "checkout",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.operators.scoring import grade
 from pageloom.session import salted_join
 
+# States of an unfinished run, and the two sentences stored with a failed one.
 OPEN_STATES = ("queued", "crawling", "analyzing", "embedding")
 TIMEOUT_TEXT = "Audit timed out - no result within the expected window"
 NO_CONTENT_TEXT = "No usable page content was scraped (the site may be unreachable or blocking crawlers)."
@@ -79,7 +80,7 @@ def erase_users(users: DataFrame, tables: dict[str, tuple[DataFrame, str]], repo
 
     ``tables`` maps a name to (rows with ``report_id``, column to spread by).
     """
-    gone = _id(reports.join(users.select("user_id"), "user_id", "left_semi").select("report_id"))
+    gone = _id(salted_join(reports, users.select("user_id"), ["user_id"], "left_semi", "report_id").select("report_id"))
     out = {n: salted_join(_id(df), gone, ["report_id"], "left_anti", by) for n, (df, by) in tables.items()}
     out["reports"] = salted_join(reports, users.select("user_id"), ["user_id"], "left_anti", "report_id")
     out["usage"] = salted_join(usage, users.select("user_id"), ["user_id"], "left_anti", "period")

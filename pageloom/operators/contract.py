@@ -19,6 +19,7 @@ FAILED_REASONS = ("4xx", "5xx", "no-content", "timeout")
 PATH_CHARS = 250
 # Control characters, zero-width and direction marks, overrides, joiners and isolates, byte-order mark.
 UNSAFE_PATH = r"[\x00-\x1f\x7f\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff]"
+# Formats of ids and addresses, plans, and domains of throw-away mail.
 UUID = (
     r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
     r"|0{8}-0{4}-0{4}-0{4}-0{12}|f{8}-f{4}-f{4}-f{4}-f{12})\z"

@@ -50,6 +50,7 @@ SUMMARY_HEADINGS = [
     "kernpunten", "резюме", "обобщение", "накратко", "ключови изводи", "ключови точки", "кратко", "итоги",
     "ключевые выводы", "резиме", "podsumowanie", "w skrócie", "najważniejsze", "rezumat", "pe scurt",
 ]
+# How a page that was not found reads, and what ends a word.
 NOT_FOUND_PHRASE = (
     r"(?<!\w)(?:404|not found|page not found|page (?:does ?n'?t|cannot be) found|"
     r"no longer (?:exists|available))(?!\w)"

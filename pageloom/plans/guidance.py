@@ -1,6 +1,6 @@
 """Guidance per check: why it matters, how to fix it, an example, and when it does not apply.
 
-A deployment may bring its own table with these columns (``read_guidance``); the texts below are the default.
+A deployment may pass its own table with these columns wherever one is taken; the texts below are the default.
 """
 
 from __future__ import annotations
@@ -77,7 +77,3 @@ GUIDANCE = [
 def guidance(spark: SparkSession) -> DataFrame:
     """58 fixed rows; safe to broadcast."""
     return spark.createDataFrame(GUIDANCE, COLUMNS)
-
-
-def read_guidance(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COLUMNS).json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,45 +30,65 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Only in local mode, where it may be unset, a temporary folder takes its place, and goes when the process ends.
+    """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder:
         return folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-ckpt-"))
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="pageloom-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Several consumers then read a narrow columnar table (with column pruning) instead of repeating the scan of the
-    page bodies, and a lost executor costs a re-read, not a recomputation.
+    page bodies, and a lost executor costs a re-read, not a recomputation. ``drop_tables`` removes what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the tables that this application wrote with ``materialize``, once their readers are done."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint, for tables of a fixed size only (the rubric, the guidance table, word lists)."""
     return F.broadcast(df)
 
 
-SALTS = 16
+def salts(spark: SparkSession) -> int:
+    """Tasks that one key of a salted join is spread over: a quarter of the shuffle partitions, 4 to 64."""
+    return min(64, max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: str) -> DataFrame:
     """Join of a big left side that may be skewed on ``keys`` with a right side of few rows per key.
 
     The right side is repeated once per salt and the left side picks its salt from ``spread_by``, so a key with a third
-    of all rows is split over ``SALTS`` tasks. The salt comes from the row itself, so a recomputed task repeats it.
+    of all rows is split over ``salts`` tasks. The salt comes from the row itself, so a recomputed task repeats it.
     For inner, left, left_semi and left_anti joins.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    count = salts(left.sparkSession)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(count)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(count)])))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
