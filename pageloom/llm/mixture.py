@@ -12,7 +12,7 @@ from pageloom.session import materialize
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-BINS = 1 << 16  # of rank, per source, that are summed before any row is ranked
+BINS = 1 << 12  # of rank, per source, that are summed before any row is ranked: a window over one source reads no more rows
 
 
 def word_count(text: Column) -> Column:
