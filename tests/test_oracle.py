@@ -4,9 +4,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from catalog.compare import compare, duck
+from catalog.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in queries() if not n.startswith("check_") or n in ("check_results", "check_S17", "check_G3")]
+NAMES = [n for n in QUERIES if not n.startswith("check_") or n in ("check_results", "check_S17", "check_G3")]
 
 
 @pytest.fixture(scope="module")
