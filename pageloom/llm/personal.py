@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pageloom.session import materialize
 
 # The base patterns of the contract, in order of kind. The e-mail pattern may only begin where a run of its first
-# signs does, or where the last match ended; that is where a leftmost match begins, and no run is read twice.
+# signs does, or where the last match ended; that is where a leftmost match begins, and no run is read twice. Repeated groups are
+# possessive: the same matches, in a loop; greedy ones recurse, and a run of some thousand digits or labels ends the JVM.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "found")

@@ -41,6 +41,12 @@ def test_base_spans_against_plain_rules(spark):
         assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest() and (r.spans + ",").startswith(names), texts[r.doc_id]
 
 
+def test_long_runs_of_digits_and_labels(spark):
+    texts = ["1 2 " * 50_000, "7" * 100_000, "1-2-" * 50_000, "a@b" + ".c" * 100_000, "x 4111 1111 1111 1111 y"]
+    rows = personal.found_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in rows} == {0: "", 1: "", 2: "", 3: "email:0:200003", 4: "card:2:21"}
+
+
 def teaching(n=12):
     """Seeds after a telling phrase, an identifier of unknown form after the same phrase, and the like after idle words."""
     rows = [(k, f"please write reach me on +1 (988) 555-{2000 + k} soon") for k in range(n)]
