@@ -16,6 +16,7 @@ BLOCK_TAGS = frozenset(
     "td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN_TAGS = frozenset("head iframe noembed noframes noscript object script style svg template textarea title".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other ends an open head
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes".split())  # no tags inside
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl select".split())  # a sibling's implied end does not reach over these
@@ -48,6 +49,7 @@ def leaf_blocks(html: str | None) -> Iterator[Block]:
     """Blocks in page order: character references decoded, white space as one space, blank ones left out.
 
     Ends that nothing opened are ignored; a block tag ends an open ``p``, and items and cells end the ones before them.
+    An open ``head`` ends at text, at ``body`` and at the first tag that cannot stand in it.
     The path names each open tag, and the words of its class, id and role as ``tag.word``.
     """
     html = html or ""
@@ -81,6 +83,8 @@ def leaf_blocks(html: str | None) -> Iterator[Block]:
 
     for m in chain(iter(lambda: TOKEN.search(html, at), None), [None]):
         end = m.start() if m else len(html)
+        if end > at and stack[-1][0] == "head" and not html[at:end].isspace():
+            pop(len(stack) - 1)
         if end > at and not stack[-1][3]:
             text.append(html[at:end])
             if open_tags["a"]:
@@ -101,6 +105,10 @@ def leaf_blocks(html: str | None) -> Iterator[Block]:
             if place:
                 pop(place)
             continue
+        if stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            pop(len(stack) - 1)
+        elif tag == "body" and (place := innermost({"head"})):
+            pop(place)
         if open_tags["p"] and tag in CLOSES_P:
             pop(innermost({"p"}))
         if tag in CLOSED_BY_SIBLING and (place := innermost(CLOSED_BY_SIBLING[tag], SCOPES)):

@@ -23,6 +23,17 @@ def test_blocks_of_untidy_markup():
     assert [b.tag for b in blocks] == ["p", "p", "li", "li", "td", "td", "div", "body"]
 
 
+@pytest.mark.parametrize("head", ["<head><title>x</title>", "<head><title>x</title><meta name='a'><noscript><p>js</p></noscript>", "<head><noscript><p>js</p>", "<head></head>"])
+def test_heads_without_an_end(head):
+    for body in ("<body><article><p>a b</p>", "<body>a b"):
+        assert [b.text for b in leaf_blocks(f"<html>{head}{body}</html>")] == ["a b"]
+
+
+@pytest.mark.parametrize("rest", ["<article><p>a b</p></article>", "<p>a b", "a b", "<span>a b</span>"])
+def test_first_content_ends_an_open_head(rest):
+    assert [b.text for b in leaf_blocks(f"<html><head><title>x</title> <link rel='y'>{rest}</html>")] == ["a b"]
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "</p></p>", "<!-- never closed <p>x", "<script>never closed", "<a <b> c", "&#xFFFFFFFF; &bogus;", "<p " + "a='" * 50])
 def test_broken_pages_do_not_raise(html, model):
     assert isinstance(extraction.Scorer(model).extracted(html), str)
