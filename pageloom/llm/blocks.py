@@ -24,7 +24,8 @@ CLOSES_P = BLOCK_TAGS - {"body", "html", "caption", "tbody", "td", "tfoot", "th"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
+PAIRS = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>|\Z", re.I) for tag in RAW_TAGS}
 
@@ -33,7 +34,8 @@ RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>|\Z", re.I) for tag in RAW_TAGS}
 def _attributes(tag: str, text: str) -> tuple[bool, tuple[str, ...]]:
     """Whether the attributes hide the element, and the words of its names."""
     named = tuple(w for found in NAMES.findall(text) for w in WORDS.findall("".join(found).lower()))
-    return HIDDEN.search(text) is not None, tuple(f"{tag}.{w}" for w in named)
+    hides = any(name.lower() == "hidden" or (name.lower() == "style" and NOT_SHOWN.search("".join(value))) for name, *value in PAIRS.findall(text))
+    return hides, tuple(f"{tag}.{w}" for w in named)
 
 
 class Block(NamedTuple):
@@ -45,12 +47,13 @@ class Block(NamedTuple):
     path: tuple[str, ...]
 
 
-def leaf_blocks(html: str | None) -> Iterator[Block]:
+def leaf_blocks(html: str | None, hidden: bool = False) -> Iterator[Block]:
     """Blocks in page order: character references decoded, white space as one space, blank ones left out.
 
     Ends that nothing opened are ignored; a block tag ends an open ``p``, and items and cells end the ones before them.
     An open ``head`` ends at text, at ``body`` and at the first tag that cannot stand in it.
-    The path names each open tag, and the words of its class, id and role as ``tag.word``.
+    The path names each open tag, and the words of its class, id and role as ``tag.word``. Elements hidden by their ``hidden``
+    attribute or style are left out; with ``hidden`` they are read, and the path has ``tag.:hidden`` for them.
     """
     html = html or ""
     stack: list[tuple[str, str, tuple[str, ...], bool]] = [("", "", (), False)]  # tag, nearest block tag, path, unseen
@@ -122,7 +125,9 @@ def leaf_blocks(html: str | None) -> Iterator[Block]:
         if attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
         _, near, path, unseen = stack[-1]
-        hides, named = _attributes(tag, attributes) if "=" in attributes or "hidden" in attributes else (False, ())
+        hides, named = _attributes(tag, attributes) if "=" in attributes or "hidden" in attributes.lower() else (False, ())
+        if hidden and hides:
+            hides, named = False, (*named, f"{tag}.:hidden")
         if tag in BLOCK_TAGS:
             near, path = tag, (*path, tag, *named)
         elif named:

@@ -139,7 +139,7 @@ class Scorer:
 
     def extracted(self, html: str | None) -> str:
         """Main text of a page: the blocks that the field labels so, in page order, joined by newlines."""
-        blocks = list(leaf_blocks(html))
+        blocks = list(leaf_blocks(html, hidden=True))
         scores = [self.path(b.tag, b.path) + self.text(text_features(b)) for b in blocks]
         return "\n".join(b.text for b, keep in zip(blocks, decoded(scores, self.model), strict=True) if keep)
 
@@ -149,7 +149,7 @@ def labelled(pages: Iterable[tuple[str, str]]) -> list[tuple[list[Block], list[i
     out = []
     for html, text in pages:
         lines, at, labels = text.split("\n"), 0, []
-        blocks = list(leaf_blocks(html))
+        blocks = list(leaf_blocks(html, hidden=True))
         for block in blocks:
             hit = block.text in lines[at:]
             at += lines[at:].index(block.text) + 1 if hit else 0
@@ -183,9 +183,9 @@ def sample_pages(count: int, seed: int = 5) -> list[tuple[str, str]]:
     """Labelled pages laid out by rule: invented words in the usual parts of news pages, journals, shops and forums.
 
     Every part that is not article occurs in marked-up and in merely named form, inside the article and around it, so that
-    no single tag decides.
+    no single tag decides. Hidden parts and hidden lines of the article occur too, the latter less often.
     """
-    dice = random.Random(seed)
+    dice, veil = random.Random(seed), random.Random(f"{seed} hidden")
     letters = "aeioulnrstdmcé"
 
     def words(low: int, high: int) -> str:
@@ -197,6 +197,12 @@ def sample_pages(count: int, seed: int = 5) -> list[tuple[str, str]]:
     def wrapped(tag: str, name: str, body: str) -> str:
         return f'<{tag} {dice.choice(("class", "id"))}="{name}">{body}</{tag}>' if name else f"<{tag}>{body}</{tag}>"
 
+    def veiled(html: str, share: float) -> str:
+        if veil.random() >= share:
+            return html
+        at = re.match(r"<\w+", html).end()
+        return html[:at] + veil.choice([" hidden", ' style="display:none"', ' style="color: red; display: none"']) + html[at:]
+
     def link(low: int = 1, high: int = 4) -> str:
         return f'<a href="/{words(1, 1)}">{words(low, high)}</a>'
 
@@ -253,7 +259,7 @@ def sample_pages(count: int, seed: int = 5) -> list[tuple[str, str]]:
             line = " ".join(sentence() for _ in range(dice.randint(1, 6)))
             shape = dice.random()
             if shape < 0.55 or k == 0:
-                put(dice.choice([f"<p>{line}</p>", f"<p>{line}", f"<p><b>{line}<br>", f"<div>{line}</div>", f"<p><em>{line}</em></p>"]), line)
+                put(veiled(dice.choice([f"<p>{line}</p>", f"<p>{line}", f"<p><b>{line}<br>", f"<div>{line}</div>", f"<p><em>{line}</em></p>"]), 0.01), line)
             elif shape < 0.62:
                 items = [sentence(2, 12) for _ in range(dice.randint(2, 5))]
                 put("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", *items)
@@ -281,6 +287,7 @@ def sample_pages(count: int, seed: int = 5) -> list[tuple[str, str]]:
         body, lines = ("", []) if k % 25 == 24 else article()
         front = [f() for f in dice.sample([menu, banner, advert, notice, side, code], dice.randint(0, 4))]
         back = [f() for f in dice.sample([side, comments, advert, form, notice, footer], dice.randint(0, 4))] + dice.choice([[footer()], []])
+        front, back = ([veiled(x, 0.1) if re.match(r"<\w", x) else x for x in parts] for parts in (front, back))
         page = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title>{code()}</head><body>{''.join(front)}{body}{''.join(back)}</body></html>"
         out.append((page, "\n".join(lines)))
     return out

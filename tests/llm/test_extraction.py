@@ -23,6 +23,23 @@ def test_blocks_of_untidy_markup():
     assert [b.tag for b in blocks] == ["p", "p", "li", "li", "td", "td", "div", "body"]
 
 
+@pytest.mark.parametrize("attributes", ['title="the hidden cost of x"', 'class="md:x hidden lg:block"', "data-x='a hidden door'", "data-css='display:none'", "data-hidden", "aria-hidden=true", 'style="--display: nonesuch"'])
+def test_words_in_values_hide_nothing(attributes):
+    page = f"<body><article {attributes}><p>a b</p></article></body>"
+    assert [b.text for b in leaf_blocks(page)] == ["a b"] and ":hidden" not in str([b.path for b in leaf_blocks(page, hidden=True)])
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'id="x" hidden=""', 'style="color:red; display : none"', "style=display:none"])
+def test_hidden_is_a_feature(attributes, model):
+    page = f"<body><div {attributes}>a b</div><p>c</p></body>"
+    assert [b.text for b in leaf_blocks(page)] == ["c"]
+    first, second = leaf_blocks(page, hidden=True)
+    assert first.text == "a b" and "div.:hidden" in first.path and second.path == ("body", "p")
+    lines = ["A line of the article, which ends.", "A line that is folded away, and is long enough to be one.", "A last line of it."]
+    html = f"<body><article><p>{lines[0]}</p><p {attributes}>{lines[1]}</p><p>{lines[2]}</p></article><div class='popup' {attributes}><p>Subscribe now.</p></div></body>"
+    assert extraction.Scorer(model).extracted(html).split("\n") == lines
+
+
 @pytest.mark.parametrize("head", ["<head><title>x</title>", "<head><title>x</title><meta name='a'><noscript><p>js</p></noscript>", "<head><noscript><p>js</p>", "<head></head>"])
 def test_heads_without_an_end(head):
     for body in ("<body><article><p>a b</p>", "<body>a b"):
