@@ -22,8 +22,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "found")
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"  # blank-free strings with a digit: what an unknown identifier may be
-EDGE_SIGNS = r"^[\"'(\[{<]+|[\"')\]}>,;:.!?]+$"
+WORD = r"\S+"
+OPENING = r"^[\"'(\[{<]++"
+EDGE_SIGNS = OPENING + r"|(?:\G|(?<![\"')\]}>,;:.!?]))[\"')\]}>,;:.!?]++\z"
 LEAST_LENGTH = 5  # signs, and
 LEAST_DIGITS = 3  # digits of an identifier that a pattern may discover
 ROUNDS = 3
@@ -107,21 +108,44 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[part(k, kind) for k, kind in enumerate(PATTERNS)])
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, match, pattern) of strings with a digit; the pattern is the two words before, digits as #.
+def contexts(text: Column) -> Column:
+    """For each word (run of signs that are not blank) the two before it, in lower case, a number as #; null for the first two."""
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(text), "[0-9]+", "#"), F.lit(WORD), F.lit(0))
+    return let(words, lambda w: F.transform(w, lambda _, k: F.concat(F.get(w, k - 2), F.lit(" "), F.get(w, k - 1))))
 
-    Quotes, brackets and closing signs at its edges do not belong to a candidate. One with fewer than two words since the
-    last candidate has no pattern and is left out.
+
+def word_numbers(words: Column, base: Column) -> Column:
+    """The words in which base entities begin and end, as numbers from 0: two for each entity, in their order.
+
+    Starts of words and places are sorted together, so that the words before a place are a running sum.
     """
 
-    def trimmed(m: Column) -> Column:
-        start = m["start"] + F.length(F.regexp_extract(m["match"], r"^[\"'(\[{<]*", 0))
-        words = F.regexp_extract(F.lower(F.right(m["left"], F.lit(120))), r"(\S+\s+\S+)\s*$", 1)
-        return let(F.regexp_replace(m["match"], EDGE_SIGNS, ""), lambda inner: F.struct(
-            start.alias("start"), (start + F.length(inner)).alias("end"), inner.alias("match"), F.regexp_replace(words, r"\s+", " ").alias("pattern")))
+    def mark(pos: Column, at: Column) -> Column:
+        return F.struct(pos.cast("long").alias("pos"), at.cast("int").alias("at"))
+
+    starts = F.transform(words, lambda w: mark(w["start"], F.lit(-1)))
+    places = F.flatten(F.transform(base, lambda b, j: F.array(mark(b["start"], 2 * j), mark(b["end"] - 1, 2 * j + 1))))
+
+    def numbered(marks: Column) -> Column:
+        sums = running_sums(F.transform(marks, lambda m: F.when(m["at"] < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+        both = let(sums, lambda n: F.transform(marks, lambda m, k: F.struct(m["at"].alias("at"), (F.get(n, k) - 1).cast("int").alias("word"))))
+        return F.transform(F.sort_array(F.filter(both, lambda x: x["at"] >= 0)), lambda x: x["word"])
+
+    return let(F.sort_array(F.concat(starts, places)), numbered)
 
-    kept = F.filter(F.transform(matches(text, CANDIDATE), trimmed), lambda c: (c["pattern"] != "") & (c["match"] != ""))
-    return F.when(text.rlike("[0-9]"), kept).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string,pattern:string>>"))
+
+def seeds_and_held(text: Column, base: Column) -> Column:
+    """Of the base entities: ``seeds``, an array of (pattern, instance) of those that begin in the third word or later, and
+    ``held``, the numbers of the words they lie in."""
+
+    def told(numbers: Column) -> Column:
+        held = F.array_distinct(F.flatten(F.transform(base, lambda _, j: F.sequence(F.get(numbers, 2 * j), F.get(numbers, 2 * j + 1)))))
+        seeds = let(contexts(text), lambda c: F.transform(base, lambda b, j: F.struct(
+            F.get(c, F.get(numbers, 2 * j)).alias("pattern"), F.lower(b["match"]).alias("instance"))))
+        return F.struct(F.filter(seeds, lambda x: x["pattern"].isNotNull()).alias("seeds"), held.alias("held"))
+
+    none = F.struct(F.array().cast("array<struct<pattern:string,instance:string>>").alias("seeds"), F.array().cast("array<int>").alias("held"))
+    return F.when(F.size(base) > 0, let(let(matches(text, WORD), lambda w: word_numbers(w, base)), told)).otherwise(none)
 
 
 def written(spans: Column) -> Column:
@@ -129,15 +153,47 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _instances(rows: DataFrame) -> DataFrame:
-    """(row, start, end, pattern, instance, seed) of every candidate: one at whose start a base entity begins stands for that
-    entity and is a seed; one inside a base entity, or too short or with too few digits to be told from a number, is none."""
-    each = rows.where(F.size("candidates") > 0).select("row", "base", F.inline("candidates"))
-    hit = F.filter("base", lambda b: (b["start"] <= F.col("start")) & (F.col("start") < b["end"]))
-    seed = F.get(F.filter("base", lambda b: b["start"] == F.col("start")), 0)["match"]
-    long = (F.length("match") >= LEAST_LENGTH) & (F.length(digits(F.col("match"))) >= LEAST_DIGITS)
-    told = each.withColumn("seed", seed).where(F.col("seed").isNotNull() | ((F.size(hit) == 0) & long))
-    return told.select("row", "start", "end", "pattern", F.lower(F.coalesce("seed", "match")).alias("instance"), F.col("seed").isNotNull().alias("seed"))
+def _words(rows: DataFrame) -> DataFrame:
+    """(row, pattern, start, raw) of every word outside base entities with two words before it."""
+    text = F.col("text")
+
+    def free(words: Column) -> Column:
+        left = F.when(F.size(words) > 2, F.array_except(F.sequence(F.lit(2), F.size(words) - 1), F.col("held")))
+        return let(contexts(text), lambda c: F.transform(left, lambda k: F.struct(
+            F.get(c, k).alias("pattern"), F.get(words, k)["start"].alias("start"), F.get(words, k)["match"].alias("raw"))))
+
+    return rows.select("row", F.inline(let(matches(text, WORD), free)))
+
+
+def _instances(words: DataFrame) -> DataFrame:
+    """Words as instances: without the quotes, brackets and closing signs at their edges, in lower case."""
+    inner = words.withColumn("inner", F.regexp_replace("raw", EDGE_SIGNS, ""))
+    long = (F.length("inner") >= LEAST_LENGTH) & (F.length(digits(F.col("inner"))) >= LEAST_DIGITS)
+    start = F.col("start") + F.length(F.regexp_extract("raw", OPENING, 0))
+    return inner.where(long).select("row", "pattern", F.lower("inner").alias("instance"), start.alias("start"), (start + F.length("inner")).alias("end"))
+
+
+def telling_patterns(rows: DataFrame, rounds: int, least_seeds: int, least: float) -> DataFrame:
+    """``confident_patterns`` of all words of the texts, of which only those are kept that a round can need.
+
+    A pattern scores only before ``least_seeds`` different sure instances. Those of the first round are the seeds, later
+    also what confident patterns stand before; so each round takes the patterns with enough of them, and the words after
+    these patterns. Patterns left out have no score in that round. Each round reads the words again, and nothing is read
+    again once no pattern is confident.
+    """
+    seeds = materialize(rows.select(F.inline("seeds")).distinct(), "seeds")
+    before = seeds
+    for k in range(1, rounds + 1):
+        wanted = before.groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= least_seeds).select("pattern")
+        wanted = materialize(wanted, "seeded-patterns")
+        after = _instances(_words(rows).join(wanted, "pattern", "left_semi")).select("pattern", "instance").distinct()
+        edges = materialize(seeds.withColumn("seed", F.lit(True)).union(after.withColumn("seed", F.lit(False))), "instances")
+        scores = confident_patterns(edges, k, least_seeds, least)
+        if k == rounds or scores.isEmpty():
+            break
+        told = materialize(edges.where("not seed").join(scores, "pattern", "left_semi").select("instance").distinct(), "told")
+        before = seeds.union(_instances(_words(rows)).join(told, "instance", "left_semi").select("pattern", "instance").distinct())
+    return scores
 
 
 def confident_patterns(instances: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS,
@@ -169,22 +225,25 @@ def confident_patterns(instances: DataFrame, rounds: int = ROUNDS, least_seeds:
 def found_personal_data(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, n_found, base_sha256, spans)`` for every row of the documents.
 
-    Base entities are seeds; the words before them are patterns; what confident patterns stand before elsewhere is found,
-    unless it overlaps a base entity. Offsets are code points, the end exclusive. Null and empty texts have no spans; rows that
-    repeat give a result each (copies of a text add nothing to a pattern, which counts different instances). An empty
-    table gives an empty result. Texts are read once: what leaves that pass is a row of spans and candidates per document.
+    Base entities are seeds; the two words before the word they begin in are patterns; what confident patterns stand before
+    elsewhere is found, unless it overlaps a base entity. Offsets are code points, the end exclusive. Null and empty texts
+    have no spans; rows that repeat give a result each (copies of a text add nothing to a pattern, which counts different
+    instances). An empty table gives an empty result. Base entities are searched for once; texts are kept beside them,
+    as each round of patterns reads their words.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parsed = docs.select(F.col("doc_id").cast("long"), base_spans(text).alias("base"), candidates(text).alias("candidates"))
-    rows = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "spans")
-    instances = materialize(_instances(rows), "instances")
-    patterns = confident_patterns(instances, rounds, least_seeds, least)
-    new = instances.where("not seed").join(patterns, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(
-        F.struct(F.lit(len(PATTERNS)).alias("kind"), "start", "end"))).alias("found"))
-    base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    free = F.filter("found", lambda f: ~F.exists("base", lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))
-    joined = rows.join(new, "row", "left").select("doc_id", base.alias("base"), F.coalesce(free, F.array().cast(
-        "array<struct<kind:int,start:bigint,end:bigint>>")).alias("found"))
+    spans = docs.select(F.col("doc_id").cast("long"), text.alias("text"), base_spans(text).alias("base"))
+    slim = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
+    parsed = spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", slim.alias("slim"), seeds_and_held(F.col("text"), F.col("base")).alias("words"))
+    rows = materialize(parsed, "spans").select("row", "doc_id", "text", F.col("slim").alias("base"), "words.seeds", "words.held")
+    patterns = telling_patterns(rows, rounds, least_seeds, least)
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
+    if patterns.isEmpty():
+        joined = rows.select("doc_id", "base", none.alias("found"))
+    else:
+        new = _instances(_words(rows).join(patterns, "pattern", "left_semi")).groupBy("row").agg(F.sort_array(F.collect_list(
+            F.struct(F.lit(len(PATTERNS)).alias("kind"), "start", "end"))).alias("found"))
+        joined = rows.join(new, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
 
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -63,6 +63,27 @@ def test_patterns_find_identifiers_no_rule_knows(spark):
     assert sum(r.n_found for r in got.values()) == 1
 
 
+def test_words_before_are_those_of_the_text(spark):
+    """A number next before a seed or an identifier is a word like others, and long words stay whole."""
+    long = "w" * 150
+    rows = [(k, f"at number {k + 3} write to unit {k + 5} +1 (988) 555-{2000 + k} now") for k in range(12)]
+    rows += [(100 + k, f"{k} {long} id jane{k}@example.com") for k in range(12)]
+    rows += [(50, "user in unit 42 MRN12345 here"), (51, f"so {long} id QX-77412, and"), (52, "so w id QX-77413 and"), (53, "a lot 42 MRN12346")]
+    got = {r.doc_id: r.spans for r in personal.found_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(50, 54)] == ["found:16:24", "found:157:165", "", ""]
+    assert got[100] == f"email:{len(long) + 6}:{len(rows[12][1])}" and "found" not in got[0]
+
+
+def test_numbers_of_words(spark):
+    texts = [t for t in random_texts(300)[:300] if t.strip()]
+    rows = [(k, t, [(s, e) for _, s, e in plain(t)]) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "k int, text string, base array<struct<start:long,end:long>>")
+    got = frame.select("k", personal.word_numbers(personal.matches(F.col("text"), personal.WORD), F.col("base")).alias("n")).collect()
+    for r in got:
+        words = [m.start() for m in re.finditer(r"\S+", texts[r.k])]
+        assert r.n == [sum(w <= p for w in words) - 1 for s, e in rows[r.k][2] for p in (s, e - 1)], texts[r.k]
+
+
 def test_copies_do_not_make_a_pattern(spark):
     rows = [(k, "please reach me on +1 (988) 555-2000 soon") for k in range(50)] + [(99, "please reach me on QX-77412/9 soon")]
     got = personal.found_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("n_found > 0")
