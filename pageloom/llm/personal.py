@@ -25,8 +25,6 @@ KINDS = (*PATTERNS, "found")
 WORD = r"\S+"
 OPENING = r"^[\"'(\[{<]++"
 EDGE_SIGNS = OPENING + r"|(?:\G|(?<![\"')\]}>,;:.!?]))[\"')\]}>,;:.!?]++\z"
-LEAST_LENGTH = 5  # signs, and
-LEAST_DIGITS = 3  # digits of an identifier that a pattern may discover
 ROUNDS = 3
 LEAST_SEEDS = 5  # different seed entities that a pattern has to stand before
 LEAST_CONFIDENCE = 0.8
@@ -166,11 +164,10 @@ def _words(rows: DataFrame) -> DataFrame:
 
 
 def _instances(words: DataFrame) -> DataFrame:
-    """Words as instances: without the quotes, brackets and closing signs at their edges, in lower case."""
+    """Words as instances, whatever their signs: without the quotes, brackets and closing signs at their edges, in lower case."""
     inner = words.withColumn("inner", F.regexp_replace("raw", EDGE_SIGNS, ""))
-    long = (F.length("inner") >= LEAST_LENGTH) & (F.length(digits(F.col("inner"))) >= LEAST_DIGITS)
     start = F.col("start") + F.length(F.regexp_extract("raw", OPENING, 0))
-    return inner.where(long).select("row", "pattern", F.lower("inner").alias("instance"), start.alias("start"), (start + F.length("inner")).alias("end"))
+    return inner.where("inner != ''").select("row", "pattern", F.lower("inner").alias("instance"), start.alias("start"), (start + F.length("inner")).alias("end"))
 
 
 def telling_patterns(rows: DataFrame, rounds: int, least_seeds: int, least: float) -> DataFrame:

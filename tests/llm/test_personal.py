@@ -63,6 +63,26 @@ def test_patterns_find_identifiers_no_rule_knows(spark):
     assert sum(r.n_found for r in got.values()) == 1
 
 
+def test_entities_and_identifiers_without_digits(spark):
+    """Seeds and discoveries need no digit; a phrase that stands before ordinary words too is not confident."""
+    letters = "abcdefghijkl"
+    rows = [(k, f"please send mail to jane.{c}@example.com or sit down at bob.{c}@example.org then") for k, c in enumerate(letters)]
+    rows += [(50, "é go send mail to (Quinn_Smith), now"), (51, "mail to xy"), (52, "they met Quinn_Smith there")]
+    rows += [(100 + k, f"they sat down at {c * 4} again") for k, c in enumerate(letters)]
+    got = {r.doc_id: r.spans for r in personal.found_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "found:19:30" and rows[12][1][19:30] == "Quinn_Smith" and got[51] == "found:8:10"
+    assert {got[52], *(got[100 + k] for k in range(12))} == {""} and all("found" not in got[k] for k in range(12))
+
+
+def test_found_of_the_second_round(spark):
+    """An identifier found after one phrase makes another phrase confident, and that phrase finds the next."""
+    names = [f"user{c}" for c in "abcdefgh"]
+    rows = [(k, f"please send mail to jane.{c}@example.com now") for k, c in enumerate("abcdefghijklmnopqrstuvwxyzabcdefghijkl".upper())]
+    rows += [(100 + k, f"so send mail to {n} now") for k, n in enumerate(names[:6])] + [(200 + k, f"the account named {n} is") for k, n in enumerate(names)]
+    got = {r.doc_id: r.spans for r in personal.found_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), least=0.6).collect()}
+    assert all(got[100 + k] == "found:16:21" for k in range(6)) and all(got[200 + k] == "found:18:23" for k in range(8))
+
+
 def test_words_before_are_those_of_the_text(spark):
     """A number next before a seed or an identifier is a word like others, and long words stay whole."""
     long = "w" * 150
