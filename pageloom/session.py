@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="pageloom-ckpt-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -58,19 +58,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     page bodies, and a lost executor costs a re-read, not a recomputation. ``drop_tables`` removes what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = shared_folder(spark, name)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Removes the tables that this application wrote with ``materialize``, once their readers are done."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, for files that tasks write themselves; ``drop_tables`` removes what is there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the tables that this application wrote with ``materialize``, once their readers are done."""
+    _remove(spark, _WRITTEN.pop(spark.sparkContext.applicationId, []))
+
+
+def tables_so_far(spark: SparkSession) -> int:
+    """How many tables this application has written: a mark for ``settle``."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """Writes ``df`` as ``materialize`` does and removes every table written since ``mark``: only steps towards ``df`` may lie there."""
+    out = materialize(df, name)
+    written = _WRITTEN[df.sparkSession.sparkContext.applicationId]
+    steps = written[mark:-1]
+    del written[mark:-1]
+    _remove(df.sparkSession, steps)
+    return out
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint, for tables of a fixed size only (the rubric, the guidance table, word lists)."""
     return F.broadcast(df)
