@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table, and the pipeline."""
+"""The operators as registered queries, each over its whole table, and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, contamination, extraction, lattice, mixture, personal, secrets, separators, simhash, toxicity
+from pageloom.llm import chat, contamination, extraction, lattice, merkle, mixture, personal, secrets, separators, simhash, toxicity
 from pageloom.llm.columns import table
 from pageloom.llm.oracles import ORACLES
 
@@ -53,6 +53,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"))).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,5 +66,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_extraction, op3_decontamination, op4_mixture, op5_secrets, op6_lattice, op7_personal, op8_chat,
-                            op9_simhash, op10_token_counts, pipeline)}
+                            op9_simhash, op10_token_counts, op11_merkle, pipeline)}
 SQL: dict[str, str] = ORACLES
