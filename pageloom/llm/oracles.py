@@ -90,4 +90,17 @@ SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256,
 FROM placed p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang JOIN ends USING (d) LEFT JOIN proofs USING (d), whole
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": DECONTAMINATION, "op4_mixture": MIXTURE, "op8_chat": CHAT, "op11_merkle": MERKLE}
+NEGATIVES = r"""
+WITH good AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+near AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE alike),
+hard AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM near p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.alike AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score WHERE place <= 5)
+SELECT * FROM hard WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": DECONTAMINATION, "op4_mixture": MIXTURE, "op8_chat": CHAT, "op11_merkle": MERKLE,
+                           "op13_negatives": NEGATIVES}
