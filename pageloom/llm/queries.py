@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, contamination, extraction, lattice, merkle, mixture, multiindex, personal, secrets, separators, simhash, toxicity
+from pageloom.llm import chat, contamination, extraction, lattice, merkle, mixture, multiindex, packing, personal, secrets, separators, simhash, toxicity
 from pageloom.llm.columns import table
 from pageloom.llm.oracles import ORACLES
 
@@ -58,6 +58,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -70,5 +75,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_extraction, op3_decontamination, op4_mixture, op5_secrets, op6_lattice, op7_personal, op8_chat,
-                            op9_simhash, op10_token_counts, op11_merkle, op13_negatives, pipeline)}
+                            op9_simhash, op10_token_counts, op11_merkle, op12_packing, op13_negatives, pipeline)}
 SQL: dict[str, str] = ORACLES
