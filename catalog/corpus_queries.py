@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.check_sql import audit_query
-from catalog.registry import AS_OF, aux, facts, register
+from catalog.registry import AS_OF, aux, facts, register, vector_index
 from pageloom import workload
-from pageloom.operators import audit, corpus
+from pageloom.operators import audit, corpus, quotes, vectors
 from pageloom.session import materialize, salted_join
 from pageloom.workload import table
 
@@ -41,7 +41,31 @@ def fixed_chunks(spark, sf_dir):
     return corpus.fixed_chunks(_docs(spark, sf_dir)).select("report_id", "page_ord", "page_type", "chunk_no", F.md5("content").alias("digest"))
 
 
-@register("separator_chunks")
+def _separator_sql(size: int = corpus.CHUNK_CHARS, overlap: int = corpus.CHUNK_OVERLAP) -> str:
+    """Stretches are cut level by level; chunks are a chain of pointers into the running sums of a run of parts."""
+    parts = ["in0 AS (SELECT report_id, page_ord, '' AS path, content AS piece FROM docs)"]
+    for k, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "' '")):
+        parts.append(f"""cut{k} AS (SELECT report_id, page_ord, path, part, i, length(part) > {size} AS long FROM (SELECT report_id, page_ord, path, unnest(p) AS part, generate_subscripts(p, 1) AS i
+  FROM (SELECT *, list_filter(string_split(piece, {sep}), lambda x: x <> '') AS p FROM in{k} WHERE contains(piece, {sep}))))""")
+        parts.append(f"""sums{k} AS (SELECT *, sum(length(part) + length({sep})) OVER (PARTITION BY report_id, page_ord, path, g ORDER BY i) AS t FROM (
+  SELECT *, sum(CAST(long AS INT)) OVER (PARTITION BY report_id, page_ord, path ORDER BY i) AS g FROM cut{k}) WHERE NOT long)""")
+        parts.append(f"""runs{k} AS (SELECT report_id, page_ord, path || '/' || lpad(CAST(min(i) AS STRING), 9, '0') AS place, {sep} AS sep, list(part ORDER BY i) AS parts,
+  list_prepend(0, list(CAST(t AS BIGINT) ORDER BY i)) AS t FROM sums{k} GROUP BY report_id, page_ord, path, g)""")
+        parts.append(f"""in{k + 1} AS (SELECT report_id, page_ord, path, piece FROM in{k} WHERE NOT contains(piece, {sep}) UNION ALL
+  SELECT report_id, page_ord, path || '/' || lpad(CAST(i AS STRING), 9, '0'), part FROM cut{k} WHERE long)""")
+    parts.append("runs AS (SELECT *, length(sep) AS s FROM (SELECT * FROM runs0 UNION ALL SELECT * FROM runs1 UNION ALL SELECT * FROM runs2))")
+    step = f"len(list_filter(t, lambda x: x <= t[i + 1] + {size} + s)) - 1"
+    follow = f"len(list_filter(t, lambda x: x < greatest(t[e + 1] - s - {overlap}, t[e + 2] - s - {size})))"
+    parts.append(f"""chain AS (SELECT *, {step} AS e FROM (SELECT *, CAST(0 AS BIGINT) AS i, 0 AS seq FROM runs)
+  UNION ALL SELECT *, {step} FROM (SELECT report_id, page_ord, place, sep, parts, t, s, {follow} AS i, seq + 1 AS seq FROM chain WHERE e < len(parts)))""")
+    parts.append(f"""chunks AS (SELECT report_id, page_ord, place, seq, array_to_string(parts[i + 1 : e], sep) AS chunk FROM chain UNION ALL
+  SELECT report_id, page_ord, path || '/', CAST(i AS INT), substring(piece, CAST(i * {size - overlap} + 1 AS INT), {size}) FROM (
+    SELECT *, unnest(range(CAST(greatest(ceil((length(piece) - {overlap}) / {size - overlap}), 1) AS BIGINT))) AS i FROM in3))""")
+    return (f"WITH RECURSIVE {_DOCS}, {', '.join(parts)} SELECT report_id, page_ord, CAST(row_number() OVER (PARTITION BY report_id, page_ord ORDER BY place, seq) - 1 AS INT) AS chunk_no, "
+            "content FROM (SELECT *, trim(chunk, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM chunks) WHERE content <> ''")
+
+
+@register("separator_chunks", _separator_sql())
 def separator_chunks(spark, sf_dir):
     return corpus.separator_chunks(_docs(spark, sf_dir)).select("report_id", "page_ord", "chunk_no", "content")
 
@@ -70,14 +94,14 @@ def _query_vector(spark, sf_dir) -> list[float]:
 @register("vector_search", f"WITH {_VEC} SELECT id, report_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)), 8) AS similarity FROM "
           "vecs ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)) DESC, id LIMIT 500")
 def vector_search(spark, sf_dir):
-    out = corpus.match_documents(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), k=500)
+    out, _ = vectors.search(vector_index(spark, sf_dir), _query_vector(spark, sf_dir), k=500)
     return out.withColumn("similarity", F.round("similarity", 8))
 
 
 @register("vector_search_filtered", f"WITH {_VEC} SELECT id, report_id, round(list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)), 8) AS "
           "similarity FROM vecs WHERE report_id = 'label-3' ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM vecs ORDER BY id LIMIT 1)) DESC, id LIMIT 10")
 def vector_search_filtered(spark, sf_dir):
-    out = corpus.match_documents(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), k=10, where={"report_id": "label-3"})
+    out, _ = vectors.search(vector_index(spark, sf_dir), _query_vector(spark, sf_dir), k=10, where={"report_id": "label-3"})
     return out.withColumn("similarity", F.round("similarity", 8))
 
 
@@ -85,9 +109,8 @@ def vector_search_filtered(spark, sf_dir):
           "round(s, 8) AS similarity, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS pos FROM (SELECT query_id, v.report_id, id, "
           "list_cosine_similarity(embedding, query) AS s FROM vecs v JOIN qs USING (report_id))) WHERE pos <= 10")
 def vector_search_batch(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    queries = vectors.groupBy("report_id").agg(F.min("id").alias("query_id"), F.min_by("embedding", "id").alias("query"))
-    return corpus.match_batch(vectors, queries, k=10).withColumn("similarity", F.round("similarity", 8))
+    queries = _vectors(spark, sf_dir).groupBy("report_id").agg(F.min("id").alias("query_id"), F.min_by("embedding", "id").alias("query"))
+    return vectors.search_batch(vector_index(spark, sf_dir), queries, k=10).withColumn("similarity", F.round("similarity", 8))
 
 
 @register("metadata_containment", "SELECT event_id, json_extract(props, '$.k') = '7' AND event_type = 'view' AS contained FROM events")
@@ -112,10 +135,10 @@ _VERIFIED = _VERIFIED.replace("FROM verdicts JOIN", "FROM (SELECT *, trim(regexp
 
 
 def _verified(spark, sf_dir):
-    pages = materialize(workload.crawl(spark, sf_dir).select("report_id", "page_ord", "markdown"), "markdown")
-    t = corpus.normal_quote(F.col("markdown"))
-    ends = pages.select("report_id", "page_ord", t.alias("t")).filter("t <> ''").select(
-        "report_id", F.struct("page_ord", F.left("t", F.lit(60)).alias("t"), F.right("t", F.lit(12)).alias("tail")).alias("page"))
+    # The given files are one row group each; dealt out first, texts are normalised by all tasks, once.
+    pages = workload.crawl(spark, sf_dir).select("report_id", "page_ord", "markdown").filter("markdown <> ''").repartition("report_id", "page_ord")
+    texts = materialize(quotes.page_texts(pages), "page-texts")
+    ends = texts.select("report_id", F.struct("page_ord", F.left("text", F.lit(60)).alias("t"), F.right("text", F.lit(12)).alias("tail")).alias("page"))
     first = ends.groupBy("report_id").agg(F.min("page").alias("first"))
     second = salted_join(ends, first, ["report_id"], "inner", "page").filter("page.page_ord > first.page_ord").groupBy("report_id").agg(
         F.min("page").alias("second"))
@@ -125,7 +148,7 @@ def _verified(spark, sf_dir):
             ("G4", 1.0, F.upper(F.substring("t", 3, 40))), ("G6", 0.5, F.lit("words that no page holds")), ("G8", 0.0, F.lit("")),
             ("G19", 1.7, F.concat("tail", F.lit("  "), F.left("nxt", F.lit(12)))),
             ("S1", 1.0, F.substring("t", 3, 40)))])).alias("v")).select("report_id", "v.*")
-    return corpus.verified_verdicts(verdicts, pages)
+    return quotes.verified_in(verdicts, texts)
 
 
 @register("verified_verdicts", f"WITH {_CRAWL}, {_VERDICTS}, {_VERIFIED} SELECT report_id, check_id, verdict FROM verified")

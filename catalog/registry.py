@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import workload
-from pageloom.operators import audit, scoring
+from pageloom.operators import audit, scoring, vectors
 from pageloom.operators.facts import page_facts
 from pageloom.session import drop_tables, materialize
 
@@ -30,32 +31,39 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_TABLES: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, Any] = {}
+CRAWL = ("pages", "documents")
 
 
-def _version(spark: SparkSession, sf_dir: str) -> int:
-    """Changes when a file of the crawl's tables changes: one number from their paths, sizes and times."""
+def _version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> int:
+    """Changes when a file of the tables changes: one number from their paths, sizes and times."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        [f"{sf_dir}/{t}.parquet" for t in ("pages", "documents")]).select("path", "length", "modificationTime")
+        [f"{sf_dir}/{t}.parquet" for t in tables]).select("path", "length", "modificationTime")
     return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries read, written once per application and state of its input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir))
+def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], Any]) -> Any:
+    """What several queries read, written once per application and state of its input tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir, tables))
     if key not in _TABLES:
-        _TABLES[key] = materialize(build(), name)
+        _TABLES[key] = build()
     return _TABLES[key]
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts table of a folder: every audit query after the first reads it."""
-    return _once(spark, sf_dir, "page-facts", lambda: page_facts(workload.crawl(spark, sf_dir)))
+    return _once(spark, sf_dir, "page-facts", CRAWL, lambda: materialize(page_facts(workload.crawl(spark, sf_dir)), "page-facts"))
 
 
 def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-site inputs, an ordinary input table of the audit; derived from the crawl here, so written once as well."""
-    return _once(spark, sf_dir, "site-aux", lambda: workload.site_aux(spark, sf_dir))
+    return _once(spark, sf_dir, "site-aux", CRAWL, lambda: materialize(workload.site_aux(spark, sf_dir), "site-aux"))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The index of a folder's embeddings: searches after the first read it."""
+    corpus = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS id", "'label-' || CAST(label AS STRING) AS report_id", "embedding")
+    return _once(spark, sf_dir, "vector-index", ("embeddings",), lambda: vectors.build_index(corpus))
 
 
 def forget_facts(spark: SparkSession) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # White space in ECMAScript beyond ASCII; the two line separators end lines there, as \\r does here.
 _BLANKS = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\ufeff"
 _LINES = "\u2028\u2029"
-_ALL_SPACE = "\t\n\x0b\x0c\r " + _BLANKS + _LINES
+ALL_SPACE = "\t\n\x0b\x0c\r " + _BLANKS + _LINES
 
 
 def plain_space(c: Column) -> Column:
@@ -46,7 +46,7 @@ def replaced(c: Column, pattern: str, by: str) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(_ALL_SPACE))
+    return F.btrim(c, F.lit(ALL_SPACE))
 
 
 def collapsed(c: Column) -> Column:

@@ -1,24 +1,19 @@
-"""The searchable corpus: documents, chunks, vector search, conversations, quote checks."""
+"""The searchable corpus: documents, chunks, metadata, conversations."""
 
 from __future__ import annotations
 
-import math
-from typing import Any
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import collapsed, plain_space, trimmed, without_tags
+from pageloom.functions.text import ALL_SPACE, plain_space, trimmed, without_tags
 from pageloom.functions.urls import page_kind
-from pageloom.operators.folds import ordered_fold
-from pageloom.plans.rubric import SEMANTIC_CHECKS
 from pageloom.session import materialize, salted_join
 
 BLOCK = 1_000
 CHUNK_CHARS = 1_200
 CHUNK_OVERLAP = 120
-MIN_QUOTE = 8
 
 
 # --- documents and chunks -----------------------------------------------------------------------------------------
@@ -85,37 +80,70 @@ def fixed_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_
     return docs.select(*[c for c in docs.columns if c != "content"], F.posexplode(cut).alias("chunk_no", "content"))
 
 
-def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator that works, merged with an overlap."""
-    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    sep, finer = separators[at], separators[at + 1:]
-    parts = [p for p in (list(text) if sep == "" else text.split(sep)) if p]
-    chunks: list[str] = []
-    window: list[str] = []
-    held = 0  # characters in the window, joints included
-
-    def close() -> None:
-        joined = sep.join(window).strip()
-        if joined:
-            chunks.append(joined)
-
-    for part in parts:
-        if len(part) > size and finer:
-            if window:
-                close()
-                window, held = [], 0
-            chunks.extend(split_recursively(part, size, overlap, finer))
-            continue
-        joint = len(sep) if window else 0
-        if window and held + joint + len(part) > size:
-            close()
-            while window and (held > overlap or held + len(sep) + len(part) > size):
-                held -= len(window.pop(0)) + (len(sep) if window else 0)
-        held += len(part) + (len(sep) if window else 0)
-        window.append(part)
-    if window:
-        close()
-    return chunks
+def _packed(begins: np.ndarray, ends: np.ndarray, joint: int, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last part of each chunk of a run of parts, none longer than ``size``, that ``joint`` characters join.
+
+    A chunk takes parts as long as they fit. The next one begins with the first part from which on what it repeats is no
+    longer than ``overlap`` and the part that did not fit does; both are searches in running sums, for all parts at once.
+    The chunks are the chain of these pointers from the first part, followed by doubling.
+    """
+    n = len(begins)
+    sums = np.concatenate(([0], np.cumsum(ends - begins + joint)))
+    after = np.searchsorted(sums, sums[:-1] + size + joint, "right") - 1
+    more = np.minimum(after + 1, n)
+    least = np.maximum(sums[after] - joint - overlap, sums[more] - joint - size)
+    following = np.append(np.where(after == n, n, np.minimum(np.searchsorted(sums, least), after)), n)
+    first = np.zeros(1, np.int64)
+    while first[-1] < n:
+        first = np.concatenate((first, following[first]))
+        following = following[following]
+    first = first[: int(np.searchsorted(first, n))]
+    return first, after[first] - 1
+
+
+def _joined(text: str, begins: np.ndarray, ends: np.ndarray, separator: str) -> str:
+    """Parts joined by one separator; a stretch of the text as it is, where nothing else stands between them."""
+    if ends[-1] - begins[0] == (ends - begins).sum() + len(separator) * (len(begins) - 1):
+        return text[begins[0] : ends[-1]]
+    return separator.join([text[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)])
+
+
+def chunked(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """Chunks of at most ``size`` characters, cut at paragraphs, else lines, else blanks, else anywhere.
+
+    A stretch is cut at the coarsest separator it has. Parts that are still too long are stretches for the finer separators;
+    neighbours between them are packed into chunks, which repeat at most ``overlap`` characters of the one before.
+    White space at the ends of chunks goes, and empty ones with it.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lines = np.flatnonzero(codes == 10)
+    in_run = np.arange(len(lines)) - np.maximum.accumulate(np.where(np.diff(lines, prepend=-2) > 1, np.arange(len(lines)), 0))
+    doubled = np.append(np.diff(lines) == 1, False) & (in_run % 2 == 0)  # newlines in twos from the begin of each run of them
+    chunks: list[tuple[int, int, str]] = []
+    stretches = [(0, len(codes))]
+    for separator, cuts in (("\n\n", lines[doubled]), ("\n", lines), (" ", np.flatnonzero(codes == 32))):
+        longer = []
+        for begin, end in stretches:
+            own = cuts[np.searchsorted(cuts, begin) : np.searchsorted(cuts, end)]
+            if not len(own):
+                longer.append((begin, end))
+                continue
+            begins, ends = np.append(begin, own + len(separator)), np.append(own, end)
+            begins, ends = begins[ends > begins], ends[ends > begins]
+            long = ends - begins > size
+            longer += zip(begins[long].tolist(), ends[long].tolist(), strict=True)
+            for run in np.split(np.arange(len(begins)), np.flatnonzero(long)):
+                run = run[~long[run]]
+                if len(run):
+                    b, e = begins[run], ends[run]
+                    for k, (i, j) in enumerate(zip(*_packed(b, e, len(separator), size, overlap), strict=True)):
+                        chunks.append((int(b[0]), k, _joined(text, b[i : j + 1], e[i : j + 1], separator)))
+        stretches = longer
+    for begin, end in stretches:
+        for k, start in enumerate(range(begin, max(end - overlap, begin + 1), size - overlap)):
+            chunks.append((begin, k, text[start : min(start + size, end)]))
+    stripped = [chunk.strip(ALL_SPACE) for _, _, chunk in sorted(chunks, key=lambda c: c[:2])]
+    return [c for c in stripped if c]
 
 
 def separator_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -123,7 +151,7 @@ def separator_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = CH
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap))
+        return texts.map(lambda t: chunked(t, size, overlap))
 
     return docs.select(
         *[c for c in docs.columns if c != "content"], F.posexplode(cut("content")).alias("chunk_no", "content"))
@@ -137,15 +165,7 @@ def corpus_sizes(reports: DataFrame, chunks: DataFrame) -> DataFrame:
         F.coalesce(F.col("chunks") > 0, F.lit(False)).alias("searchable"))
 
 
-# --- vector search ------------------------------------------------------------------------------------------------
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(_dot(a, a))
+# --- metadata -----------------------------------------------------------------------------------------------------
 
 
 def contains_filter(metadata: Column, wanted: Column) -> Column:
@@ -153,37 +173,6 @@ def contains_filter(metadata: Column, wanted: Column) -> Column:
     return F.forall(F.map_entries(wanted), lambda e: F.try_element_at(metadata, e["key"]).eqNullSafe(e["value"]))
 
 
-def match_documents(corpus: DataFrame, query: list[float], k: int, where: dict[str, Any] | None = None) -> DataFrame:
-    """The ``k`` most similar rows for one query vector, filtered on promoted metadata columns.
-
-    The filter reaches the scan and the ordering is a per-task top-k followed by a merge of k rows per task. The query's
-    norm is worked out here, once; a row of zeros has no similarity.
-    """
-    rows = corpus
-    for column, value in (where or {}).items():
-        rows = rows.filter(F.col(column) == F.lit(value))
-    length = math.sqrt(sum(float(v) ** 2 for v in query))
-    vector = F.array(*[F.lit(float(v)) for v in query])
-    both = norm(F.col("embedding")) * F.lit(length)
-    scored = rows.withColumn("both", both).withColumn("similarity", F.when(F.col("both") > 0, _dot(F.col("embedding"), vector) / F.col("both")))
-    return scored.orderBy(F.col("similarity").desc_nulls_last(), "id").limit(k).drop("embedding", "both")
-
-
-def match_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same for many queries, each within its own report: an equi-join on ``report_id``, salted by document.
-
-    ``corpus``: ``id, report_id, embedding``; ``queries``: ``query_id, report_id, query``. Norms are worked out once per
-    vector, before the join; the rank filter keeps k rows per query and task before anything is shuffled.
-    """
-    left = corpus.withColumn("length", norm(F.col("embedding")))
-    right = queries.withColumn("query_length", norm(F.col("query")))
-    pairs = salted_join(left, right, ["report_id"], "inner", "id").withColumn("both", F.col("length") * F.col("query_length"))
-    similarity = F.when(F.col("both") > 0, _dot(F.col("embedding"), F.col("query")) / F.col("both"))
-    scored = pairs.select("query_id", "report_id", "id", similarity.alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id")
-    return scored.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
-
-
 # --- conversations ------------------------------------------------------------------------------------------------
 
 
@@ -197,86 +186,3 @@ def recent_window(messages: DataFrame, size: int) -> DataFrame:
     """The last ``size`` messages of each conversation."""
     order = Window.partitionBy("report_id").orderBy(F.desc("message_id"))
     return messages.withColumn("age", F.row_number().over(order)).filter(F.col("age") <= size)
-
-
-# --- quotes -------------------------------------------------------------------------------------------------------
-
-
-def normal_quote(c: Column) -> Column:
-    return collapsed(plain_space(F.lower(F.coalesce(c, F.lit("")))))
-
-
-class _Boundary:
-    """Text around page boundaries: the tail of everything before a page, up to ``reach`` characters, and its head."""
-
-    def __init__(self, reach: int) -> None:
-        self.reach = reach
-
-    def start(self, key: Any) -> str:
-        return ""
-
-    def _join(self, before: str, text: str) -> str:
-        return (before + " " + text if before else text)
-
-    def summarize(self, rows: pd.DataFrame) -> tuple[str, bool]:
-        # Only the last `reach` characters matter; `full` says that older text cannot reach past this run.
-        tail, full = "", False
-        for head, end, whole in zip(rows["head"], rows["tail"], rows["whole"]):
-            tail = self._join(tail, head) if whole else end
-            full = full or not whole or len(tail) > self.reach
-            tail = tail[-self.reach:]
-        return tail, full
-
-    def merge(self, first: tuple[str, bool], second: tuple[str, bool]) -> tuple[str, bool]:
-        if second[1]:
-            return second
-        joined = self._join(first[0], second[0])
-        return joined[-self.reach:], first[1] or len(joined) > self.reach
-
-    def advance(self, state: str, summary: tuple[str, bool]) -> str:
-        tail, full = summary
-        return (tail if full else self._join(state, tail))[-self.reach:]
-
-    def emit(self, state: str, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-        seams = []
-        for head, end, whole in zip(rows["head"], rows["tail"], rows["whole"]):
-            seams.append(self._join(state, head))
-            state = (self._join(state, head) if whole else end)[-self.reach:]
-        out = rows[["report_id"]].copy()
-        out["seam"] = seams
-        return state, out
-
-
-def verified_verdicts(verdicts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Verdicts ``(report_id, check_id, verdict, quote)`` that hold: known check, finite value, and for positive ones a
-    quote of 8 normalised characters or more that occurs in the report's text.
-
-    The text of a report is all its pages joined by blanks. It is never assembled: a quote is looked for inside each
-    page, and, because it may run over page ends, in the seams between pages, which are as long as the longest quote.
-    """
-    value = F.least(F.greatest(F.col("verdict"), F.lit(0.0)), F.lit(1.0))
-    finite = F.col("verdict").isNotNull() & ~F.isnan("verdict") & (F.abs("verdict") != float("inf"))
-    known = verdicts.filter(F.col("check_id").isin(*SEMANTIC_CHECKS) & finite).select(
-        "report_id", "check_id", value.alias("verdict"), normal_quote(F.col("quote")).alias("quote"))
-    free = known.filter(F.col("verdict") <= 0).select("report_id", "check_id", "verdict")
-    claims = known.filter((F.col("verdict") > 0) & (F.length("quote") >= MIN_QUOTE))
-    texts = (
-        pages.filter(trimmed(F.col("markdown")) != "").select("report_id", "page_ord", F.lower("markdown").alias("text"))
-        .withColumn("text", plain_space(F.col("text"))).withColumn("text", collapsed(F.col("text")))
-    )
-
-    hit = F.contains(F.col("text"), F.col("quote"))
-    inside = salted_join(texts, claims, ["report_id"], "inner", "page_ord").filter(hit).select(
-        "report_id", "check_id", "verdict").distinct()
-    # One number: the longest quote still to be found. Quotes are short by nature; pages are cut to it on both ends.
-    rest = claims.join(inside.select("report_id", "check_id"), ["report_id", "check_id"], "left_anti")
-    reach = (rest.agg(F.max(F.length("quote"))).first()[0] or 1) - 1
-    if reach <= 0:
-        return free.unionByName(inside)
-    ends = salted_join(texts, rest.select("report_id").distinct(), ["report_id"], "left_semi", "page_ord").select(
-        "report_id", "page_ord", F.substring("text", 1, reach).alias("head"), F.right("text", F.lit(reach)).alias("tail"),
-        (F.length("text") <= reach).alias("whole"))
-    seams = ordered_fold(ends, "report_id", ["page_ord"], _Boundary(reach), "report_id string, seam string")
-    across = salted_join(seams, rest, ["report_id"], "inner", "seam").filter(F.contains("seam", F.col("quote"))).select(
-        "report_id", "check_id", "verdict").distinct()
-    return free.unionByName(inside).unionByName(across)

@@ -51,15 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Several consumers then read a narrow columnar table (with column pruning) instead of repeating the scan of the
-    page bodies, and a lost executor costs a re-read, not a recomputation. ``drop_tables`` removes what was written.
+    page bodies, and a lost executor costs a re-read, not a recomputation. ``drop_tables`` removes what was written. With ``by``, the last
+    column, the table has a folder per value, and a filter on it reads no others.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.mode("error").parquet(path)
+    (df.write.partitionBy(by) if by else df.write).mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

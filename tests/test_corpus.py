@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import corpus
+from pageloom.operators import corpus, quotes
 
 PAGE_COLS = "report_id string, page_ord bigint, source_url string, title string, markdown string, html string"
 
@@ -48,13 +48,13 @@ def test_fixed_chunks_cover_the_text(spark, n):
     assert all(len(c) <= 1200 for c in chunks)
 
 
-def test_recursive_split_properties():
+def test_separator_split_properties():
     rnd = random.Random(1)
     for _ in range(200):
         number = iter(range(100_000))  # no piece of the text occurs twice
         word = lambda k: "".join("A" + "".join(chr(97 + int(c)) for c in f"{next(number):04d}") for _ in range(k))
         text = "".join(rnd.choice([word(1), word(2), " ", " ", "\n", "\n\n", word(8), word(30)]) for _ in range(rnd.randrange(1, 100)))
-        chunks = corpus.split_recursively(text, 60, 10)
+        chunks = corpus.chunked(text, 60, 10)
         assert all(0 < len(c) <= 60 for c in chunks)
         squeeze = lambda s: "".join(s.split())
         rest = squeeze(text)
@@ -66,30 +66,10 @@ def test_recursive_split_properties():
         assert at == len(rest)
 
 
-def test_recursive_split_prefers_paragraphs():
+def test_separator_split_prefers_paragraphs():
     text = "\n\n".join(["one two three", "four five six", "seven"])
-    assert corpus.split_recursively(text, 18, 0) == ["one two three", "four five six", "seven"]
-    assert corpus.split_recursively("aaa bbb ccc ddd", 7, 3) == ["aaa bbb", "bbb ccc", "ccc ddd"]
-
-
-def test_vector_search(spark):
-    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 1.0]), (3, "b", [0.0, 2.0]), (4, "a", [0.0, 0.0]), (5, "a", [-1.0, 0.0])]
-    df = spark.createDataFrame(rows, "id long, report_id string, embedding array<float>")
-    out = corpus.match_documents(df, [2.0, 0.0], k=10, where={"report_id": "a"}).collect()
-    assert [r.id for r in out] == [1, 2, 5, 4]
-    assert out[0].similarity == pytest.approx(1.0) and out[3].similarity is None
-    assert len(corpus.match_documents(df, [1.0, 0.0], k=2).collect()) == 2
-
-
-def test_batch_search_equals_single_searches(spark):
-    rnd = random.Random(2)
-    rows = [(i, f"r{i % 3}", [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
-    df = spark.createDataFrame(rows, "id long, report_id string, embedding array<double>")
-    queries = [(q, f"r{q % 3}", [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(6)]
-    batch = corpus.match_batch(df, spark.createDataFrame(queries, "query_id long, report_id string, query array<double>"), k=5).collect()
-    for q, report, vec in queries:
-        single = [r.id for r in corpus.match_documents(df, vec, k=5, where={"report_id": report}).collect()]
-        assert [r.id for r in sorted((b for b in batch if b.query_id == q), key=lambda b: b.pos)] == single
+    assert corpus.chunked(text, 18, 0) == ["one two three", "four five six", "seven"]
+    assert corpus.chunked("aaa bbb ccc ddd", 7, 3) == ["aaa bbb", "bbb ccc", "ccc ddd"]
 
 
 def test_metadata_containment(spark):
@@ -116,7 +96,7 @@ def test_quotes_against_the_whole_text(spark):
                 want.add((f"r{r}", check))
     df = spark.createDataFrame(pages, "report_id string, page_ord long, markdown string").repartition(7)
     vs = spark.createDataFrame(verdicts, "report_id string, check_id string, verdict double, quote string")
-    got = {(r.report_id, r.check_id) for r in corpus.verified_verdicts(vs, df).collect()}
+    got = {(r.report_id, r.check_id) for r in quotes.verified_verdicts(vs, df).collect()}
     assert got == want and len(want) > 5
 
 
@@ -124,4 +104,38 @@ def test_verdict_rules(spark):
     pages = spark.createDataFrame([("r", 0, "Some words on a page")], "report_id string, page_ord long, markdown string")
     vs = spark.createDataFrame([("r", "G4", 2.0, "words  ON a"), ("r", "G6", 0.0, ""), ("r", "G8", float("nan"), "words on a"), ("r", "G19", 1.0, "short"),
                                 ("r", "S1", 1.0, "words on a")], "report_id string, check_id string, verdict double, quote string")
-    assert {(r.check_id, r.verdict) for r in corpus.verified_verdicts(vs, pages).collect()} == {("G4", 1.0), ("G6", 0.0)}
+    assert {(r.check_id, r.verdict) for r in quotes.verified_verdicts(vs, pages).collect()} == {("G4", 1.0), ("G6", 0.0)}
+
+
+def test_index_finds_what_a_search_finds():
+    """Phrases that share heads, overlap, repeat and run over strips, against substring search."""
+    rnd = random.Random(8)
+    for strip in (16, 50, quotes.STRIP):
+        for _ in range(150):
+            text = "".join(rnd.choices("abé \U0001f600", weights=[8, 2, 1, 2, 1], k=rnd.randrange(0, 200)))
+            phrases = []
+            for _ in range(rnd.randrange(1, 12)):
+                at = rnd.randrange(0, max(1, len(text) - 8))
+                cut = text[at : at + rnd.randrange(8, 60)]
+                phrases.append(cut if len(cut) >= 8 and rnd.random() < 0.7 else (cut + "abbaabba")[: rnd.randrange(8, 30)] + "a" * 8)
+            before, quotes.STRIP = quotes.STRIP, strip
+            try:
+                assert quotes.PhraseIndex(phrases).find(text) == {k for k, p in enumerate(phrases) if p in text}
+            finally:
+                quotes.STRIP = before
+
+
+def test_quotes_of_one_large_report(spark):
+    """A report with most pages and thousands of quotes, in several tiles, next to reports without pages or quotes."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "délta"]) + str(rnd.randrange(50)) for _ in range(rnd.randrange(0, 40))) for _ in range(400)]
+    joined = " ".join(t for t in texts if t)
+    wanted = [(f"G{rnd.choice([4, 6, 8, 19])}", 1.0 - k / 10_000, joined[k * 7 : k * 7 + 30] + ("" if k % 3 else "!")) for k in range(3000)]
+    pages = spark.createDataFrame([("big", i, t) for i, t in enumerate(texts)] + [("quiet", 0, "nothing asked here")], "report_id string, page_ord long, markdown string")
+    vs = spark.createDataFrame([("big", *w) for w in wanted] + [("gone", "G4", 1.0, "nothing asked here")], "report_id string, check_id string, verdict double, quote string")
+    before, quotes.PHRASES_AT_ONCE = quotes.PHRASES_AT_ONCE, 500
+    try:
+        got = {(r.report_id, r.check_id, r.verdict) for r in quotes.verified_verdicts(vs, pages.repartition(5)).collect()}
+    finally:
+        quotes.PHRASES_AT_ONCE = before
+    assert got == {("big", c, v) for c, v, q in wanted if len(q.strip()) >= 8 and " ".join(q.split()) in joined} and len(got) > 1500
