@@ -58,7 +58,8 @@ def _separator_sql(size: int = corpus.CHUNK_CHARS, overlap: int = corpus.CHUNK_O
     follow = f"len(list_filter(t, lambda x: x < greatest(t[e + 1] - s - {overlap}, t[e + 2] - s - {size})))"
     parts.append(f"""chain AS (SELECT *, {step} AS e FROM (SELECT *, CAST(0 AS BIGINT) AS i, 0 AS seq FROM runs)
   UNION ALL SELECT *, {step} FROM (SELECT report_id, page_ord, place, sep, parts, t, s, {follow} AS i, seq + 1 AS seq FROM chain WHERE e < len(parts)))""")
-    parts.append(f"""chunks AS (SELECT report_id, page_ord, place, seq, array_to_string(parts[i + 1 : e], sep) AS chunk FROM chain UNION ALL
+    parts.append(f"""chunks AS (SELECT report_id, page_ord, place, seq, CASE length(sep) + ascii(sep) WHEN 33 THEN array_to_string(parts[i + 1 : e], ' ')
+  WHEN 11 THEN array_to_string(parts[i + 1 : e], chr(10)) ELSE array_to_string(parts[i + 1 : e], chr(10) || chr(10)) END AS chunk FROM chain UNION ALL
   SELECT report_id, page_ord, path || '/', CAST(i AS INT), substring(piece, CAST(i * {size - overlap} + 1 AS INT), {size}) FROM (
     SELECT *, unnest(range(CAST(greatest(ceil((length(piece) - {overlap}) / {size - overlap}), 1) AS BIGINT))) AS i FROM in3))""")
     return (f"WITH RECURSIVE {_DOCS}, {', '.join(parts)} SELECT report_id, page_ord, CAST(row_number() OVER (PARTITION BY report_id, page_ord ORDER BY place, seq) - 1 AS INT) AS chunk_no, "
