@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: whole copies first, then a Pareto order sample of fixed size in words."""
+"""Mixing sources to target weights: whole copies that are certain, then a Pareto order sample with unequal probabilities, of fixed size in words."""
 
 from __future__ import annotations
 
@@ -83,18 +83,58 @@ def pareto_cuts(rows: DataFrame) -> DataFrame:
     return last.groupBy("source").agg(F.first("edge_bin").alias("edge_bin"), F.max("cut").alias("cut"))
 
 
-def with_targets(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """Adds each row's source_size, target, whole copies that are certain, words its source still lacks, and its rank."""
-    known = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    certain = known.withColumn("certain", F.floor(rate).cast("long")).withColumn("share", rate - F.col("certain"))
-    rank = F.when((F.col("size") > 0) & (F.col("share") > 0), odds_rank(uniform(F.lit(seed), F.col("key")), F.col("share")))
-    return certain.withColumn("rank", rank).withColumn("lacks", F.col("target") - F.col("certain") * F.col("source_size"))
+def expected_copies(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
+    """``(source, amount, source_size, target, certain, share, lacks)``: how often documents of each amount are to be taken.
 
-
-def copies_of(rows: DataFrame, targets: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
+    Wants (source, size, amount). Expected copies are in proportion to a document's amount, up to ``most``, so that a source's
+    expected words are its target: the level is the one at which the largest amount that is not capped stays below the cap,
+    by running sums over a source's few amounts. The whole part of the expected copies is certain, the rest is the inclusion
+    probability, and ``lacks`` are the words that the source still wants.
+    """
+    groups = rows.groupBy("source", "amount").agg(F.sum("size").alias("words"))
+    targets = source_targets(rows, weights, most).withColumnRenamed("source", "of")
+    known = groups.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").where("amount > 0")
+    falling = Window.partitionBy("source").orderBy(F.desc("amount"))
+    before = falling.rowsBetween(Window.unboundedPreceding, -1)
+    rest = falling.rowsBetween(0, Window.unboundedFollowing)
+    capped = F.coalesce(F.sum("words").over(before), F.lit(0))
+    level = (F.col("target") - F.lit(float(most)) * capped) / F.sum(F.col("amount") * F.col("words")).over(rest)
+    leveled = known.withColumn("level", level)
+    fits = F.col("level") * F.col("amount") <= F.lit(float(most))
+    chosen = leveled.withColumn("reached", F.max(F.when(fits, F.struct("amount", "level"))).over(Window.partitionBy("source"))["level"])
+    copies = chosen.withColumn("copies", F.coalesce(F.least(F.lit(float(most)), F.col("reached") * F.col("amount")), F.lit(float(most))))
+    parts = copies.withColumn("certain", F.floor("copies").cast("long")).withColumn("share", F.col("copies") - F.col("certain"))
+    sure = F.sum(F.col("certain") * F.col("words")).over(Window.partitionBy("source"))
+    return parts.select("source", "amount", "source_size", "target", "certain", "share", (F.col("target") - sure).alias("lacks"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """``(row, copy)`` of the rows that are alike in key and text: which of the alike ones a row is, from 1.
+
+    Rows are numbered in the part of the table in which they lie, and parts by running sums, so any number may be alike.
+    """
+    alike = rows.groupBy("key", "digest").count().where("count > 1").select(F.col("key").alias("k"), F.col("digest").alias("d"))
+    some = rows.join(alike, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left_semi").select(
+        "row", "key", "digest", F.shiftright("row", 33).alias("part"))
+    here = some.withColumn("nth", F.row_number().over(Window.partitionBy("key", "digest", "part").orderBy("row")))
+    parts = some.groupBy("key", "digest", "part").count()
+    before = F.sum("count").over(Window.partitionBy("key", "digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select(F.col("key").alias("k"), "digest", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = here.join(offsets, ["digest", "part"]).where(F.col("key").eqNullSafe(F.col("k")))
+    return materialize(numbered.select("row", (F.col("before") + F.col("nth")).alias("copy")), "repeated")
+
+
+def with_targets(rows: DataFrame, expected: DataFrame, seed: str) -> DataFrame:
+    """Adds each row's source_size, target, certain copies, words its source still lacks, and its rank (null where none is drawn)."""
+    plan = expected.withColumnRenamed("source", "of").withColumnRenamed("amount", "a")
+    known = rows.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("amount") == F.col("a"))).drop("of", "a")
+    u = uniform(F.lit(seed), F.col("key"), F.col("digest"), F.col("copy"))
+    return known.withColumn("rank", F.when(F.col("share") > 0, odds_rank(u, F.col("share"))))
+
+
+def copies_of(rows: DataFrame, expected: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
     """Adds ``copies`` and ``taken``; a row's own rank against its source's cut decides, so rows are not shuffled."""
-    ranked = with_targets(rows, targets, seed).join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+    ranked = with_targets(rows, expected, seed).join(cuts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
     place = _bin(F.col("rank"))
     inside = F.col("edge_bin").isNull() | (place < F.col("edge_bin")) | (
         (place == F.col("edge_bin")) & (F.struct("rank", "key", "size") <= F.col("cut")))
@@ -103,35 +143,51 @@ def copies_of(rows: DataFrame, targets: DataFrame, cuts: DataFrame, seed: str) -
     return ranked.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def plan(rows: DataFrame, weights: Sequence[float], most: float, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Targets and cuts of (key, source, size) rows: written tables of a row per source, so that Spark knows their size."""
-    targets = materialize(source_targets(rows, weights, most), "targets")
-    return targets, materialize(pareto_cuts(with_targets(rows, targets, seed)), "cuts")
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(row, key, source, size, amount, digest, copy)`` of every document, and ``more`` columns, written once.
 
+    A document's amount is the number of bits of its size: 0 without words, and one more whenever the size doubles.
+    """
+    size = word_count(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("source").cast("string").alias("source"), size.alias("size"),
+                       F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), *more)
+    amount = F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(F.lit(0))
+    table = materialize(rows.withColumn("amount", amount).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    copies = repeated(table.select("row", "key", "digest"))
+    return table.join(copies, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(1).cast("long")))
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``(key, source, size)`` of every document, written once."""
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("source").cast("string").alias("source"),
-                                   word_count(F.col("text")).alias("size")), "sizes")
+
+def plan(rows: DataFrame, weights: Sequence[float], most: float, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets, expected copies and cuts: written tables of a few rows per source, so that Spark knows their size."""
+    targets = materialize(source_targets(rows, weights, most), "targets")
+    expected = materialize(expected_copies(rows, weights, most), "expected")
+    return targets, expected, materialize(pareto_cuts(with_targets(rows, expected, seed)), "cuts")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: str = "mix") -> DataFrame:
     """``(doc_id, size, source_size, target, copies, taken)`` for every document: how often, and with how many words, it is taken.
 
-    A document of a source whose target is r times its size has r expected copies: the whole part is certain, and the rest
-    is the inclusion probability of a Pareto order sample whose size is what the target still lacks in words. Null and
-    empty texts have size 0 and are never sampled; a null source is a source of its own; rows that repeat an id and size are
-    taken together; documents without an id share one rank and go by size. An empty table gives an empty result.
+    A document's expected copies are in proportion to the bits of its size, at the level at which its source's expected words
+    are the target: the whole part is certain, and the rest is its inclusion probability in a Pareto order sample whose size is
+    what the target still lacks in words. Null and empty texts have size 0 and are never taken; a null source is a source
+    of its own; null and repeated ids are ranked by their text as well, and rows alike in both by their number among these,
+    so each is drawn for itself. An empty table gives an empty result.
     """
     rows = sized(docs)
-    return copies_of(rows, *plan(rows, weights, most, seed), seed).select(
-        F.col("key").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
+    targets, expected, cuts = plan(rows, weights, most, seed)
+    taken = copies_of(rows, expected, cuts, seed).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
+    zero = F.lit(0).cast("long")
+    blank = rows.where("amount = 0").join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", zero.alias("copies"), zero.alias("taken"))
+    return taken.unionByName(blank)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES, seed: str = "mix") -> DataFrame:
-    """The documents that the mix takes: their columns under ``document``, and the amounts; a row per document, not per copy."""
-    parts = plan(sized(docs), weights, most, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("key"),
-                       F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    return copies_of(rows, *parts, seed).where("copies > 0 and size > 0").select(
-        "document", "size", "source_size", "target", "copies", "taken")
+    """The documents that the mix takes: their columns under ``document``, and the amounts; a row per document, not per copy.
+
+    Documents without words have nothing to give to a mix of words and are never among them. Words are counted once, into a
+    table that keeps the documents beside their sizes.
+    """
+    rows = sized(docs, F.struct(*docs.columns).alias("document"))
+    _, expected, cuts = plan(rows.drop("document"), weights, most, seed)
+    return copies_of(rows, expected, cuts, seed).where("copies > 0").select("document", "size", "source_size", "target", "copies", "taken")

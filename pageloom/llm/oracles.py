@@ -19,7 +19,8 @@ FROM shared JOIN sizes USING (n) WHERE n_shared >= 0.8 * n_shingles - 1e-9
 """
 
 MIXTURE = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, text) AS copy FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight FROM sizes),
 roomy AS (SELECT *, 3.0::DOUBLE * source_size / weight AS room FROM weighed),
@@ -29,16 +30,25 @@ levels AS (SELECT *, row_number() OVER o AS place,
   FROM roomy WINDOW o AS (ORDER BY room, source NULLS LAST), b AS (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 reached AS (SELECT arg_min(level, place) AS reached FROM levels WHERE level <= room),
 targets AS (SELECT source, source_size, CASE WHEN room < reached THEN 3.0::DOUBLE * source_size ELSE reached * weight END AS target FROM levels, reached),
-known AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
-          FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-certain AS (SELECT *, CAST(floor(rate) AS BIGINT) AS certain, rate - floor(rate) AS share,
-  (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM known),
-ranked AS (SELECT *, target - certain * source_size AS lacks,
-  CASE WHEN size > 0 AND share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS rank FROM certain),
-summed AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source
+amounts AS (SELECT *, CASE WHEN size > 0 THEN len(ltrim(bin(size), '0')) ELSE 0 END AS amount FROM sized),
+summed AS (SELECT source, amount, CAST(sum(size) AS BIGINT) AS words FROM amounts GROUP BY ALL),
+known AS (SELECT s.source, amount, words, source_size, target FROM summed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source WHERE amount > 0),
+leveled AS (SELECT *, (target - 3.0::DOUBLE * CAST(coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+    / CAST(sum(amount * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+  FROM known WINDOW o AS (PARTITION BY source ORDER BY amount DESC)),
+chosen AS (SELECT *, arg_max(level, amount) FILTER (level * amount <= 3.0::DOUBLE) OVER (PARTITION BY source) AS reached FROM leveled),
+copied AS (SELECT *, coalesce(least(3.0::DOUBLE, reached * amount), 3.0::DOUBLE) AS copies FROM chosen),
+expected AS (SELECT source, amount, source_size, target, CAST(floor(copies) AS BIGINT) AS certain, copies - floor(copies) AS share,
+    target - CAST(sum(CAST(floor(copies) AS BIGINT) * words) OVER (PARTITION BY source) AS BIGINT) AS lacks FROM copied),
+drawn AS (SELECT a.*, source_size, target, certain, share, lacks,
+  (CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || digest || '|' || copy), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM amounts a JOIN expected e ON a.source IS NOT DISTINCT FROM e.source AND a.amount = e.amount),
+ranked AS (SELECT *, CASE WHEN share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS rank FROM drawn),
+taking AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source
   ORDER BY rank NULLS LAST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS here FROM ranked)
 SELECT doc_id, size, source_size, target, CAST(size * (certain + CASE WHEN rank IS NOT NULL AND here + size / 2 <= lacks THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM summed
+FROM taking
+UNION ALL SELECT doc_id, size, source_size, target, CAST(0 AS BIGINT) FROM amounts a JOIN targets t ON a.source IS NOT DISTINCT FROM t.source WHERE amount = 0
 """
 
 CHAT = r"""

@@ -46,20 +46,56 @@ def test_targets_and_amounts(spark):
         assert abs(taken[source] - targets[source]) <= 30  # half the longest document
 
 
+def plain_copies(sizes, target, most=3):
+    """Expected copies by document: in proportion to the bits of its size, those beyond ``most`` held there, until none is above."""
+    amount = {k: n.bit_length() for k, n in sizes.items() if n}
+    fixed = {}
+    while True:
+        free = [k for k in amount if k not in fixed]
+        level = (target - most * sum(sizes[k] for k in fixed)) / sum(amount[k] * sizes[k] for k in free) if free else 0
+        above = [k for k in free if level * amount[k] > most + 1e-12]
+        if not above:
+            return fixed | {k: level * amount[k] for k in free}
+        fixed |= dict.fromkeys(above, most)
+
+
 def test_order_sample_against_brute_force(spark):
     data = rows(250)
     got = {r.doc_id: r for r in mixture.mixed(spark.createDataFrame(data, COLUMNS)).collect()}
+    shares = set()
     for source in {r[3] for r in data}:
-        own = [(k, len(t.split())) for k, t, _, s, _ in data if s == source]
-        rate = got[own[0][0]].target / sum(n for _, n in own)
-        certain, share = int(rate), rate - int(rate)
-        u = {k: (int(hashlib.md5(f"mix|{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for k, _ in own}
-        lacks, here, picked = share * sum(n for _, n in own), 0, set()
-        for k, n in sorted(own, key=lambda d: (u[d[0]] / (1 - u[d[0]]), d[0])):
-            if share > 1e-12 and here + n / 2 <= lacks + 1e-6:
+        own = {k: len(t.split()) for k, t, _, s, _ in data if s == source}
+        texts = {r[0]: r[1] for r in data}
+        target = got[next(iter(own))].target
+        copies = plain_copies(own, target)
+        certain = {k: int(c + 1e-9) for k, c in copies.items()}
+        rank = {}
+        for k in own:
+            share = copies[k] - certain[k]
+            if share > 1e-9:
+                u = (int(hashlib.md5(f"mix|{k}|{hashlib.md5(texts[k].encode()).hexdigest()}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                rank[k] = u / (1 - u) / (share / (1 - share))
+                shares.add(round(share, 6))
+        lacks, here, picked = target - sum(certain[k] * own[k] for k in own), 0, set()
+        for k in sorted(rank, key=lambda k: (rank[k], k)):
+            if here + own[k] / 2 <= lacks + 1e-6:
                 picked.add(k)
-            here += n
-        assert {k for k, _ in own if got[k].copies > certain} == picked
+            here += own[k]
+        assert {k: got[k].copies for k in own} == {k: certain[k] + (k in picked) for k in own}
+    assert len(shares) > 10  # inclusion probabilities differ within sources
+
+
+def test_rows_without_an_id_and_alike_rows_are_drawn_one_by_one(spark):
+    words = " ".join(["w"] * 10)
+    for ids in ([None] * 1000, [7] * 1000, list(range(500)) + [None] * 500):
+        data = [(k, words, "en", "big", 0) for k in ids] + [(5000 + k, words, "en", "other", 0) for k in range(400)]
+        docs = spark.createDataFrame(data, COLUMNS).repartition(7)
+        out = mixture.mixed(docs).collect()
+        taken = {s: sum(r.taken for r in out if r.source_size == s) for s in (10_000, 4000)}
+        target = {r.source_size: r.target for r in out}
+        assert all(abs(taken[s] - target[s]) <= 5 for s in taken)
+        again = mixture.mixed(docs.repartition(3)).collect()
+        assert sorted((r.doc_id or -1, r.taken) for r in out) == sorted((r.doc_id or -1, r.taken) for r in again)
 
 
 def test_ranks_follow_inclusion_odds(spark):
