@@ -162,24 +162,46 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
     and are linked like any other. Rows that repeat a doc_id each get a result; a null doc_id is never a component_id
     unless no linked row has an id, when component_id is null. An empty table gives an empty result.
     """
+    marks = materialize(fingerprints(docs, width), "fingerprints")
+    first = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labels = _least_of_components(first, radius).withColumnRenamed("least", "component_id")
+    return marks.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def _least_of_components(first: DataFrame, radius: int) -> DataFrame:
+    """``(fp, least)``: the least value of its component for each fingerprint, from ``(fp, least)`` of the fingerprints themselves."""
     from pageloom.llm.graph import components
 
-    marks = materialize(fingerprints(docs, width), "fingerprints")
-    first = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     found = components(links(first.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
     members = materialize(found.join(first, "fp"), "linked")
-    smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    joined = members.join(smallest, "component").select(F.col("fp").alias("linked_fp"), "component_id")
-    labels = first.join(joined, first["fp"] == joined["linked_fp"], "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marks.join(labels, "fp").select("doc_id", "fp", "component_id")
+    smallest = members.groupBy("component").agg(F.min("least").alias("of_all"))
+    joined = members.join(smallest, "component").select(F.col("fp").alias("linked_fp"), "of_all")
+    return first.join(joined, first["fp"] == joined["linked_fp"], "left").select("fp", F.coalesce("of_all", "least").alias("least"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The documents whose id names their component, each id once; columns as they came.
+    """One document of each component, that with the smallest id; columns as they came.
 
-    Documents without an id cannot be named by a decision: they link others, and stay.
+    Rows are told apart by a number that is written beside them with their fingerprint, so different texts under one id, or
+    under none, are decided for themselves: no id goes before a null one, and of rows alike in id the first written
+    stays. Blank and null texts are one component; long texts are read whole; an empty table gives an empty result.
     """
-    keep = near_duplicates(docs, radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    number, mark = "_row", "_mark"
+    while number in docs.columns or mark in docs.columns:
+        number, mark = f"{number}_", f"{mark}_"
+
+    names = [*docs.columns, mark]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(batch.columns) - 1).cast(pa.large_binary())
+            marks = np.fromiter((fingerprint(t, width) for t in texts.to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks.view(np.int64))], names=names)
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{mark} long"])
+    marked = docs.select(*docs.columns, F.col("text").cast("string").alias(mark)).mapInArrow(run, kinds)
+    rows = materialize(marked.withColumn(number, F.monotonically_increasing_id()), "marked")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.col(number).alias("row"))
+    first = materialize(rows.groupBy(F.col(mark).alias("fp")).agg(F.min(place).alias("least")), "first-of-marks")
+    kept = _least_of_components(first, radius).select(F.col("least.row").alias(number)).distinct()
+    return rows.join(kept, number, "left_semi").select(docs.columns)

@@ -91,7 +91,16 @@ def test_odd_rows(spark):
     assert by_id[4].component_id == by_id[5].component_id == 4
     kept = simhash.one_of_each(odd_documents(spark))
     assert kept.columns == odd_documents(spark).columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 6, 7, 8, None, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 6, 7, 8, None])
+
+
+def test_different_texts_under_one_id_both_stay(spark):
+    rows = [(1, "alpha beta gamma delta epsilon", "", "", 1), (1, "completely other words stand in here", "", "", 1), (2, "alpha beta gamma delta epsilon", "", "", 1),
+            (None, "third text of no name at all", "", "", 1), (None, "third text of no name at all", "", "", 1)]
+    for _ in range(2):
+        kept = simhash.one_of_each(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+        assert sorted((r.doc_id or 0, r.text[:5]) for r in kept) == [(0, "third"), (1, "alpha"), (1, "compl")]
+        rows = rows[::-1]
 
 
 def test_empty_table_and_null_ids(spark):
