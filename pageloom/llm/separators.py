@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,15 +14,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.session import materialize, shared_dir
+from pageloom.session import materialize, shared_folder
 
 BLOCK = 4 << 20  # bytes of a file that one step reads
 TEXTS_AT_ONCE = 4 << 20  # characters that are tokenised before they are written
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: how this vocabulary splits text
+BLANKS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # white space as that pattern sees it
+LONG_RUN = 10_000  # of white space, from which on a run is cut out before the pattern, whose search ends on its stack at about a million
 SEPARATOR = 50256  # free in this vocabulary, so no text has it
 
 
+LONG_RUNS = re.compile(f"{BLANKS}{{{LONG_RUN},}}")
+
+
 def encoder(ranks: str):
     import tiktoken
 
@@ -30,6 +36,22 @@ def encoder(ranks: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def encoded(coder, text: str) -> list[int]:
+    """Identifiers of a text, however long its runs of white space.
+
+    The pattern takes of a run all but the last blank as one piece, or the whole run at the end of the text, and pieces are
+    encoded for themselves. So long runs are cut out as these pieces, and the text between them is split by the pattern.
+    """
+    out, at = [], 0
+    if len(text) >= LONG_RUN:
+        for run in LONG_RUNS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += coder.encode_ordinary(text[at : run.start()])
+            out += coder._encode_single_piece(text[run.start() : end])
+            at = end
+    return out + coder.encode_ordinary(text[at:])
+
+
 def _opened(uri: str):
     """File system and path of a URI: any store that Arrow reads."""
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
@@ -45,7 +67,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, separato
     kind = {2: np.uint16, 4: np.uint32}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        coder = encoder(ranks)
         name, place, out = f"{uuid.uuid4().hex}.bin", 0, None
         store, path = _opened(folder)
         for batch in batches:
@@ -55,7 +77,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, separato
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(posixpath.join(path, name))
             for text in batch.column(1):
-                ids = encode(text.as_py() or "")
+                ids = encoded(coder, text.as_py() or "")
                 ids.append(separator)
                 out.write(np.array(ids, kind).tobytes())
             rows = np.arange(place, place + batch.num_rows)
@@ -133,7 +155,7 @@ def document_lengths(files: DataFrame, folder: str, separator: int = SEPARATOR,
 def token_counts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``(doc_id, n_tokens)`` of every document, counted in token files written for it; rows that repeat give a result each."""
     spark: SparkSession = docs.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "tokens")
     index = write_token_files(docs, folder, ranks)
     counted = document_lengths(index.select("file").distinct(), folder)
     return index.join(counted, ["file", "place"]).select("doc_id", "n_tokens")

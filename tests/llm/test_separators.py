@@ -66,3 +66,18 @@ def test_files_decode_to_the_texts(spark, tmp_path):
             seen.add((places[place], coder.decode(ids[start:start + n].tolist())))
     assert seen == texts
     assert materialize(index, "again").count() == 11
+
+
+def test_long_runs_of_white_space(monkeypatch):
+    coder = separators.encoder(separators.RANKS)
+    dice = random.Random(9)
+    for least in (2, 3, 5):
+        monkeypatch.setattr(separators, "LONG_RUN", least)
+        monkeypatch.setattr(separators, "LONG_RUNS", separators.re.compile(f"{separators.BLANKS}{{{least},}}"))
+        for _ in range(3000):
+            text = "".join(dice.choices([" ", "  ", "\n", "\t", "\xa0", "\u3000", "a", "'s", "1", "é", "!", "\x1c"], k=dice.randrange(24)))
+            assert separators.encoded(coder, text) == coder.encode_ordinary(text), text
+    monkeypatch.undo()
+    for text in (" " * 1_000_000 + "a", "b" + "\n" * 1_200_000, "a" + " \t" * 600_000 + "b" + " " * 900_000 + "c d"):
+        ids = separators.encoded(coder, text)
+        assert coder.decode(ids) == text
