@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from catalog.registry import facts, register, results
 from pageloom.operators import access, corpus, limits, scoring
+from pageloom.session import shared_folder
+from pageloom.sources import sinks
 from pageloom.workload import table
 
 LATE = datetime(2024, 2, 1)
@@ -294,6 +296,16 @@ def latest_rows(spark, sf_dir):
     return access.latest_rows(_status_log(spark, sf_dir), "report_id", ["ts", "event_id"]).select("report_id", "status", "ts")
 
 
+@register("merged_reports", f"WITH {_LOG_SQL} SELECT report_id, max((ts, event_id))[2] AS event_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM log GROUP BY report_id")
+def merged_reports(spark, sf_dir):
+    """The log as two writes into one report table, later rows first: what they share and what only one of them has."""
+    rows = _status_log(spark, sf_dir).select("report_id", F.expr("(event_id DIV 40) % 2").alias("half"), "event_id", "status", "ts")
+    path = shared_folder(spark, "report-table")
+    for half in (1, 0, 1):
+        sinks.merge_reports(rows.where(F.col("half") == half).drop("half"), path, ["ts", "event_id"])
+    return spark.read.parquet(path).select("report_id", "event_id", "status", "ts")
+
+
 # A run over all submitted sites: customers ask for audits of sites, some of which were never crawled.
 from catalog.check_sql import DIMS, OVERALL, audit_query  # noqa: E402
 

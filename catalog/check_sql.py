@@ -158,10 +158,10 @@ COV_SQL = {
     "S18": f"CASE WHEN levels = '' THEN 'missing heading tags' WHEN {H1S} <> 1 THEN 'found ' || {H1S} || "
            f"' h1 heading (expected 1)' WHEN {JUMP} <> '' THEN 'heading level h' || left({JUMP}, 1) || ' jumps to h' || "
            f"right({JUMP}, 1) || ' (skipped h' || (CAST(left({JUMP}, 1) AS INT) + 1) || ')' END",
-    "S21": _fail("multilingual AND bad_lang IS NOT NULL", "'invalid hreflang value ''' || left(bad_lang, 30) || ''''"),
+    "S21": _fail("multilingual AND bad_lang IS NOT NULL", "'invalid hreflang value ''' || bad_lang || ''''"),
     "S23": f"CASE WHEN canon IS NOT NULL AND {comparable(RESOLVED)} <> {comparable('url')} THEN 'canonical mismatch (expected ' "
-           f"|| path || ', got ' || left(coalesce(nullif(regexp_replace(regexp_replace({RESOLVED}, "
-           "'(?i)^https?://[^/]+', ''), '[#?].*$', ''), ''), '/'), 80) || ')' END",
+           f"|| path || ', got ' || coalesce(nullif(regexp_replace(regexp_replace({RESOLVED}, "
+           "'(?i)^https?://[^/]+', ''), '[#?].*$', ''), ''), '/') || ')' END",
     "G1": _need(m("src", rf"<script[^>]+type={Q}application/ld\+json{Q}"), "JSON-LD <script>"),
     "G4": "CASE WHEN lead = 'pass' THEN NULL WHEN lead = 'heading' THEN 'first content line is a heading, not a lead paragraph' "
           "WHEN lead = 'unfit' THEN 'lead paragraph found but it is too long or lacks ending punctuation' "

@@ -10,7 +10,8 @@ from catalog.site_queries import _submitted, _SUBMITTED
 from pageloom.functions.urls import is_sensitive
 from pageloom.operators import audit, export, matrix, sampling, scoring
 from pageloom.plans.guidance import GUIDANCE, guidance
-from pageloom.session import materialize
+from pageloom.session import materialize, shared_folder
+from pageloom.sources import sinks
 
 _INFO = "info(check_id, why, fix, example, when_na) AS (VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else lit(v) for v in g[:5]) + ")" for g in GUIDANCE) + ")"
@@ -148,3 +149,19 @@ _JSON = audit_query(" UNION ALL ".join([
 @register("export_json", _JSON)
 def export_json(spark, sf_dir):
     return export.json_parts(*_model(spark, sf_dir), generated_at=GENERATED)
+
+
+def _whole(parts_sql: str) -> str:
+    return (f"SELECT report_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes, md5(string_agg(text, '' ORDER BY part, key)) AS digest FROM ({parts_sql}) GROUP BY report_id")
+
+
+@register("json_documents", _whole(_JSON))
+def json_documents(spark, sf_dir):
+    parts = export.json_parts(*_model(spark, sf_dir), generated_at=GENERATED)
+    return sinks.write_documents(parts, shared_folder(spark, "json-documents")).select("report_id", "bytes", "digest")
+
+
+@register("markdown_documents", _whole(_MD))
+def markdown_documents(spark, sf_dir):
+    parts = export.markdown_parts(*_model(spark, sf_dir), generated_at=GENERATED)
+    return sinks.write_documents(parts, shared_folder(spark, "markdown-documents"), ".md").select("report_id", "bytes", "digest")

@@ -42,7 +42,7 @@ def _version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> int:
     return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], Any]) -> Any:
+def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], Any]) -> Any:
     """What several queries read, written once per application and state of its input tables."""
     key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir, tables))
     if key not in _TABLES:
@@ -52,18 +52,18 @@ def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...],
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts table of a folder: every audit query after the first reads it."""
-    return _once(spark, sf_dir, "page-facts", CRAWL, lambda: materialize(page_facts(workload.crawl(spark, sf_dir)), "page-facts"))
+    return once(spark, sf_dir, "page-facts", CRAWL, lambda: materialize(page_facts(workload.crawl(spark, sf_dir)), "page-facts"))
 
 
 def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-site inputs, an ordinary input table of the audit; derived from the crawl here, so written once as well."""
-    return _once(spark, sf_dir, "site-aux", CRAWL, lambda: materialize(workload.site_aux(spark, sf_dir), "site-aux"))
+    return once(spark, sf_dir, "site-aux", CRAWL, lambda: materialize(workload.site_aux(spark, sf_dir), "site-aux"))
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
     """The index of a folder's embeddings: searches after the first read it."""
     corpus = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS id", "'label-' || CAST(label AS STRING) AS report_id", "embedding")
-    return _once(spark, sf_dir, "vector-index", ("embeddings",), lambda: vectors.build_index(corpus))
+    return once(spark, sf_dir, "vector-index", ("embeddings",), lambda: vectors.build_index(corpus))
 
 
 def forget_facts(spark: SparkSession) -> None:

@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog.account_queries import _DAY_MS, _RATE_SQL, _REPORT_SQL, _USER_KEY, _VERDICT
-from catalog.registry import register
+from catalog.registry import once, register
 from pageloom.operators.limits import micros
-from pageloom.session import shared_dir
+from pageloom.session import materialize, shared_folder
 from pageloom.streaming.runner import file_stream, latest_emitted, run_to_table
 from pageloom.streaming.stateful import rate_limit_stream, watchdog_stream
-from pageloom.streaming.steps import current_steps, report_state, step_feed, terminal_rows
+from pageloom.streaming.steps import current_steps, report_state, step_feed, with_full_rows
 from pageloom.workload import table
 
-
 BATCHES = 4
-_STAGED: dict[tuple[str, str], str] = {}
 
 
-def _stream(spark, sf_dir):
-    """The event log as it would arrive: the table cut by time into files, one file per micro-batch."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _stream(spark, sf_dir, late=False):
+    """The event log as it would arrive: the table cut by time into files, one file per micro-batch; ``late``: every seventh event a batch late."""
     events = table(spark, sf_dir, "events")
-    if key not in _STAGED:
-        folder = f"{shared_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+
+    def staged() -> str:
+        folder = shared_folder(spark, "events")
         edges = events.agg(F.percentile_approx(micros(F.col("ts")), [k / BATCHES for k in range(1, BATCHES)], 1000)).first()[0]
         slot = sum((micros(F.col("ts")) > e).cast("int") for e in edges)
-        for k in range(BATCHES):
+        if late:
+            slot = F.least(F.lit(BATCHES - 1), slot + (F.col("event_id") % 7 == 0).cast("int"))
+        for k in range(BATCHES):  # one after the other: a file stream takes files in the order of their times
             events.filter(slot == k).coalesce(1).write.mode("append").parquet(folder)
-        _STAGED[key] = folder
-    return file_stream(spark, _STAGED[key], events.schema, files_per_batch=1)
+        return folder
+
+    return file_stream(spark, once(spark, sf_dir, f"events-{late}", ("events",), staged), events.schema, files_per_batch=1)
 
 
 _CHANGE = {
@@ -66,10 +65,11 @@ def stream_step_feed(spark, sf_dir):
           "CAST(user_id AS STRING) AS report_id, count(*) AS n_events FROM events GROUP BY 1) SELECT report_id, status, seq, n_events FROM st JOIN full_rows USING (report_id) WHERE "
           "status IN ('done', 'error')")
 def stream_terminal_reports(spark, sf_dir):
-    state = latest_emitted(run_to_table(report_state(_changes(_stream(spark, sf_dir))), "state", mode="update"), ["report_id"])
-    full = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("report_id")).agg(
-        F.count("*").alias("n_events")).withColumn("status", F.lit("old"))
-    return terminal_rows(state, full)
+    """Full rows joined inside the stream, with events that come a batch after newer ones of their report."""
+    full = materialize(table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("report_id")).agg(
+        F.count("*").alias("n_events")), "full-reports")
+    emitted = run_to_table(with_full_rows(report_state(_changes(_stream(spark, sf_dir, late=True))), full), "terminal", mode="update")
+    return latest_emitted(emitted, ["report_id"]).where("n_events IS NOT NULL").select("report_id", "status", "seq", "n_events")
 
 
 @register("stream_rate_limit", "WITH " + _RATE_SQL.format(key=_USER_KEY, win=_DAY_MS * 1000) + " SELECT " + _VERDICT.format(lim=2, win=_DAY_MS * 1000) + " FROM walk")

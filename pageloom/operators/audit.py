@@ -98,10 +98,9 @@ def page_reasons() -> dict[str, Column]:
             (jump_from.cast("int") + 1).cast("string"))))
         .otherwise(ok),
         "S21": F.when(c("bad_hreflang").isNotNull(), reason("other", note=scrubbed(F.concat(
-            F.lit("invalid hreflang value '"), F.substring("bad_hreflang", 1, 30), F.lit("'"))))).otherwise(ok),
+            F.lit("invalid hreflang value '"), "bad_hreflang", F.lit("'"))))).otherwise(ok),
         "S23": F.when(c("canonical_href").isNull() | (comparable(target) == comparable(c("url"))), ok).otherwise(
-            reason("mismatch", what="canonical", expected=scrubbed(c("path")), actual_s=scrubbed(
-                F.substring(F.when(target_path == "", "/").otherwise(target_path), 1, 80)))),
+            reason("mismatch", what="canonical", expected=scrubbed(c("path")), actual_s=scrubbed(F.when(target_path == "", "/").otherwise(target_path)))),
         "G1": need(c("has_jsonld"), "JSON-LD <script>"),
         "G4": F.when(c("lead_state") == "pass", ok).otherwise(reason("other", note=F.when(
             c("lead_state") == "heading", lead_notes["heading"]).when(

@@ -7,7 +7,8 @@ whole key into one task, and one key may hold a third of all rows. Instead:
    segments are checkpointed, which fixes their boundaries;
 2. every segment summarises its first and its last key, the only ones that can continue elsewhere;
 3. the summaries of a key, one per segment, are chained in segment order: that yields the state each segment starts
-   with (at most two rows per segment, so they are broadcast);
+   with (at most two rows per segment, so they are broadcast). Of many segments, runs of ``RUN`` are merged into one summary
+   first, and runs of these, until few are left; states then come back down the same tree, so no task reads more than a run;
 4. every segment folds its rows from its start state, in parallel.
 
 It works for any fold whose segments can be summarised as "incoming state -> outgoing state".
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from pageloom.session import shared_dir
 
+RUN = 32  # summaries that a task merges or chains at a time
+
 
 class Fold(Protocol):
     """The small pieces of a fold; rows arrive as lists of column values in order."""
@@ -77,16 +80,38 @@ def _summaries(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Itera
     return run
 
 
-def _starts(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Chains the summaries of each key in segment order; emits the start state of every segment."""
+def _merged(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One summary for each key and run of segments, from those of the run in order."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, summary = None, None
+        for pdf in batches:
+            out = []
+            for k, at, blob in zip(pdf[key], pdf["_run"], pdf["_summary"]):
+                if current is not None and (k, at) == current:
+                    summary = fold.merge(summary, pickle.loads(blob))
+                    continue
+                if current is not None:
+                    out.append((current[1], current[0], pickle.dumps(summary)))
+                current, summary = (k, at), pickle.loads(blob)
+            yield pd.DataFrame(out, columns=["_seg", key, "_summary"])
+        if current is not None:
+            yield pd.DataFrame([(current[1], current[0], pickle.dumps(summary))], columns=["_seg", key, "_summary"])
+
+    return run
+
+
+def _chained(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Chains the summaries of each key and run in order, from the run's own start state; emits the start state of every segment."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, first = None, None, True
         for pdf in batches:
             out = []
-            for k, seg, blob in zip(pdf[key], pdf["_seg"], pdf["_summary"]):
-                if first or k != current:
-                    current, state, first = k, fold.start(k), False
+            for k, at, seg, blob, begin in zip(pdf[key], pdf["_run"], pdf["_seg"], pdf["_summary"], pdf["_begin"]):
+                if first or (k, at) != current:
+                    current, first = (k, at), False
+                    state = fold.start(k) if begin is None else pickle.loads(begin)
                 out.append((seg, k, pickle.dumps(state)))
                 state = fold.advance(state, pickle.loads(blob))
             yield pd.DataFrame(out, columns=["_seg", key, "_state"])
@@ -94,6 +119,30 @@ def _starts(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Iterator
     return run
 
 
+def start_states(summaries: DataFrame, key: str, key_type: str, fold: Fold, segments: int, run: int = RUN) -> DataFrame:
+    """``(_seg, key, _state)``: the state each segment of a key starts with, from a summary per segment (numbered below ``segments``).
+
+    Up the tree, ``run`` neighbours become one summary until a key has no more than that many; down it, each level's states
+    start the runs of the level below.
+    """
+    levels = [summaries]
+    while segments > run:
+        dealt = levels[-1].withColumn("_run", F.floor(F.col("_seg") / run).cast("int")).repartition(key, "_run").sortWithinPartitions(key, "_run", "_seg")
+        levels.append(dealt.mapInPandas(_merged(fold, key), f"_seg int, `{key}` {key_type}, _summary binary"))
+        segments = -(-segments // run)
+    states = None
+    for level in reversed(levels):
+        rows = level.withColumn("_run", (F.floor(F.col("_seg") / run) if states is not None else F.lit(0)).cast("int"))
+        if states is None:
+            rows = rows.withColumn("_begin", F.lit(None).cast("binary"))
+        else:
+            above = states.select(F.col("_seg").alias("_above"), F.col(key).alias("_key"), F.col("_state").alias("_begin"))
+            rows = rows.join(above, (F.col("_run") == F.col("_above")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_above", "_key")
+        dealt = rows.repartition(key, "_run").sortWithinPartitions(key, "_run", "_seg")
+        states = dealt.mapInPandas(_chained(fold, key), f"_seg int, `{key}` {key_type}, _state binary")
+    return states
+
+
 def _emits(fold: Fold, key: str) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, first = None, None, True
@@ -118,10 +167,8 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: Fold, schema:
     )
     key_type = df.schema[key].dataType.simpleString()
     summaries = segments.mapInPandas(_summaries(fold, key), f"_seg int, `{key}` {key_type}, _summary binary")
-    starts = (
-        summaries.repartition(key).sortWithinPartitions(key, "_seg")
-        .mapInPandas(_starts(fold, key), f"_seg int, `{key}` {key_type}, _state binary")
-    )
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # ranges that the rows were dealt to, at most
+    starts = start_states(summaries, key, key_type, fold, most)
     # Two rows per segment at most, whatever the size of the data: a fixed bound, so the broadcast is safe.
     with_state = segments.join(F.broadcast(starts), ["_seg", key], "left")
     return with_state.mapInPandas(_emits(fold, key), schema)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.session import shared_dir
+from pageloom.session import shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -27,7 +25,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     A batch overwrites its own folder, so a batch repeated after a failure leaves one copy.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = shared_folder(spark, name)
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/_batch={epoch}")

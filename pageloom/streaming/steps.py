@@ -29,7 +29,13 @@ def report_state(changes: DataFrame) -> DataFrame:
     return newest.select("report_id", "r.status", "r.score_overall", "r.error", "r.seq")
 
 
-def terminal_rows(state: DataFrame, reports: DataFrame) -> DataFrame:
-    """Finished reports with their full row; only terminal states meet the big table."""
-    return state.filter(F.col("status").isin(*TERMINAL)).select("report_id", "status", "seq").join(
-        reports.drop("status"), "report_id")
+def with_full_rows(state: DataFrame, reports: DataFrame) -> DataFrame:
+    """Report state with the columns of the full row, which are null until the status is terminal.
+
+    Works inside a stream: the state is joined with the report table batch by batch, and only terminal states meet it. In update
+    mode a batch emits each report that changed in it, so a report that is opened again takes its row back.
+    """
+    small = ("status", "score_overall", "error", "seq")
+    full = reports.select(F.col("report_id").alias("full_id"), *[c for c in reports.columns if c not in ("report_id", *small)])
+    meets = (F.col("report_id") == F.col("full_id")) & F.col("status").isin(*TERMINAL)
+    return state.join(full, meets, "left").drop("full_id")

@@ -1,3 +1,4 @@
+import pickle
 import random
 from datetime import datetime, timedelta
 
@@ -5,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import limits
+from pageloom.operators import folds, limits
 
 T0 = datetime(2024, 1, 1)
 
@@ -133,3 +134,26 @@ def test_a_summary_does_not_grow_with_the_length_of_a_run():
         sizes.append(len(limits._FixedWindow(5, 1_000).summarize(rows)[0]))
         assert len(limits._Credits(3).summarize(rows)) == 3
     assert sizes[0] == sizes[1] <= 102
+
+
+@pytest.mark.parametrize("run", [2, 3, 32])
+def test_start_states_come_down_a_tree(spark, run):
+    """Many segments of a hot key and short keys, in runs of any length: the states of a chain from the first segment on."""
+    rnd = random.Random(run)
+    fold = limits._FixedWindow(5, 900)
+    rows, want = [], {}
+    for key, segs in (("hot", range(70)), ("b", [3]), ("c", [30, 31, 33]), (None, [69])):
+        state, at = None, 0
+        for seg in segs:
+            times = []
+            for _ in range(rnd.randrange(1, 30)):
+                at += rnd.randrange(0, 200)
+                times.append(at)
+            part = pd.DataFrame({"at": times})
+            rows.append((seg, key, bytearray(pickle.dumps(fold.summarize(part)))))
+            want[seg, key] = state
+            state = fold.walk(state, part["at"].to_numpy())[0]
+    frame = spark.createDataFrame(rows, "_seg int, key string, _summary binary").repartition(5)
+    read = folds.start_states(frame, "key", "string", fold, 70, run)
+    got = {(r["_seg"], r["key"]): pickle.loads(r["_state"]) for r in read.collect()}
+    assert got == want

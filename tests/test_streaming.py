@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from pageloom.operators.limits import rate_limit
 from pageloom.streaming.runner import file_stream, latest_emitted, run_to_table
 from pageloom.streaming.stateful import rate_limit_stream, watchdog_stream
-from pageloom.streaming.steps import current_steps
+from pageloom.streaming.steps import current_steps, report_state, with_full_rows
 
 T0 = datetime(2024, 1, 1)
 
@@ -67,3 +69,22 @@ def test_limiter_forgets_keys_whose_window_is_over(spark, tmp_path):
     query.awaitTermination()
     assert spark.table("limits").count() == 15
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_full_rows_are_joined_inside_the_stream(spark, tmp_path):
+    """A batch emits full rows of what became terminal in it; older events that come late change nothing; a reopened report loses its row."""
+    schema = "report_id string, seq long, status string, score_overall int, error string"
+    write(spark, tmp_path / "in", [[("a", 1, "crawling", None, None), ("b", 2, "done", 50, None)], [("a", 4, "done", 70, None), ("b", 1, "crawling", None, None)],
+                                   [("a", 3, "error", None, "late"), ("c", 5, "error", None, "no page")], [("b", 6, "queued", None, None), ("d", 7, "done", 1, None)]], schema)
+    full = spark.createDataFrame([(k, f"{k}.example") for k in "abce"], "report_id string, domain string").withColumn("status", F.lit("old"))
+    stream = file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_batch=1)
+    rows = run_to_table(with_full_rows(report_state(stream), full), "full", mode="update")
+    by_batch = {}
+    for r in rows.collect():
+        by_batch.setdefault(r._batch, {})[r.report_id] = (r.status, r.domain)
+    batches = [by_batch[k] for k in sorted(by_batch)]
+    assert len(batches) == 4 and batches[0] == {"a": ("crawling", None), "b": ("done", "b.example")}
+    assert batches[1]["a"] == ("done", "a.example") and batches[2]["c"] == ("error", "c.example")
+    assert batches[3] == {"b": ("queued", None), "d": ("done", None)}
+    last = {r.report_id: (r.status, r.domain, r.seq) for r in latest_emitted(rows, ["report_id"]).collect()}
+    assert last == {"a": ("done", "a.example", 4), "b": ("queued", None, 6), "c": ("error", "c.example", 5), "d": ("done", None, 7)}
