@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
-from itertools import chain
 from typing import NamedTuple
 
 # Tag names of the markup language by what they do to text.
@@ -22,12 +21,18 @@ CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 SCOPES = frozenset("table ul ol dl select".split())  # a sibling's implied end does not reach over these
 CLOSES_P = BLOCK_TAGS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "option", "optgroup", "frameset"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S)
+SPACE = "\t\n\f\r "
+NAME = re.compile(rf"[a-zA-Z][^{SPACE}/>]*+")
+# A tag with attributes as they should be, none of whose parts is read twice; whatever else a tag holds is read by its states.
+TIDY = re.compile(rf"((?:[{SPACE}/]++[^{SPACE}/>=\"'<]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^{SPACE}>=\"'<`]++))?+)*+[{SPACE}/]*+)>")
+BREAK = re.compile(rf"[{SPACE}/>=]")
+VALUE_END = re.compile(rf"[{SPACE}>]")
+DEEPEST = 512  # open tags whose names a path takes in: what is nested deeper stands under these, as in the trees of browsers
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PAIRS = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORDS = re.compile(r"[a-z]+")
-RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>|\Z", re.I) for tag in RAW_TAGS}
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[{SPACE}/>])|\Z", re.I) for tag in RAW_TAGS}
 
 
 @lru_cache(maxsize=50_000)
@@ -38,6 +43,72 @@ def _attributes(tag: str, text: str) -> tuple[bool, tuple[str, ...]]:
     return hides, tuple(f"{tag}.{w}" for w in named)
 
 
+def _untidy(html: str, at: int) -> tuple[int, str] | None:
+    """End of a tag and its attributes, rewritten with quotes around values; None where the page ends inside the tag."""
+    found, size = [], len(html)
+    while True:
+        slash = False
+        while at < size and (html[at] in SPACE or html[at] == "/"):
+            slash = html[at] == "/"
+            at += 1
+        if at >= size:
+            return None
+        if html[at] == ">":
+            return at + 1, "".join(found) + "/" * slash
+        m = BREAK.search(html, at + 1)  # a first sign of equality is part of a name
+        if m is None:
+            return None
+        name, at = html[at : m.start()], m.start()
+        while at < size and html[at] in SPACE:
+            at += 1
+        value = ""
+        if at < size and html[at] == "=":
+            at += 1
+            while at < size and html[at] in SPACE:
+                at += 1
+            if at < size and html[at] in "\"'":
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return None
+                value, at = html[at + 1 : end], end + 1
+            elif at < size and html[at] != ">":
+                m = VALUE_END.search(html, at)
+                if m is None:
+                    return None
+                value, at = html[at : m.start()], m.start()
+        found.append(f' {name}="{value}"'.replace('"', " ") if '"' in name else f' {name}="{value.replace(chr(34), " ")}"')
+
+
+def next_tag(html: str, at: int) -> tuple[int, int, bool, str, str] | None:
+    """The next markup from a place on: (begin, end, whether it closes, tag, attributes); the tag of comments and the like is empty.
+
+    One forward scan with the states of the language's standard: quotes count only at the begin of a value, a comment or a tag that
+    the page does not end reaches to its end, and a sign that opens no markup is text. No part of a page is read more
+    than twice.
+    """
+    size = len(html)
+    while (at := html.find("<", at)) >= 0:
+        sign = html[at + 1 : at + 2]
+        if sign in ("!", "?"):
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 2) if html.startswith(("<!-->", "<!--->"), at) else html.find("-->", at + 4)
+                return at, size if end < 0 else end + 3, False, "", ""
+            end = html.find(">", at)
+            return at, size if end < 0 else end + 1, False, "", ""
+        closes = sign == "/"
+        name = NAME.match(html, at + 1 + closes)
+        if name:
+            if tidy := TIDY.match(html, name.end()):
+                return at, tidy.end(), closes, name[0].lower(), tidy[1]
+            found = _untidy(html, name.end())
+            return (at, size, False, "", "") if found is None else (at, found[0], closes, name[0].lower(), found[1])
+        if closes and at + 2 < size:
+            end = html.find(">", at)
+            return at, size if end < 0 else end + 1, False, "", ""
+        at += 1
+    return None
+
+
 class Block(NamedTuple):
     """Text as read, share of it inside links, its nearest block tag, and what it stands under, outermost first."""
 
@@ -84,26 +155,26 @@ def leaf_blocks(html: str | None, hidden: bool = False) -> Iterator[Block]:
                 return k
         return 0
 
-    for m in chain(iter(lambda: TOKEN.search(html, at), None), [None]):
-        end = m.start() if m else len(html)
+    while True:
+        markup = next_tag(html, at)
+        end = markup[0] if markup else len(html)
         if end > at and stack[-1][0] == "head" and not html[at:end].isspace():
             pop(len(stack) - 1)
         if end > at and not stack[-1][3]:
             text.append(html[at:end])
             if open_tags["a"]:
                 linked += end - at
-        if m is None:
+        if markup is None:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, closes, tag, attributes = markup
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag in BLOCK_TAGS:
             if text and (found := block()):
                 yield found
         elif tag == "br" and not stack[-1][3]:
             text.append(" ")
-        if m[1]:
+        if closes:
             place = len(stack) - 1 if stack[-1][0] == tag else innermost({tag})
             if place:
                 pop(place)
@@ -118,9 +189,8 @@ def leaf_blocks(html: str | None, hidden: bool = False) -> Iterator[Block]:
             pop(place)
         if tag in VOID_TAGS:
             continue
-        attributes = m[3]
         if tag in RAW_TAGS:
-            at = RAW_ENDS[tag].search(html, at).end()
+            at = RAW_ENDS[tag].search(html, at).start()  # its end tag, which nothing opened, is read next
             continue
         if attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
@@ -129,8 +199,8 @@ def leaf_blocks(html: str | None, hidden: bool = False) -> Iterator[Block]:
         if hidden and hides:
             hides, named = False, (*named, f"{tag}.:hidden")
         if tag in BLOCK_TAGS:
-            near, path = tag, (*path, tag, *named)
-        elif named:
+            near = tag
+        if len(stack) <= DEEPEST and (tag in BLOCK_TAGS or named):
             path = (*path, tag, *named)
         stack.append((tag, near, path, unseen or hides or tag in UNSEEN_TAGS))
         if tag in open_tags:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -108,3 +109,20 @@ def test_rows(spark):
     assert extraction.main_texts(source.limit(0)).count() == 0
     own = extraction.main_texts(source, training=[(page, want)]).collect()
     assert {r.page_id: r.text for r in own}[1] == want
+
+
+def test_markup_is_read_in_one_forward_scan():
+    """Quotes count only at the begin of a value; what the page ends inside of is markup to its end, and costs no second look."""
+    said = lambda html: [b.text for b in leaf_blocks(html)]
+    assert said("<p class=don't>It's the first line</p><p>next") == ["It's the first line", "next"]
+    assert said('<p title="a>First</p>') == [] and said('<p title="a>First</p><p class="x">Second') == ["Second"]
+    assert said("<p a='x>y' b = \"c>d\" e=f/>k</p><br/>m") == ["k", "m"] and said("<script>if (a<b) '</p>'</script >t") == ["t"]
+    assert said("2 < 3 <4> a</ x>b<!-->c<!-- <p> -->d<?x?>e") == ["2 < 3 <4> abcde"]
+    assert said("<textarea><b>no</textarea>yes<title>no") == ["yes"]
+    assert [b.path for b in leaf_blocks("<P\nID='main' data-x=\"'\">z</P>")] == [("p", "p.main")]
+    for html in ("<a " * 300_000, "<a b='x' " * 100_000, "<p x='" * 100_000, "</script " * 100_000, "<script>" + "</script " * 100_000, "<" * 300_000, "<!--" * 200_000):
+        begin = time.process_time()
+        assert len(said(html)) <= 1
+        assert time.process_time() - begin < 10
+    deep = list(leaf_blocks("<div>" * 60_000 + "x"))
+    assert [b.text for b in deep] == ["x"] and len(deep[0].path) <= 1024
