@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pageloom.session import materialize
 
 # The base patterns of the contract, in order of kind. The e-mail pattern may only begin where a run of its first
-# signs does, or where the last match ended; that is where a leftmost match begins, and no run is read twice. Repeated groups are
+# signs does, or where the last match ended, that of addresses only at the first digit of a run (a match ends at the last of one);
+# that is where a leftmost match begins, and no run is read twice. Repeated groups are
 # possessive: the same matches, in a loop; greedy ones recurse, and a run of some thousand digits or labels ends the JVM.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -28,6 +29,7 @@ EDGE_SIGNS = OPENING + r"|(?:\G|(?<![\"')\]}>,;:.!?]))[\"')\]}>,;:.!?]++\z"
 ROUNDS = 3
 LEAST_SEEDS = 5  # different seed entities that a pattern has to stand before
 LEAST_CONFIDENCE = 0.8
+SHARES = (64, 8)  # of the rows, one in so many, that patterns are tried on before all rows are read for those that are left
 CHUNK = 256  # array elements whose sum is taken in one step
 
 
@@ -170,26 +172,55 @@ def _instances(words: DataFrame) -> DataFrame:
     return inner.where("inner != ''").select("row", "pattern", F.lower("inner").alias("instance"), start.alias("start"), (start + F.length("inner")).alias("end"))
 
 
+def _followers(rows: DataFrame) -> DataFrame:
+    """(pattern, instance) of every word outside base entities with two words before it: as ``_instances``, without the places."""
+
+    def free(words: Column) -> Column:
+        left = F.when(F.size(words) > 2, F.array_except(F.sequence(F.lit(2), F.size(words) - 1), F.col("held")))
+        return let(contexts(F.col("text")), lambda c: F.transform(left, lambda k: F.struct(F.get(c, k).alias("pattern"), F.get(words, k).alias("raw"))))
+
+    words = rows.select(F.inline(let(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), free)))
+    return words.select("pattern", F.regexp_replace("raw", EDGE_SIGNS, "").alias("instance")).where("instance != ''")
+
+
+def hopeful_patterns(rows: DataFrame, before: DataFrame, least_seeds: int, least: float) -> DataFrame:
+    """``(pattern)``: those that can be confident, given ``before``, the (pattern, instance) of all instances that are sure in part or whole.
+
+    A pattern before n of them scores n / (D + 1) at most, where D is the number of all different instances that it stands
+    before. Any part of the rows gives a lower bound of D, so patterns are tried on ever larger shares of the rows, and
+    those that the bound rules out already are struck. What is left is what all rows would leave, and some more.
+    """
+    edges = before.distinct()
+    known = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least_seeds)
+    left = materialize(known, "hopeful-patterns")
+    for share in SHARES:
+        part = _followers(rows.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)).join(left, "pattern", "left_semi")
+        seen = part.union(edges.join(left, "pattern", "left_semi")).distinct().groupBy("pattern").agg(F.count("*").alias("seen"))
+        left = materialize(left.join(seen, "pattern").where(F.col("n") / (F.col("seen") + 1) >= least - 1e-9).select("pattern", "n"), "hopeful-patterns")
+    return left.select("pattern")
+
+
 def telling_patterns(rows: DataFrame, rounds: int, least_seeds: int, least: float) -> DataFrame:
     """``confident_patterns`` of all words of the texts, of which only those are kept that a round can need.
 
     A pattern scores only before ``least_seeds`` different sure instances. Those of the first round are the seeds, later
-    also what confident patterns stand before; so each round takes the patterns with enough of them, and the words after
-    these patterns. Patterns left out have no score in that round. Each round reads the words again, and nothing is read
-    again once no pattern is confident.
+    also what confident patterns stand before; each round takes the patterns that can be confident with those, and the
+    words after them in all texts. Patterns left out have no score in that round. Nothing more is read once no pattern is hopeful
+    or none is confident.
     """
     seeds = materialize(rows.select(F.inline("seeds")).distinct(), "seeds")
     before = seeds
     for k in range(1, rounds + 1):
-        wanted = before.groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= least_seeds).select("pattern")
-        wanted = materialize(wanted, "seeded-patterns")
-        after = _instances(_words(rows).join(wanted, "pattern", "left_semi")).select("pattern", "instance").distinct()
+        wanted = hopeful_patterns(rows, before, least_seeds, least)
+        if wanted.isEmpty():
+            return wanted.withColumn("confidence", F.lit(0.0))
+        after = _followers(rows).join(wanted, "pattern", "left_semi").distinct()
         edges = materialize(seeds.withColumn("seed", F.lit(True)).union(after.withColumn("seed", F.lit(False))), "instances")
         scores = confident_patterns(edges, k, least_seeds, least)
         if k == rounds or scores.isEmpty():
             break
         told = materialize(edges.where("not seed").join(scores, "pattern", "left_semi").select("instance").distinct(), "told")
-        before = seeds.union(_instances(_words(rows)).join(told, "instance", "left_semi").select("pattern", "instance").distinct())
+        before = materialize(seeds.union(_followers(rows).join(told, "instance", "left_semi").select("pattern", "instance").distinct()), "sure")
     return scores
 
 

@@ -42,9 +42,11 @@ def test_base_spans_against_plain_rules(spark):
 
 
 def test_long_runs_of_digits_and_labels(spark):
-    texts = ["1 2 " * 50_000, "7" * 100_000, "1-2-" * 50_000, "a@b" + ".c" * 100_000, "x 4111 1111 1111 1111 y"]
+    texts = ["1 2 " * 50_000, "7" * 100_000, "1-2-" * 50_000, "a@b" + ".c" * 100_000, "x 4111 1111 1111 1111 y",
+             "1.2 " + "1" * 1_000_000, "1.2.3." + "4" * 500_000 + ".5.6x" + ".7" * 100_000]
     rows = personal.found_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.spans for r in rows} == {0: "", 1: "", 2: "", 3: "email:0:200003", 4: "card:2:21"}
+    assert {r.doc_id: r.spans for r in rows if r.doc_id < 6} == {0: "", 1: "", 2: "", 3: "email:0:200003", 4: "card:2:21", 5: ""}
+    assert [(r.n_ip, r.n_card) for r in rows if r.doc_id == 6] == [(100_000 // 4, 0)]
 
 
 def teaching(n=12):
@@ -104,6 +106,29 @@ def test_numbers_of_words(spark):
         assert r.n == [sum(w <= p for w in words) - 1 for s, e in rows[r.k][2] for p in (s, e - 1)], texts[r.k]
 
 
+def test_bounds_strike_no_pattern_that_is_confident(spark):
+    """Patterns of many counts of sure and of other followers: every one that all rows make confident is hopeful on shares of them."""
+    dice = random.Random(2)
+    rows, edges = [], set()
+    for p in range(60):
+        n, others = dice.randrange(2, 40), dice.choice([0, 0, 1, 2, 5, 10])
+        for i in range(n):
+            rows.append(f"ab pa{p}x is user{p}v{i}@mail.com now")
+            edges.add((f"pa{p}x is", i))
+        rows += [f"ab pa{p}x is other{p}z{i} now" for i in range(others)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    text = F.col("text")
+    parsed = frame.select(F.col("doc_id").alias("row"), "text", personal.seeds_and_held(text, personal.base_spans(text)).alias("words"))
+    table = parsed.select("row", "text", "words.seeds", "words.held").cache()
+    seeds = table.select(F.inline("seeds")).distinct()
+    after = personal._followers(table)
+    whole = seeds.withColumn("seed", F.lit(True)).union(after.withColumn("seed", F.lit(False)))
+    want = {r.pattern for r in personal.confident_patterns(whole, rounds=1).collect()}
+    hopeful = {r.pattern for r in personal.hopeful_patterns(table, seeds, personal.LEAST_SEEDS, personal.LEAST_CONFIDENCE).collect()}
+    assert want and want <= hopeful and {r.pattern for r in personal.telling_patterns(table, 1, personal.LEAST_SEEDS, personal.LEAST_CONFIDENCE).collect()} == want
+    assert len(hopeful) < 60
+
+
 def test_copies_do_not_make_a_pattern(spark):
     rows = [(k, "please reach me on +1 (988) 555-2000 soon") for k in range(50)] + [(99, "please reach me on QX-77412/9 soon")]
     got = personal.found_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("n_found > 0")
