@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.columns import PIECE, flat, mixed_bits, pieces, word_bounds, word_hashes
@@ -20,6 +20,7 @@ TOXIC_ROWS, ORDINARY_ROWS, CALIBRATION_ROWS = 1500, 6000, 6000  # labelled rows
 WORDS_AT_ONCE = 1 << 19
 SAMPLES = 60_000  # pieces of ordinary text that the dictionary is trained on
 TRAINING_CHARS = 200_000  # longer labelled texts are not trained on; every text is scored whole
+TRAINING_BYTES = 192 << 20  # of text that training reads at most, in the order in which rows are chosen
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096  # of the dictionaries
 TAIL = 48  # bytes of shared text after a window
 RATIO = 8.0  # how much more often than in ordinary text a word of the toxic sample has to occur
@@ -198,8 +199,9 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS + CA
     """A model from a bounded sample of labelled rows that are not held out: of each label, those that come first by hash.
 
     Labels are rows (doc_id, toxic); an id with a label of 1 is toxic, ids or labels that are null are left out. The
-    sample's size does not depend on the input: ``toxic_rows`` and ``ordinary_rows`` texts of up to TRAINING_CHARS characters
-    meet in one task, and the driver gets the model alone.
+    sample's size does not depend on the input: ``toxic_rows`` and ``ordinary_rows`` texts of up to TRAINING_CHARS characters,
+    one for each id (of several the first by its digest), and TRAINING_BYTES of them meet in one task, and the driver gets the
+    model alone.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
@@ -211,7 +213,10 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS + CA
         model = train([(text, toxic) for _, _, text, toxic in rows], TOXIC_ROWS)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(astuple(model))], pa.binary())], names=["model"])
 
-    sample = texts.select(order.alias("at"), F.col("doc_id").cast("string"), "text", F.col("toxic").cast("int")).repartition(1)
+    single = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic"))
+    placed = single.select(order.alias("at"), F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).repartition(1)
+    read = F.sum(F.octet_length("text")).over(Window.orderBy("at", "doc_id"))  # over the chosen rows alone, a bounded number
+    sample = placed.withColumn("read", read).where(F.col("read") <= TRAINING_BYTES).select("at", "doc_id", "text", "toxic")
     found = sample.mapInArrow(run, "model binary").collect()
     return Model(*pickle.loads(found[0][0])) if found else train([], 0)
 

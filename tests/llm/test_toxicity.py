@@ -78,3 +78,16 @@ def test_without_labels_every_score_is_the_base_rate(spark):
     kept = toxicity.without_toxic(odd_documents(spark), labels.limit(0), least=0.9)
     assert kept.columns == odd_documents(spark).columns and kept.count() == 11
     assert toxicity.without_toxic(odd_documents(spark), labels, least=0.0).count() == 0
+
+
+def test_training_reads_one_text_of_an_id_and_a_budget_of_bytes(spark, monkeypatch):
+    """Thousands of rows under one chosen id add nothing to the sample; a budget cuts it in the order of choice."""
+    rows = corpus(300, 3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    hot = next(k for k, _, y in rows if y and zlib.crc32(str(k).encode()) % 5)
+    more = docs.unionByName(spark.createDataFrame([(hot, rows[hot][1])] * 2000, "doc_id long, text string"))
+    one, same = toxicity.fitted(docs, labels), toxicity.fitted(more, labels)
+    assert (one.ordinary, one.toxic, one.weights.tolist(), one.intercept) == (same.ordinary, same.toxic, same.weights.tolist(), same.intercept)
+    monkeypatch.setattr(toxicity, "TRAINING_BYTES", 0)
+    assert len(toxicity.fitted(docs, labels).weights) == 0
