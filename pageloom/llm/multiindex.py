@@ -174,7 +174,7 @@ def visits(q: np.ndarray, parts: tuple, popped: int, lows: list[int], highs: lis
     found: dict[int, list[int]] = {}
     lowest, highest, read, at = min(lows), max(highs), 0, 0
     for bound, i, j in multi_sequence(up1, up2):
-        if bound < lowest or (at >= popped and read >= budget):
+        if bound < lowest or (found and read >= budget):  # a round that is not the last visits one cell at least
             break
         at += 1
         read += int(n[i, j])
