@@ -9,15 +9,15 @@ from catalog.registry import aux, facts, failures, register, results
 from catalog.site_queries import _submitted, _SUBMITTED
 from pageloom.functions.urls import is_sensitive
 from pageloom.operators import audit, export, matrix, sampling, scoring
-from pageloom.plans.guidance import GUIDANCE, guidance
+from pageloom.plans.guidance import GUIDANCE, LOOKS_FOR, guidance
 from pageloom.session import materialize, shared_folder
 from pageloom.sources import sinks
 
-_INFO = "info(check_id, why, fix, example, when_na) AS (VALUES " + ", ".join(
-    "(" + ", ".join("NULL" if v is None else lit(v) for v in g[:5]) + ")" for g in GUIDANCE) + ")"
+_INFO = "info(check_id, why, fix, example, when_na, looks_for) AS (VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if v is None else lit(v) for v in (*g[:5], LOOKS_FOR[g[0]])) + ")" for g in GUIDANCE) + ")"
 _CHK = ("chk AS (SELECT r.*, CASE WHEN ratio IS NULL THEN 'N/A' WHEN ratio >= 1 THEN 'PASS' WHEN ratio <= 0 THEN 'FAIL' ELSE 'PARTIAL' END AS mark, "
         "lower(CASE WHEN ratio IS NULL THEN 'not_applicable' WHEN ratio >= 1 THEN 'pass' WHEN ratio <= 0 THEN 'fail' ELSE 'partial' END) AS status, "
-        "why, fix, example, CASE WHEN ratio IS NULL THEN when_na END AS when_na FROM results r JOIN info USING (check_id)), "
+        "why, fix, example, looks_for, CASE WHEN ratio IS NULL THEN when_na END AS when_na FROM results r JOIN info USING (check_id)), "
         "pg AS (SELECT q.*, pos = 1 AS leads, path || coalesce(' (' || reason || ')', '') AS txt FROM franked q JOIN results USING (report_id, check_id) WHERE ratio < 1)")
 _TXT = "regexp_replace(format('{:.1f}', score), '[.]0$', '')"
 GENERATED = "2024-02-01T00:00:00.000Z"
@@ -42,11 +42,11 @@ def _model(spark, sf_dir):
 
 
 @register("export_checks", audit_query(
-    "SELECT c.report_id, c.check_id, status, why, fix, example, when_na, path, reason FROM chk c LEFT JOIN pg USING (report_id, check_id)", FAILURES, _INFO, _CHK))
+    "SELECT c.report_id, c.check_id, status, why, fix, example, looks_for, when_na, path, reason FROM chk c LEFT JOIN pg USING (report_id, check_id)", FAILURES, _INFO, _CHK))
 def export_checks(spark, sf_dir):
     model = _model(spark, sf_dir)
     return model[3].join(model[4], ["report_id", "check_id"], "left").select(
-        "report_id", "check_id", "status", "why", "fix", "example", "when_na", "path", "reason")
+        "report_id", "check_id", "status", "why", "fix", "example", "looks_for", "when_na", "path", "reason")
 
 
 @register("export_actions", audit_query(

@@ -27,8 +27,8 @@ NO_ISSUES = "No issues found - every applicable check passed.\n"
 
 def export_checks(results: DataFrame, guidance: DataFrame) -> DataFrame:
     """Checks with status and guidance; their failing pages are the rows of ``export_pages``."""
-    return results.join(small(guidance.select("check_id", "why", "fix", "example", "when_na")), "check_id", "left").select(
-        "report_id", "check_id", "ordinal", "label", "dimension", "severity", "ratio", "where", "why", "fix", "example",
+    return results.join(small(guidance.select("check_id", "why", "fix", "example", "when_na", "looks_for")), "check_id", "left").select(
+        "report_id", "check_id", "ordinal", "label", "dimension", "severity", "ratio", "where", "why", "fix", "example", "looks_for",
         F.when(F.col("ratio").isNull(), F.col("when_na")).alias("when_na"), check_status(F.col("ratio")).alias("status"))
 
 

@@ -1,4 +1,4 @@
-"""Guidance per check: why it matters, how to fix it, an example, and when it does not apply.
+"""Guidance per check: why it matters, how to fix it, an example, when it does not apply, and what it reads.
 
 A deployment may pass its own table with these columns wherever one is taken; the texts below are the default.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-COLUMNS = "check_id string, why string, fix string, example string, when_na string"
+COLUMNS = "check_id string, why string, fix string, example string, when_na string, looks_for string"
 
 _NO_TRACKING = "No tracking was visible, or a tag manager may load it where a crawl cannot see it."
 _NO_HEADERS = "The response headers of the root URL were not recorded."
@@ -72,8 +72,69 @@ GUIDANCE = [
     ("TB34", "Referrers can leak addresses.", "Send a referrer policy.", None, _NO_HEADERS),
     ("TB35", "Unused browser features should be off.", "Send a permissions policy.", None, _NO_HEADERS),
 ]
+# What a check reads, and from what on it passes.
+LOOKS_FOR = {
+    "S1": "Length of the trimmed title: 15 to 60 characters passes.",
+    "S2": "Length of the trimmed description: 70 to 160 characters passes.",
+    "S3": "A canonical link element anywhere in the source.",
+    "S4": "A robots or googlebot meta element whose content says noindex.",
+    "S5": "The number of main headings in the markup: one or more passes.",
+    "S10": "Words of visible text: 300 or more passes.",
+    "S12": "An Open Graph title or image property.",
+    "S13": "Images with an alt attribute, as a share of all images.",
+    "S14": "The answer for the sitemap address, and sitemap lines in robots.txt.",
+    "S15": "Titles that occur on a single page, as a share of all titles.",
+    "S16": "Descriptions that occur on a single page, as a share of all descriptions.",
+    "S17": "The status code, and short pages whose title or heading says that nothing was found.",
+    "S18": "The order of heading levels: one main heading and no level left out on the way down.",
+    "S21": "Every language value of pages that declare other versions.",
+    "S23": "The canonical address against the address of the page, without scheme, query and case.",
+    "T1": "Signatures of analytics vendors in sources and in the tag container.",
+    "T2": "Property numbers and loaders of the retired analytics generation.",
+    "T3": "The tag manager's loader or a container number.",
+    "T5": "A consent command in sources or in the container.",
+    "T6": "Both newer consent fields on one page, or in the container.",
+    "T7": "Signatures of consent banners.",
+    "T8": "Signatures of advertising and social pixels.",
+    "T12": "Session recorders on sites without a consent banner.",
+    "T15": "A data layer that is set up or pushed to.",
+    "T20": "Where the consent default stands in the first HTML against the first tag loader.",
+    "G1": "A linked-data script element.",
+    "G3": "Words in the HTML before scripts run against words of the rendered home page.",
+    "G4": "The first prose line of the text: 60 to 400 characters that end as a sentence.",
+    "G5": "Question markup, headings that ask, or summaries that ask.",
+    "G6": "Percentages, amounts of money, magnitudes and ratios: three or more pass.",
+    "G7": "The newest declared date, by its age in days.",
+    "G8": "An author, an organisation or profile links in the markup.",
+    "G9": "Rules of robots.txt that shut out crawlers of AI services.",
+    "G11": "Entity types with the properties that make them useful.",
+    "G12": "Directives that forbid snippets, in pages and in the root's headers.",
+    "G14": "Three list items, two table rows or a table.",
+    "G15": "A link to another host that is public, academic or widely cited.",
+    "G16": "The answer for the llms.txt address.",
+    "G17": "The brand as the site name, the organisation and the title state it.",
+    "G18": "A profile list with an encyclopedia entry or two addresses.",
+    "G19": "Sections whose first prose line has 30 to 130 words and no filler opening, as a share.",
+    "G20": "A summary heading near the top with a list behind it.",
+    "TB1": "The scheme of each page's address.",
+    "TB5": "Rules of robots.txt that shut out everyone.",
+    "TB3": "Images, styles and scripts that secure pages load without encryption.",
+    "TB4": "A viewport meta element.",
+    "TB10": "A character set and a language of the document.",
+    "TB12": "An icon link element.",
+    "TB6": "Images with both dimensions or an aspect ratio, as a share.",
+    "TB20": "Scripts in the head that are neither deferred, asynchronous nor modules.",
+    "TB19": "Modern formats and lazy loading, as shares of all images.",
+    "TB22": "The document type at the very begin of the source.",
+    "TB30": "The transport-security header and how long it holds: a year or more passes.",
+    "TB31": "The content policy header and whether it allows unsafe code.",
+    "TB32": "The header against content sniffing.",
+    "TB33": "The frame options header, or frame ancestors in the content policy.",
+    "TB34": "The referrer policy header.",
+    "TB35": "The permissions policy header or its older name.",
+}
 
 
 def guidance(spark: SparkSession) -> DataFrame:
     """58 fixed rows; safe to broadcast."""
-    return spark.createDataFrame(GUIDANCE, COLUMNS)
+    return spark.createDataFrame([(*g, LOOKS_FOR[g[0]]) for g in GUIDANCE], COLUMNS)
