@@ -151,6 +151,8 @@ class _FixedWindow:
     of its hits is the first to open a new window, so the summary is a step function: the latest incoming window end for
     each distinct outcome. A window that is open when the run begins ends within one length of the run's first hit, so
     the function has at most as many steps as there are hits in that one length of time, however long the run is.
+
+    Rows may have a ``weight``, the hits that they stand for, and ``seen``, the time that a reset is counted from.
     """
 
     def __init__(self, limit: int, window_us: int) -> None:
@@ -166,9 +168,13 @@ class _FixedWindow:
         used = int(np.searchsorted(until, last, side="right")) + 1
         return until[:used], starts[:used], counts[:used], n, last
 
+    @staticmethod
+    def _weights(rows: pd.DataFrame) -> np.ndarray:
+        return rows["weight"].to_numpy(dtype=np.int64) if "weight" in rows else np.ones(len(rows), np.int64)
+
     def summarize(self, rows: pd.DataFrame) -> tuple:
         t = rows["at"].to_numpy(dtype=np.int64)
-        n = len(t)
+        n, before = len(t), np.concatenate(([0], np.cumsum(self._weights(rows))))
         nxt = np.append(np.searchsorted(t, t + self.window, side="right"), n)  # first hit that replaces hit i's window
         last = np.arange(n + 1)
         jump = nxt.copy()
@@ -179,7 +185,7 @@ class _FixedWindow:
             last = np.where(live, last[np.minimum(jump, n)], last)
             jump = np.where(live, jump[np.minimum(jump, n)], jump)
         final = last[:n]
-        return self._steps(t, t[final], n - final, n, int(t[0]) + self.window)
+        return self._steps(t, t[final], before[-1] - before[final], int(before[-1]), int(t[0]) + self.window)
 
     def merge(self, first: tuple, second: tuple) -> tuple:
         until, starts, counts, n, last = first
@@ -201,9 +207,10 @@ class _FixedWindow:
             return state[0], state[1] + n
         return int(starts[i]), int(counts[i])
 
-    def walk(self, state: tuple[int, int] | None, t: np.ndarray) -> tuple[tuple[int, int] | None, np.ndarray, np.ndarray]:
+    def walk(self, state: tuple[int, int] | None, t: np.ndarray, weights: np.ndarray | None = None) -> tuple[tuple[int, int] | None, np.ndarray, np.ndarray]:
         """Window start and hits so far at each hit: one step per window, not per hit."""
         n = len(t)
+        upto = np.arange(n + 1) if weights is None else np.concatenate(([0], np.cumsum(weights)))
         starts, counts = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
         i = 0
         while i < n:
@@ -211,34 +218,44 @@ class _FixedWindow:
                 state = (int(t[i]), 0)
             j = int(np.searchsorted(t, state[0] + self.window, side="right"))
             starts[i:j] = state[0]
-            counts[i:j] = state[1] + np.arange(1, j - i + 1)
-            state = (state[0], state[1] + j - i)
+            counts[i:j] = state[1] + upto[i + 1 : j + 1] - upto[i]
+            state = (state[0], state[1] + int(upto[j] - upto[i]))
             i = j
         return state, starts, counts
 
     def emit(self, state: tuple[int, int] | None, rows: pd.DataFrame) -> tuple[tuple[int, int], pd.DataFrame]:
         t = rows["at"].to_numpy(dtype=np.int64)
-        state, starts, counts = self.walk(state, t)
+        state, starts, counts = self.walk(state, t, self._weights(rows))
+        t = rows["seen"].to_numpy(dtype=np.int64) if "seen" in rows else t
         out = rows[["key", "request_id"]].copy()
         out["hits"] = counts
         out["window_start_us"] = starts
         out["allowed"] = counts <= self.limit
         out["remaining"] = np.maximum(0, self.limit - counts)
         out["reset_ms"] = np.floor((starts + self.window - t) / 1000 + 0.5).astype(np.int64)
-        return state, out
+        return state, out[rows["asks"].to_numpy(dtype=bool)] if "asks" in rows else out
 
 
 RATE_SCHEMA = ("key string, request_id bigint, hits bigint, window_start_us bigint, allowed boolean, remaining bigint, "
                "reset_ms bigint")
 
 
-def rate_limit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
+def rate_limit(requests: DataFrame, limit: int, window_ms: int, state: DataFrame | None = None) -> DataFrame:
     """Fixed-window limiter over ``(key, request_id, ts)``: verdict, budget left and milliseconds to the reset.
 
-    Requests past the limit keep counting. The windows are anchored at each key's first hit, not on the clock.
+    Requests past the limit keep counting. The windows are anchored at each key's first hit, not on the clock. With
+    ``state``, the counters ``(key, window_start_us, count)`` of earlier requests, their windows go on: a counter stands before
+    its key's requests as one row of that many hits, and requests older than its window count in it.
     """
     rows = requests.select("key", "request_id", micros(F.col("ts")).alias("at"))
-    return ordered_fold(rows, "key", ["at", "request_id"], _FixedWindow(limit, window_ms * 1000), RATE_SCHEMA)
+    if state is None:
+        return ordered_fold(rows, "key", ["at", "request_id"], _FixedWindow(limit, window_ms * 1000), RATE_SCHEMA)
+    held = state.select("key", "window_start_us", "count").join(rows.select("key").distinct(), "key", "left_semi")
+    asked = salted_join(rows, held.select("key", "window_start_us"), ["key"], "left", "request_id").select(
+        "key", "request_id", F.greatest("at", "window_start_us").alias("at"), F.col("at").alias("seen"), F.lit(1).cast("long").alias("weight"), F.lit(True).alias("asks"))
+    carried = held.select("key", F.lit(0).cast("long").alias("request_id"), F.col("window_start_us").alias("at"), F.col("window_start_us").alias("seen"),
+                          F.col("count").cast("long").alias("weight"), F.lit(False).alias("asks"))
+    return ordered_fold(asked.unionByName(carried), "key", ["at", "asks", "request_id"], _FixedWindow(limit, window_ms * 1000), RATE_SCHEMA)
 
 
 def rate_state(verdicts: DataFrame) -> DataFrame:

@@ -90,13 +90,18 @@ def tables_so_far(spark: SparkSession) -> int:
 def settle(df: DataFrame, name: str, mark: int) -> DataFrame:
     """Writes ``df`` as ``materialize`` does and removes every table written since ``mark``: only steps towards ``df`` may lie there."""
     out = materialize(df, name)
-    written = _WRITTEN[df.sparkSession.sparkContext.applicationId]
-    steps = written[mark:-1]
-    del written[mark:-1]
-    _remove(df.sparkSession, steps)
+    forget(df.sparkSession, mark, -1)
     return out
 
 
+def forget(spark: SparkSession, mark: int, upto: int | None = None) -> None:
+    """Removes the tables written since ``mark`` whose readers are done."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    steps = written[mark:upto]
+    del written[mark:upto]
+    _remove(spark, steps)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint, for tables of a fixed size only (the rubric, the guidance table, word lists)."""
     return F.broadcast(df)

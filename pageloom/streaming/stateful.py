@@ -1,8 +1,7 @@
 """Keyed state over streams: the rate limiter and the stuck-run watchdog.
 
-A key's state has one owner, so its rows of a micro-batch go through one task as a stream of Arrow batches with two
-numbers of state; size the batches with the source's limits. History is replayed by the batch operator, which splits
-hot keys.
+A key's state has one owner, so its rows of a micro-batch go through one task; size the batches with the source's limits.
+Where a key may hold most of a batch, ``runner.limited_to_table`` runs the batch operator, which splits hot keys, batch by batch.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int, lateness:
     """The fixed-window limiter on a stream of ``(key, request_id, ts)``; requests of a batch count in time order.
 
     A key's state goes when the watermark has passed the end of its window: whatever comes later opens a new one.
-    A key's rows of a micro-batch are taken as arrays of times, one Arrow batch after the other, never as one table.
+    A key's rows of a micro-batch are held as two arrays, of times and ids, to be sorted.
     """
     fold = _FixedWindow(limit, window_ms * 1000)
 
@@ -73,9 +72,9 @@ def watchdog_stream(reports: DataFrame, minutes: int = 10, lateness: str = "0 se
                 return
             first = closed = None
             for rows in batches:
-                at = rows["ts"].map(lambda t: int(t.timestamp() * 1000))
+                at = rows["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
                 first = min([at.min(), *([] if first is None else [first])])
-                done = at[~rows["status"].isin(OPEN_STATES)]
+                done = at[~rows["status"].isin(OPEN_STATES).to_numpy()]
                 if len(done):
                     closed = min([done.min(), *([] if closed is None else [closed])])
             deadline = int(first) + wait_ms if held is None else held

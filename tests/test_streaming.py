@@ -1,9 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from pageloom.operators.limits import rate_limit
-from pageloom.streaming.runner import file_stream, latest_emitted, run_to_table
+from pageloom.streaming.runner import file_stream, latest_emitted, limited_to_table, run_to_table
 from pageloom.streaming.stateful import rate_limit_stream, watchdog_stream
 from pageloom.streaming.steps import current_steps, report_state, with_full_rows
 
@@ -88,3 +89,27 @@ def test_full_rows_are_joined_inside_the_stream(spark, tmp_path):
     assert batches[3] == {"b": ("queued", None), "d": ("done", None)}
     last = {r.report_id: (r.status, r.domain, r.seq) for r in latest_emitted(rows, ["report_id"]).collect()}
     assert last == {"a": ("done", "a.example", 4), "b": ("queued", None, 6), "c": ("error", "c.example", 5), "d": ("done", None, 7)}
+
+
+def test_limiter_by_batches_with_a_hot_key(spark, tmp_path):
+    """Counters go on from batch to batch, a hot key is split over tasks, late requests count in the open window, and old counters go."""
+    schema = "key string, request_id long, ts timestamp"
+    rnd = random.Random(6)
+    batches = []
+    for b in range(4):
+        rows = [("hot", 10_000 * b + i, T0 + timedelta(milliseconds=rnd.randrange(60_000 * b, 60_000 * (b + 1)))) for i in range(3000)]
+        rows += [(f"k{i % 7 + b}", 10_000 * b + 5000 + i, T0 + timedelta(seconds=60 * b + i)) for i in range(40)]
+        batches.append(rows + [("hot", 10_000 * b + 9000, T0 + timedelta(seconds=60 * b - 3))])
+    write(spark, tmp_path / "in", batches, schema)
+    stream = file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_batch=1)
+    got = {r.request_id: (r.hits, r.allowed, r.remaining, r.reset_ms) for r in limited_to_table(stream, 500, 25_000).collect()}
+    held, want, w = {}, {}, timedelta(seconds=25)
+    for rows in batches:
+        for key, i, ts in sorted(rows, key=lambda r: (r[0], max(r[2], held[r[0]][0]) if r[0] in held else r[2], r[1])):
+            start, n = held.get(key, (None, 0))
+            start, n = (ts, 1) if start is None or start < ts - w else (start, n + 1)
+            held[key] = (start, n)
+            want[i] = (n, n <= 500, max(0, 500 - n), int((start + w - ts) / timedelta(milliseconds=1)))
+        latest = max(ts for _, _, ts in rows)
+        held = {k: v for k, v in held.items() if v[0] + w >= latest}
+    assert got == want
