@@ -9,7 +9,7 @@ from catalog.registry import once, register
 from pageloom.operators.limits import micros
 from pageloom.session import materialize, shared_folder
 from pageloom.streaming.runner import file_stream, latest_emitted, limited_to_table, run_to_table
-from pageloom.streaming.stateful import watchdog_stream
+from pageloom.streaming.stateful import rate_limit_stream, watchdog_stream
 from pageloom.streaming.steps import current_steps, report_state, step_feed, with_full_rows
 from pageloom.workload import table
 
@@ -72,8 +72,18 @@ def stream_terminal_reports(spark, sf_dir):
     return latest_emitted(emitted, ["report_id"]).where("n_events IS NOT NULL").select("report_id", "status", "seq", "n_events")
 
 
-@register("stream_rate_limit", "WITH " + _RATE_SQL.format(key=_USER_KEY, win=_DAY_MS * 1000) + " SELECT " + _VERDICT.format(lim=2, win=_DAY_MS * 1000) + " FROM walk")
+_LIMIT_SQL = "WITH " + _RATE_SQL.format(key=_USER_KEY, win=_DAY_MS * 1000) + " SELECT " + _VERDICT.format(lim=2, win=_DAY_MS * 1000) + " FROM walk"
+
+
+@register("stream_rate_limit", _LIMIT_SQL)
 def stream_rate_limit(spark, sf_dir):
+    requests = _stream(spark, sf_dir).selectExpr(f"{_USER_KEY} AS key", "event_id AS request_id", "ts")
+    return run_to_table(rate_limit_stream(requests, 2, _DAY_MS), "rates").drop("_batch", "window_start_us")
+
+
+@register("stream_rate_limit_hot_keys", _LIMIT_SQL)
+def stream_rate_limit_hot_keys(spark, sf_dir):
+    """The same by batches through the segmented fold, where a key may hold a whole batch."""
     requests = _stream(spark, sf_dir).selectExpr(f"{_USER_KEY} AS key", "event_id AS request_id", "ts")
     return limited_to_table(requests, 2, _DAY_MS, "rates").drop("_batch", "window_start_us")
 

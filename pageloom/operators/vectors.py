@@ -98,8 +98,8 @@ def build_index(corpus: DataFrame, cells: int = CELLS, sample: int = SAMPLE) ->
     rest = [f for f in corpus.schema.fields if f.name != "embedding"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["unit array<double>", "far double", "cell int"])
     placed = corpus.mapInArrow(_placed(centres, corpus.columns.index("embedding")), schema)
-    spread = F.pmod(F.xxhash64(*[f.name for f in rest]), F.lit(salts(corpus.sparkSession)))
-    rows = materialize(placed.repartition("cell", spread), "vector-index", by="cell")
+    # By range, so that a cell lies in a few files and a full one in several.
+    rows = materialize(placed.repartitionByRange("cell", F.xxhash64(*[f.name for f in rest])), "vector-index", by="cell")
     radii, counts = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     for r in rows.where(F.col("cell") != NONE).groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
         radii[r["cell"]], counts[r["cell"]] = r["far"], r["n"]
