@@ -24,7 +24,9 @@ def rotated(turns: DataFrame, context: Sequence[str] = CONTEXT, stretch: int = S
     A null role is the participant ``unknown``; a null text is an empty turn; a null turn comes first. Turns that share a
     number go by role, then text; ``part`` tells them apart, and equal ones are both kept. Marks inside a text are broken up
     (a blank after ``<``), so that nothing said can pose as markup. A null conv_id is a conversation of its own. A
-    conversation of any length is never gathered: running sums are taken over stretches of turns, then over the stretches.
+    conversation of any length is never gathered: running sums are taken over stretches of turns, then over the stretches. Only
+    turns that share one number, or have none, are one window. Long texts stay whole; other columns play no part; an empty table
+    gives an empty result.
     """
     said = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"<(?=\|im_(start|end)\|>)", "< ")
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),

@@ -155,7 +155,8 @@ def found_secrets(docs: DataFrame, allow: Sequence[str] = ALLOW) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans)`` for every row of the documents.
 
     Offsets are code points, the end exclusive. Base spans always stay; the allow list speaks only to spans that entropy
-    adds. Null and empty texts have no spans (and the digest of nothing); rows that repeat give a result each.
+    adds. Null and empty texts have no spans (and the digest of nothing); texts of any length are read whole; rows that repeat give a
+    result each; other columns play no part; an empty table gives an empty result.
     """
     counts = [f"n_{k}" for k in KINDS]
 
@@ -182,7 +183,10 @@ def masked(text: str, found: list[tuple[int, int, int]], mask: str) -> str:
 
 
 def without_secrets(docs: DataFrame, allow: Sequence[str] = ALLOW, mask: str = "<hidden>") -> DataFrame:
-    """All documents, their secrets masked and ``n_chars`` (where there is such a column) brought up to date; rows without any pass unchanged."""
+    """All documents, their secrets masked and ``n_chars`` (where there is such a column) brought up to date.
+
+    Rows without secrets pass unchanged, those with null and empty texts among them; all columns stay as they came.
+    """
     place = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

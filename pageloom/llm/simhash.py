@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
 
     Equal fingerprints are one node, so thousands of copies cost one comparison. Blank and null texts have fingerprint 0
     and are linked like any other. Rows that repeat a doc_id each get a result; a null doc_id is never a component_id
-    unless no linked row has an id, when component_id is null. An empty table gives an empty result.
+    unless no linked row has an id, when component_id is null. Long texts are read whole, in steps; other columns, whatever their
+    names, play no part. An empty table gives an empty result.
     """
     marks = materialize(fingerprints(docs, width), "fingerprints")
     first = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
