@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pageloom.operators import access
+from pageloom.session import salted_join
 from pageloom.sources.crawl import lowered_headers, robots_text, sitemap_found, unwrapped_json
 
 NOW = datetime(2024, 6, 1)
@@ -72,3 +73,19 @@ def test_source_rules(spark):
     assert h.select(lowered_headers(F.col("h"))).first()[0] == {"x-a": "1, 2", "b": "3"}
     j = spark.createDataFrame([('{"a":1}',), ('"{\\"a\\":1}"',), ("x",)], "j string")
     assert [r[0] for r in j.select(unwrapped_json(F.col("j"))).collect()] == ['{"a":1}', '{"a":1}', None]
+
+
+def test_copies_of_a_salted_join_are_counted_before_they_are_broadcast(spark, capsys):
+    """The right side alone is below the size check, its copies for all salts are not."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400000")
+    try:
+        left = spark.range(300_000).withColumnRenamed("id", "report_id").withColumn("row", F.col("report_id"))
+        right = spark.range(20_000).withColumnRenamed("id", "report_id")
+        joined = salted_join(left, right, ["report_id"], "left_semi", "row")
+        joined.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert joined.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
