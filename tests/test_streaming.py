@@ -60,6 +60,29 @@ def test_watchdog_outcome_follows_event_times(spark, tmp_path):
     assert sorted(r.report_id for r in out) == ["a", "a", "c"]  # a second time only long after its mark has gone
 
 
+def test_watchdog_judges_a_bucket_of_reports_at_once(spark, tmp_path):
+    """Many reports, null among their ids, share a state; each ends by its own times, in the batches and at the end of the stream."""
+    schema = "report_id string, status string, ts timestamp"
+    rnd = random.Random(3)
+    rows = [(None if r == 0 else f"r{r}", rnd.choice(["queued", "queued", "done", None]), T0 + timedelta(seconds=rnd.randrange(3600))) for r in range(400) for _ in range(3)]
+    rows.sort(key=lambda x: x[2])
+    write(spark, tmp_path / "in", [[("before", "done", T0 - timedelta(minutes=1))], *[rows[k : k + 300] for k in range(0, 1200, 300)]], schema)
+    stream = file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_batch=1)
+    query = watchdog_stream(stream, keep_minutes=10_000, buckets=5).writeStream.format("memory").queryName("flags").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    first, closed, wait = {}, {}, timedelta(minutes=10)
+    for report, status, ts in rows:
+        first.setdefault(report, ts)
+        if status != "queued":
+            closed.setdefault(report, ts)
+    end = rows[-1][2]
+    want = {r for r in first if (closed[r] > first[r] + wait if r in closed else first[r] + wait <= end)}
+    out = [r.report_id for r in spark.table("flags").collect()]
+    assert len(out) == len(set(out)) and set(out) == want and None in first
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 5
+
+
 def test_limiter_forgets_keys_whose_window_is_over(spark, tmp_path):
     schema = "key string, request_id long, ts timestamp"
     batches = [[(f"k{b}", 10 * b + i, T0 + timedelta(minutes=b, seconds=i)) for i in range(3)] for b in range(5)]
