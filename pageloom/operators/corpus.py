@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from pageloom.session import materialize, salted_join
 BLOCK = 1_000
 CHUNK_CHARS = 1_200
 CHUNK_OVERLAP = 120
+TEXTS_AT_ONCE = 4 << 20
 
 
 # --- documents and chunks -----------------------------------------------------------------------------------------
@@ -146,12 +150,29 @@ def chunked(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) ->
     return [c for c in stripped if c]
 
 
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts in runs of at most ``size`` bytes, or of one text that is longer."""
+    begin = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > begin and held + (n or 0) > size:
+            yield texts.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n or 0
+    if begin < len(texts):
+        yield texts.slice(begin)
+
+
 def separator_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks that prefer paragraph, line and word ends, of whole documents; texts pass in Arrow batches."""
+    """Chunks that prefer paragraph, line and word ends, of whole documents.
+
+    Texts pass in Arrow batches of many rows, whatever their lengths; they are cut, and their chunks go back, in slices of ``TEXTS_AT_ONCE`` bytes.
+    """
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunked(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in _slices(batch, TEXTS_AT_ONCE):
+                yield pa.array([chunked(t, size, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return docs.select(
         *[c for c in docs.columns if c != "content"], F.posexplode(cut("content")).alias("chunk_no", "content"))

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,13 @@ def test_quotes_of_one_large_report(spark):
     finally:
         quotes.PHRASES_AT_ONCE = before
     assert got == {("big", c, v) for c, v, q in wanted if len(q.strip()) >= 8 and " ".join(q.split()) in joined} and len(got) > 1500
+
+
+def test_separator_chunks_pass_in_slices(spark, monkeypatch):
+    """Texts of one Arrow batch are cut a slice at a time; what comes out is every chunk of every text, in order."""
+    assert [s.to_pylist() for s in corpus._slices(pa.array(["aaa", "bb", None, "cccccc", "", "d"]), 5)] == [["aaa", "bb", None], ["cccccc"], ["", "d"]]
+    monkeypatch.setattr(corpus, "TEXTS_AT_ONCE", 3000)
+    texts = [f"{i} " + "one two three\n" * (i * 7) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "page_ord int, content string").coalesce(1)
+    got = {(r.page_ord, r.chunk_no): r.content for r in corpus.separator_chunks(docs).collect()}
+    assert got == {(i, k): c for i, t in enumerate(texts) for k, c in enumerate(corpus.chunked(t))}
