@@ -4,6 +4,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import registry
+from pageloom import workload
 from pageloom.operators import corpus, quotes
 
 PAGE_COLS = "report_id string, page_ord bigint, source_url string, title string, markdown string, html string"
@@ -150,3 +152,17 @@ def test_separator_chunks_pass_in_slices(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "page_ord int, content string").coalesce(1)
     got = {(r.page_ord, r.chunk_no): r.content for r in corpus.separator_chunks(docs).collect()}
     assert got == {(i, k): c for i, t in enumerate(texts) for k, c in enumerate(corpus.chunked(t))}
+
+
+def test_facts_deal_out_files_of_one_row_group(spark, tmp_path, monkeypatch, capsys):
+    rows = [(i if i % 5 else None, f"https://a.example/{i}", f"<html><p>{i}</p></html>") for i in range(20)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = [(i if i % 5 else None, f"text {i}", "en", "src") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    plain, dealt = (workload.crawl(spark, str(tmp_path), dealt=d) for d in (False, True))
+    assert dealt.exceptAll(plain).isEmpty() and dealt.count() == plain.count() == 40
+    monkeypatch.setattr(registry, "materialize", lambda df, name: df)
+    monkeypatch.setattr(registry, "_TABLES", {})
+    registry.facts(spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(page_id" in plan
