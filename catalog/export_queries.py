@@ -45,7 +45,7 @@ def _model(spark, sf_dir):
     "SELECT c.report_id, c.check_id, status, why, fix, example, looks_for, when_na, path, reason FROM chk c LEFT JOIN pg USING (report_id, check_id)", FAILURES, _INFO, _CHK))
 def export_checks(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return model[3].join(model[4], ["report_id", "check_id"], "left").select(
+    return export.with_pages(model[3], model[4]).select(
         "report_id", "check_id", "status", "why", "fix", "example", "looks_for", "when_na", "path", "reason")
 
 
@@ -54,7 +54,7 @@ def export_checks(spark, sf_dir):
     "(report_id, check_id)", FAILURES, _INFO, _CHK, PLAN))
 def export_actions(spark, sf_dir):
     model = _model(spark, sf_dir)
-    return model[2].join(model[4], ["report_id", "check_id"], "left").select(
+    return export.with_pages(model[2], model[4]).select(
         "report_id", "rank", "check_id", "why", "fix", "example", "path", "reason")
 
 

@@ -41,6 +41,14 @@ def export_pages(rows: DataFrame) -> DataFrame:
         "leads", F.struct("first_ord", "path") == F.col("first")).drop("first")
 
 
+def with_pages(findings: DataFrame, failing: DataFrame) -> DataFrame:
+    """Findings with a row per failing page, or one without a page: a left join whose pages of one finding are spread over tasks."""
+    keys = ["report_id", "check_id"]
+    listed = salted_join(failing.select(*keys, "path", "reason"), findings, keys, "inner", "path")
+    none = findings.join(failing.filter("leads").select(*keys), keys, "left_anti")
+    return listed.unionByName(none.withColumns({c: F.lit(None).cast("string") for c in ("path", "reason")}))
+
+
 def export_actions(plan: DataFrame, checks: DataFrame) -> DataFrame:
     """Ranked actions with guidance."""
     info = checks.select("report_id", "check_id", "why", "fix", "example")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import export_queries
-from pageloom.operators import export
+from pageloom.operators import audit, export
 from pageloom.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,24 @@ def test_large_reports_lose_nothing(spark, model):
     parts = export.json_parts(*model[:4], model[4].unionByName(many), *model[5:], generated_at="now")
     doc = json.loads(documents(parts.filter(F.col("report_id") == one))[one])
     assert sum(len(c["failingPages"]) for x in doc["dimensions"] for c in x["checks"]) >= 30_000
+
+
+def test_pages_of_one_finding_are_spread_and_findings_without_pages_stay(spark):
+    findings = spark.createDataFrame([("r", "S1", 1), ("r", "S2", 2), (None, "S1", 3)], "report_id string, check_id string, rank int")
+    rows = [("r", "S1", f"/{i}", "why", i == 0) for i in range(50)] + [("x", "S1", "/", "why", True)]
+    failing = spark.createDataFrame(rows, "report_id string, check_id string, path string, reason string, leads boolean")
+    out = export.with_pages(findings, failing)
+    want = findings.join(failing.drop("leads"), ["report_id", "check_id"], "left").select(*out.columns)
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty() and out.count() == 52
+
+
+def test_failures_are_dealt_out_before_they_are_sorted(spark, capsys):
+    """All failures of one path in one file still go to several tasks."""
+    rows = [("r", p, "/", "S1", (f"{p}",)) for p in range(400)]
+    failures = spark.createDataFrame(rows, "report_id string, page_ord long, path string, check_id string, reason struct<note:string>").coalesce(1)
+    paths = audit.failing_paths(failures)
+    assert [(r.first_ord, r.reason.note) for r in paths.collect()] == [(0, "0")]
+    paths.explain()
+    plan = capsys.readouterr().out
+    sorts = [line for line in plan.splitlines() if "hashpartitioning(report_id" in line]
+    assert any("page_ord" in line for line in sorts) and any("page_ord" not in line for line in sorts)
