@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.session import materialize
+from pageloom.session import materialize, small
 
 # The base patterns of the contract, in order of kind. The e-mail pattern may only begin where a run of its first
 # signs does, or where the last match ended, that of addresses only at the first digit of a run (a match ends at the last of one);
@@ -24,12 +24,14 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "found")
 WORD = r"\S+"
+BLANKS = "\t\n\x0b\f\r"  # with the plain blank, what WORD stops at
 OPENING = r"^[\"'(\[{<]++"
 EDGE_SIGNS = OPENING + r"|(?:\G|(?<![\"')\]}>,;:.!?]))[\"')\]}>,;:.!?]++\z"
 ROUNDS = 3
 LEAST_SEEDS = 5  # different seed entities that a pattern has to stand before
 LEAST_CONFIDENCE = 0.8
 SHARES = (64, 8)  # of the rows, one in so many, that patterns are tried on before all rows are read for those that are left
+SLOTS = 1 << 16  # rows of 64 bits, at most, of the table that words are tried on before they are joined
 CHUNK = 256  # array elements whose sum is taken in one step
 
 
@@ -165,68 +167,135 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.inline(let(matches(text, WORD), free)))
 
 
+def _inner(raw: Column) -> Column:
+    """A word without the quotes, brackets and closing signs at its edges; the pattern runs only where such a sign may stand."""
+
+    def bare(sign: Column) -> Column:
+        return ((sign >= "a") & (sign < "{")) | ((sign >= "A") & (sign < "[")) | ((sign >= "0") & (sign < ":")) | (sign >= "~")
+
+    return F.when(bare(raw) & bare(F.substring(raw, -1, 1)), raw).otherwise(F.regexp_replace(raw, EDGE_SIGNS, ""))
+
+
 def _instances(words: DataFrame) -> DataFrame:
     """Words as instances, whatever their signs: without the quotes, brackets and closing signs at their edges, in lower case."""
-    inner = words.withColumn("inner", F.regexp_replace("raw", EDGE_SIGNS, ""))
+    inner = words.withColumn("inner", _inner(F.col("raw")))
     start = F.col("start") + F.length(F.regexp_extract("raw", OPENING, 0))
     return inner.where("inner != ''").select("row", "pattern", F.lower("inner").alias("instance"), start.alias("start"), (start + F.length("inner")).alias("end"))
 
 
-def _followers(rows: DataFrame) -> DataFrame:
-    """(pattern, instance) of every word outside base entities with two words before it: as ``_instances``, without the places."""
+def _followers(rows: DataFrame, *more: str) -> DataFrame:
+    """(more, pattern, instance) of every word outside base entities with two words before it: as ``_instances``, without the places.
 
-    def free(words: Column) -> Column:
-        left = F.when(F.size(words) > 2, F.array_except(F.sequence(F.lit(2), F.size(words) - 1), F.col("held")))
-        return let(contexts(F.col("text")), lambda c: F.transform(left, lambda k: F.struct(F.get(c, k).alias("pattern"), F.get(words, k).alias("raw"))))
+    No lambda stands between the text and the instance, so Spark compiles the whole of it.
+    """
+
+    def cut(text: Column) -> Column:
+        return F.array_remove(F.split(text, " "), "")
+
+    line = F.lower(F.coalesce("text", F.lit("")))
+    for sign in BLANKS:
+        line = F.replace(line, F.lit(sign), F.lit(" "))
+    lines = rows.select(*more, F.coalesce("held", F.array().cast("array<int>")).alias("held"), line.alias("line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), cut(F.regexp_replace("line", "[0-9]+", "#")))
+    words = lines.select(*more, "held", cut(F.col("line")).alias("raw"), masked.alias("masked"))
+    places = F.when(F.size("raw") > 2, F.sequence(F.lit(2), F.size("raw") - 1))
+    words = words.select(*more, "held", "raw", F.coalesce("masked", "raw").alias("masked"), places.alias("places"))
+    free = F.when(F.size("held") == 0, F.col("places")).otherwise(F.array_except("places", "held"))
+    each = words.select(*more, "raw", "masked", F.explode(free).alias("k"))
+    pattern = F.concat(F.get("masked", F.col("k") - 2), F.lit(" "), F.get("masked", F.col("k") - 1))
+    return each.select(*more, pattern.alias("pattern"), _inner(F.get("raw", F.col("k"))).alias("instance")).where("instance != ''")
+
+
+def _slot(column: str) -> Column:
+    return F.pmod(F.shiftright(F.xxhash64(column), 6), F.lit(SLOTS))
 
-    words = rows.select(F.inline(let(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), free)))
-    return words.select("pattern", F.regexp_replace("raw", EDGE_SIGNS, "").alias("instance")).where("instance != ''")
 
+def _near(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Those of the rows, and some more, whose column ``name`` is in ``values`` (its column ``_key``), with the column ``_slot``: where a bit that the hash names
+    is set in a table of ``SLOTS`` rows at most, which is broadcast however many values there are."""
 
-def hopeful_patterns(rows: DataFrame, before: DataFrame, least_seeds: int, least: float) -> DataFrame:
+    def bit(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(64)).cast("int")
+
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit("_key"))
+    marks = small(values.groupBy(_slot("_key").alias("_slot")).agg(F.bit_or(mark).alias("_marks")))
+    return rows.join(marks, (_slot(name) == F.col("_slot")) & (F.bit_get("_marks", bit(name)) == 1)).drop("_marks")
+
+
+def _among(words: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``words`` whose column ``name`` is in the table ``keys``.
+
+    Where that is too large to be broadcast, Spark moves the words that share a bit with a key, and not all words of all texts. The
+    slot of the bit is in the condition, or else the plan has this join below that of the bits.
+    """
+    values = keys.select(F.col(name).alias("_key"), _slot(name).alias("_at"))
+    same = (F.col(name) == F.col("_key")) & (F.col("_slot") == F.col("_at"))
+    return _near(words, values, name).join(values, same, "left_semi").select(*words.columns)
+
+
+def hopeful_patterns(rows: DataFrame, before: DataFrame, least_seeds: int, least: float, read: DataFrame | None = None) -> DataFrame:
     """``(pattern)``: those that can be confident, given ``before``, the (pattern, instance) of all instances that are sure in part or whole.
 
     A pattern before n of them scores n / (D + 1) at most, where D is the number of all different instances that it stands
     before. Any part of the rows gives a lower bound of D, so patterns are tried on ever larger shares of the rows, and
-    those that the bound rules out already are struck. What is left is what all rows would leave, and some more.
+    those that the bound rules out already are struck. What is left is what all rows would leave, and some more. Patterns of ``read``
+    are not tried. No more is read once none is left.
     """
     edges = before.distinct()
     known = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least_seeds)
-    left = materialize(known, "hopeful-patterns")
+    left = materialize(known if read is None else known.join(read, "pattern", "left_anti"), "hopeful-patterns")
     for share in SHARES:
-        part = _followers(rows.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)).join(left, "pattern", "left_semi")
+        if left.isEmpty():
+            break
+        part = _among(_followers(rows.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)), left, "pattern")
         seen = part.union(edges.join(left, "pattern", "left_semi")).distinct().groupBy("pattern").agg(F.count("*").alias("seen"))
         left = materialize(left.join(seen, "pattern").where(F.col("n") / (F.col("seen") + 1) >= least - 1e-9).select("pattern", "n"), "hopeful-patterns")
     return left.select("pattern")
 
 
 def telling_patterns(rows: DataFrame, rounds: int, least_seeds: int, least: float) -> DataFrame:
-    """``confident_patterns`` of all words of the texts, of which only those are kept that a round can need.
+    """``confident_patterns`` of all words of the texts; see ``patterns_and_places``."""
+    return patterns_and_places(rows, rounds, least_seeds, least)[0]
+
+
+def patterns_and_places(rows: DataFrame, rounds: int, least_seeds: int, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """``confident_patterns`` of all words of the texts, of which only those are kept that a round can need, and (row, pattern,
+    instance) of every word that those patterns and some others stand before (None if no pattern is hopeful).
 
     A pattern scores only before ``least_seeds`` different sure instances. Those of the first round are the seeds, later
     also what confident patterns stand before; each round takes the patterns that can be confident with those, and the
-    words after them in all texts. Patterns left out have no score in that round. Nothing more is read once no pattern is hopeful
-    or none is confident.
+    words after them in all texts. Patterns left out have no score in that round, however many seeds they stand before: their other
+    words were not read. A sure instance stays sure and a hopeful pattern hopeful from round to round, so all texts are read for new patterns and
+    for new sure instances only. Nothing more is read once no pattern is hopeful or none is confident.
     """
     seeds = materialize(rows.select(F.inline("seeds")).distinct(), "seeds")
-    before = seeds
+    before, told, wanted, places, grown = seeds, None, None, None, True
     for k in range(1, rounds + 1):
-        wanted = hopeful_patterns(rows, before, least_seeds, least)
-        if wanted.isEmpty():
-            return wanted.withColumn("confidence", F.lit(0.0))
-        after = _followers(rows).join(wanted, "pattern", "left_semi").distinct()
+        if grown:
+            new = hopeful_patterns(rows, before, least_seeds, least, wanted)
+            if not new.isEmpty():
+                found = materialize(_among(_followers(rows, "row"), new, "pattern"), "places")
+                wanted, places = (new, found) if wanted is None else (wanted.union(new), places.union(found))
+            elif wanted is None:
+                return new.withColumn("confidence", F.lit(0.0)), None
+        after = places.select("pattern", "instance").distinct()
         edges = materialize(seeds.withColumn("seed", F.lit(True)).union(after.withColumn("seed", F.lit(False))), "instances")
-        scores = confident_patterns(edges, k, least_seeds, least)
+        scores = confident_patterns(edges, k, least_seeds, least, wanted)
         if k == rounds or scores.isEmpty():
             break
-        told = materialize(edges.where("not seed").join(scores, "pattern", "left_semi").select("instance").distinct(), "told")
-        before = materialize(seeds.union(_followers(rows).join(told, "instance", "left_semi").select("pattern", "instance").distinct()), "sure")
-    return scores
+        sure = edges.where("not seed").join(scores, "pattern", "left_semi").select("instance").distinct()
+        fresh = materialize(sure if told is None else sure.join(told, "instance", "left_anti"), "told")
+        grown = not fresh.isEmpty()
+        if grown:
+            told = fresh if told is None else told.union(fresh)
+            before = materialize(before.union(_among(_followers(rows), fresh, "instance").select("pattern", "instance")).distinct(), "sure")
+    return scores, places
 
 
 def confident_patterns(instances: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS,
-                       least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """``(pattern, confidence)`` from the graph of patterns and instances, for patterns of at least ``least``.
+                       least: float = LEAST_CONFIDENCE, whole: DataFrame | None = None) -> DataFrame:
+    """``(pattern, confidence)`` from the graph of patterns and instances, for patterns of at least ``least``; with ``whole``, for its
+    patterns only: of others the graph may lack instances, which would make them look more sure than they are.
 
     A seed is sure. A pattern's confidence is the mean sureness of the different instances it stands before, one doubtful
     one added; only patterns before ``least_seeds`` different sure instances count. An instance that confident patterns
@@ -235,9 +304,10 @@ def confident_patterns(instances: DataFrame, rounds: int = ROUNDS, least_seeds:
     """
     edges = materialize(instances.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-graph")
     sure = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("sure"))
+    scored = edges if whole is None else materialize(edges.join(whole, "pattern", "left_semi"), "pattern-graph")
     scores = None
     for k in range(rounds):
-        joined = edges.join(sure.where("sure > 0"), "instance", "left")
+        joined = scored.join(sure.where("sure > 0"), "instance", "left")
         scores = joined.groupBy("pattern").agg(
             (F.sum(F.coalesce("sure", F.lit(0.0))) / (F.count("*") + 1)).alias("confidence"),
             F.sum((F.col("sure") >= least).cast("long")).alias("supports")).where((F.col("supports") >= least_seeds) & (F.col("confidence") >= least))
@@ -264,12 +334,13 @@ def found_personal_data(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int
     slim = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     parsed = spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", slim.alias("slim"), seeds_and_held(F.col("text"), F.col("base")).alias("words"))
     rows = materialize(parsed, "spans").select("row", "doc_id", "text", F.col("slim").alias("base"), "words.seeds", "words.held")
-    patterns = telling_patterns(rows, rounds, least_seeds, least)
+    patterns, places = patterns_and_places(rows, rounds, least_seeds, least)
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
     if patterns.isEmpty():
         joined = rows.select("doc_id", "base", none.alias("found"))
     else:
-        new = _instances(_words(rows).join(patterns, "pattern", "left_semi")).groupBy("row").agg(F.sort_array(F.collect_list(
+        hits = places.join(patterns, "pattern", "left_semi").select(F.col("row").alias("_key"))
+        new = _instances(_among(_words(_near(rows, hits, "row")), patterns, "pattern")).groupBy("row").agg(F.sort_array(F.collect_list(
             F.struct(F.lit(len(PATTERNS)).alias("kind"), "start", "end"))).alias("found"))
         joined = rows.join(new, "row", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))
 

@@ -129,6 +129,59 @@ def test_bounds_strike_no_pattern_that_is_confident(spark):
     assert len(hopeful) < 60
 
 
+def test_struck_patterns_have_no_score(spark):
+    """Beside a confident pattern, one that stands before six seeds and 400 other words finds nothing, though the words were not all read."""
+    rows = [f"please write to user{k}@mail.com now" for k in range(12)] + ["please write to qx_smith now"]
+    rows += [f"one of the user{k}@post.com now" for k in range(6)]
+    rows += [f"one of the {a}{b}house then" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    got = personal.found_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("n_found > 0")
+    assert [(r.doc_id, r.spans) for r in got.collect()] == [(12, "found:16:24")]
+
+
+def test_followers_against_plain_words(spark):
+    """Words of texts with all blanks and edge signs, of which some are held: as a plain loop has them."""
+    dice = random.Random(11)
+    parts = ["A", "b1c", "77", "1", "(x)", "\"Q'", "...", ")(", "é", "\u00c9T\u00c9!", "\u212a9", "x-", "|", "~a", "`", "#", "@", "Z]", "{", "\U0001f600", " ", " ", "  ", "\t", "\n", "\x0b", "\f\r", "\u00a0"]
+    texts = ["".join(dice.choices(parts, k=dice.randint(0, 40))) for _ in range(800)] + ["", " ", "a b c", "\na\tb  c "]
+    words = [re.findall(r"[^ \t\n\x0b\f\r]+", t.lower()) for t in texts]
+    held = [sorted(dice.sample(range(len(w)), dice.choice([0, 0, min(3, len(w))]))) for w in words]
+    want = []
+    for k, w in enumerate(words):
+        masked = [re.sub("[0-9]+", "#", x) for x in w]
+        for j in range(2, len(w)):
+            inner = re.sub(r"[\"')\]}>,;:.!?]+\Z", "", re.sub(r"\A[\"'(\[{<]+", "", w[j]))
+            if j not in held[k] and inner:
+                want.append((k, f"{masked[j - 2]} {masked[j - 1]}", inner))
+    table = spark.createDataFrame(list(zip(range(len(texts)), texts, held)), "row long, text string, held array<int>")
+    assert sorted(tuple(r) for r in personal._followers(table, "row").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_words_among_keys(spark, monkeypatch, limit):
+    """The join after the bits is exact, also where bits are shared and where Spark may not broadcast."""
+    monkeypatch.setattr(personal, "SLOTS", 2)
+    words = spark.createDataFrame([(k, f"w{k % 500}") for k in range(2000)] + [(-1, None)], "row long, pattern string")
+    keys = spark.createDataFrame([(f"w{k}",) for k in range(3, 600, 7)], "pattern string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = sorted(r.row for r in personal._among(words, keys, "pattern").collect())
+        plan = personal._among(words, keys, "pattern")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [k for k in range(2000) if k % 500 in range(3, 600, 7)]
+    assert plan.index("LeftSemi") < plan.index("Inner")
+
+
+def test_texts_are_read_for_new_patterns_only(spark, monkeypatch):
+    """Three rounds over texts with one confident pattern read all texts for it and for what it tells, and no more."""
+    reads, plain = [], personal._followers
+    monkeypatch.setattr(personal, "_followers", lambda rows, *more: reads.append(more) or plain(rows, *more))
+    got = personal.found_personal_data(spark.createDataFrame(teaching(), "doc_id long, text string")).where("n_found > 0").collect()
+    shares = len(personal.SHARES)
+    assert [r.doc_id for r in got] == [100] and len(reads) <= 2 * shares + 2
+
+
 def test_copies_do_not_make_a_pattern(spark):
     rows = [(k, "please reach me on +1 (988) 555-2000 soon") for k in range(50)] + [(99, "please reach me on QX-77412/9 soon")]
     got = personal.found_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("n_found > 0")
